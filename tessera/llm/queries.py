@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, pieces
+from tessera.llm import packing, pieces, secret_scan, store
+from tessera.llm._util import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +31,43 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "store")
+    store.write_store(_table(spark, sf_dir, "documents"), path)
+    return store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("secrets", lambda s: s["rank"] < len(secret_scan.BASE_RULES))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *(count(r.kind) for r in secret_scan.BASE_RULES), F.sha2(secret_scan.listed(base), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
+
+
+def _secret_sql() -> str:
+    """Matches by regexp_extract_all; places from the lengths of what lies before each."""
+    one = """SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(ms) + 1)) AS i, ms, gs, vs FROM (
+      SELECT doc_id, regexp_extract_all(t, '{re}') AS ms, string_split_regex(t, '{re}') AS gs, regexp_extract_all(t, '{re}', {group}) AS vs FROM d)"""
+    parts = " UNION ALL ".join(one.format(kind=r.kind, rank=k, re=r.pattern.replace("'", "''"), group=r.group) for k, r in enumerate(secret_scan.RULES))
+    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(secret_scan.RULES))
+    base = len(secret_scan.BASE_RULES)
+    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({parts}), s AS (
+      SELECT doc_id, kind, rank, coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS b, length(ms[i]) AS n
+      FROM m WHERE length(vs[i]) >= CASE rank {least} END), t AS (SELECT doc_id, kind, rank, b::BIGINT AS b, kind || ':' || b::BIGINT || ':' || (b + n)::BIGINT AS span FROM s),
+    g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY b, rank) FILTER (rank < {base}) AS base, string_agg(span, ',' ORDER BY b, rank) AS spans FROM t GROUP BY doc_id)
+    SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_token_store": op5_token_store,
+    "op7_secret_scan": op7_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_secret_scan": _secret_sql()}
