@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, langid, packing, pieces, quality, secret_scan, store, substring, topk
+from tessera.llm import jaccard, kd_shard, langid, packing, pieces, quality, secret_scan, store, substring, topk
 from tessera.llm._util import new_path
 
 
@@ -15,6 +15,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    # all read off the text, so that equal texts are one point
+    dims = {"length": F.octet_length(text), "lines": lines, "wide": F.octet_length(text) - F.length(text)}
+    got = kd_shard.kd_shards(docs, dims, shards=24)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = F.coalesce(langid.fold() == 2, F.lit(False))
@@ -90,6 +100,7 @@ def _secret_sql() -> str:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_shards": op1_kd_shards,
     "op2_language_id": op2_language_id,
     "op3_packing": op3_packing,
     "op4_sentencepiece": op4_sentencepiece,
