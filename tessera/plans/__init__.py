@@ -1,0 +1,7 @@
+"""Queries over the driver's tables and the SQL that checks them."""
+
+from tessera.plans import metrics
+
+_MODULES = (metrics,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
