@@ -1,7 +1,7 @@
 """Queries over the driver's tables and the SQL that checks them."""
 
-from tessera.plans import index, metrics
+from tessera.plans import changes, index, metrics, pages, rules
 
-_MODULES = (metrics, index)
+_MODULES = (metrics, index, rules, pages, changes)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
