@@ -14,6 +14,7 @@ other; an empty table gives no row; the given columns are kept, and columns whos
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -21,12 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._util import stored
 
-try:
-    from re import _constants as _c
-    from re import _parser
-except ImportError:  # before Python 3.11
-    import sre_constants as _c
-    import sre_parse as _parser
+_c, _parser = re._constants, re._parser
 
 BROADCAST_ROWS = 2_000_000  # candidates are broadcast up to here (under 100 MB), else shuffled
 
