@@ -6,15 +6,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.incremental import upsert
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
 
 def watch_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """New and changed files of a folder as a stream: path, modificationTime, length, content."""
-    return spark.readStream.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return spark.readStream.schema(FILES).format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
 
 
 def keep_latest(changes: DataFrame, path: str, keys: list[str], order: str, checkpoint: str) -> StreamingQuery:
