@@ -81,8 +81,8 @@ def training_rows(docs: DataFrame, allowed: Column) -> DataFrame:
 def train(docs: DataFrame, allowed: Column, epochs: int = 12, rate: float = 0.5, seed: int = 7) -> LanguageModel:
     """Fits a model on rows where `allowed` holds. What the driver holds is bounded by languages times PER_LANGUAGE times ROW_BYTES."""
     rows = sorted((r.h, r.lang, r.text) for r in training_rows(docs, allowed).collect())
-    rows = [(h, lang, subwords(t)) for h, lang, t in rows if has_letter(t)]
-    rows = [r for r in rows if len(r[2])]
+    rows = [(h, lang, np.unique(subwords(t), return_counts=True)) for h, lang, t in rows if has_letter(t)]
+    rows = [(h, lang, at.astype(np.int32), (n / n.sum()).astype(np.float32)) for h, lang, (at, n) in rows if len(at)]
     names = sorted({r[1] for r in rows})
     if not names:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 1.0)
@@ -92,12 +92,10 @@ def train(docs: DataFrame, allowed: Column, epochs: int = 12, rate: float = 0.5,
     table = rng.normal(0, 0.1, (1 << BITS, DIM))
     layer, offset = rng.normal(0, 0.1, (DIM, len(names))), np.zeros(len(names))
     fit = np.flatnonzero(~held)
-    counts = [np.unique(r[2], return_counts=True) for r in rows]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(fit):
-            at, n = counts[i]
-            share = (n / n.sum())[:, None]
+            at, share = rows[i][2], rows[i][3][:, None]
             mean = (table[at] * share).sum(axis=0)
             error = softmax(mean @ layer + offset)
             error[y[i]] -= 1
@@ -106,7 +104,7 @@ def train(docs: DataFrame, allowed: Column, epochs: int = 12, rate: float = 0.5,
             offset -= 0.1 * step * error
             table[at] -= step * 20 * share * back
     product = table @ layer
-    z = np.stack([(product[at] * (n / n.sum())[:, None]).sum(axis=0) + offset for at, n in counts])
+    z = np.stack([(product[at] * share[:, None]).sum(axis=0) + offset for _, _, at, share in rows])
     check = np.flatnonzero(held) if held.any() else np.arange(len(rows))
     temperature = fit_temperature(z[check], y[check])
     p = softmax(z[check] / temperature)
