@@ -39,7 +39,7 @@ class IdEncoder:
         """uint32 ids; none for null or empty text."""
         if not text:
             return np.empty(0, "<u4")
-        if self.fast is None or any(s in text for s in self.special) or _PLAIN.search(text):
+        if self.fast is None or any(s in text for s in self.special) or not (text.isascii() or not _PLAIN.search(text)):
             return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=())
 

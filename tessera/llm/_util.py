@@ -47,7 +47,10 @@ def partitions(spark: SparkSession) -> int:
 
 
 def ordered(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
-    """df sorted by keys over range partitions and stored, with `_part` and `_idx` (place in the part)."""
+    """df sorted by keys over range partitions and stored, with `_part` and `_idx` (place in the part).
+
+    A range shuffle reads its input twice, for the bounds and for the rows; store a costly df first.
+    """
     row = F.col("_row")
     out = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     out = out.withColumn("_row", F.monotonically_increasing_id())
@@ -55,16 +58,6 @@ def ordered(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
     return stored(out.drop("_row"), name)
 
 
-def numbered(df: DataFrame, keys: list[str | Column], out: str, name: str) -> DataFrame:
-    """Adds `out`, a gapless number from 0 in the order of keys.
-
-    One range shuffle, then one count per partition; what is broadcast is one row per partition.
-    """
-    sorted_rows = ordered(df, keys, name)
-    counts = sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    return sorted_rows.join(F.broadcast(_before(counts, "_n")), "_part").withColumn(out, F.col("_base") + F.col("_idx")).drop("_part", "_idx", "_base")
-
-
 def _before(parts: DataFrame, size: str) -> DataFrame:
     """(_part, _base): the sum of `size` over earlier parts."""
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

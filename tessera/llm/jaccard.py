@@ -6,7 +6,8 @@
    at least r + 1 are equal in both. Sets that share a segment come into one tile. A segment that is
    empty is left out where no more than r are, since another equal one remains.
 3. A tile is a connected group of sets that share segments; a large one is cut into blocks by size band
-   and hash, and only pairs of blocks of one band or of neighbouring bands are tried.
+   and hash, and only pairs of blocks of one band or of neighbouring bands are tried. What large tiles
+   are tried with first is the bitmaps alone, which splits them into the parts that the bound connects.
 4. In a tile, the bits of hashed bitmaps bound the overlap of two sets from above: each bit that only
    one of them has stands for an element that the other lacks. Pairs that the bound leaves are decided
    by intersecting the sorted arrays. A pair already joined through others isn't tried again.
@@ -34,9 +35,11 @@ from tessera.llm._util import partitions, stored
 from tessera.llm._words import Words, groups, mix64, runs
 from tessera.llm.components import components
 
-BLOCK = 1024  # sets in a tile
+BLOCK = 4096  # sets in a tile; a set over _HEAVY shingles counts as several
+_HEAVY = 2048
 BROADCAST_ROWS = 1_000_000  # candidate documents are broadcast up to here (under 64 MB), else shuffled
 _BITS = 1024
+_SLICE = 1000  # rows whose texts a task holds as bytes
 _FLUSH = 1 << 20  # keys a task gathers before it sends them
 _U = np.uint64
 _SEG, _D1, _D2 = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xC13FA9A902A6328F)
@@ -105,8 +108,11 @@ def bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(_U)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t.as_py().encode() if t.is_valid else b"" for t in batch.column(1)]
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch in slices, with the texts of its last column; null counts as empty."""
+    for a in range(0, batch.num_rows, _SLICE):
+        part = batch.slice(a, _SLICE)
+        yield part, [t.as_py().encode() if t.is_valid else b"" for t in part.column(part.num_columns - 1)]
 
 
 def set_digests(docs: DataFrame, width: int) -> DataFrame:
@@ -114,9 +120,10 @@ def set_digests(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(s), *digests(s)) if len(s) else (0, None, None) for s in shingle_sets(_texts(batch), width)]
-            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "n", "node", "check"])
+            for part, texts in _parts(batch):
+                rows = [(len(s), *digests(s)) if len(s) else (0, None, None) for s in shingle_sets(texts, width)]
+                cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "node", "check"])
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, check long")
 
@@ -129,7 +136,7 @@ def shared_segments(docs: DataFrame, width: int, percent: int) -> DataFrame:
         bands, keys, nodes, sizes, held = Bands(percent), [], [], [], 0
         for batch in batches:
             done: set[int] = set()
-            for s in shingle_sets(_texts(batch), width):
+            for s in (s for _, texts in _parts(batch) for s in shingle_sets(texts, width)):
                 if not len(s):
                     continue
                 node, _ = digests(s)
@@ -204,8 +211,11 @@ class _Union:
         self.of[self.of == max(a, b)] = min(a, b)
 
 
-def links_of(sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Index pairs of a tile that link and join different labels; sizes ascend. With `side`, only pairs of different sides."""
+def links_of(sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, labels: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Index pairs of a tile that link and join different labels; sizes ascend.
+
+    With `side`, only pairs of different sides. Without `sets`, pairs that the bound allows count as links.
+    """
     out: list[tuple[int, int]] = []
     known = _Union(labels)
     stop = np.searchsorted(sizes, sizes * 100 // percent, side="right")
@@ -223,6 +233,10 @@ def links_of(sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], labels
         bound = np.minimum(sizes[i] - only_i, sizes[j] - only_j)
         for c in j[bound >= need].tolist():
             if known.of[c] != known.of[i]:
+                if sets is None:
+                    known.join(i, c)
+                    out.append((i, c))
+                    continue
                 a, b = sets[i], sets[c]
                 both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 if 100 * both >= percent * (len(a) + len(b) - both):
@@ -231,53 +245,56 @@ def links_of(sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray], labels
     return out
 
 
-def tile_links(placed: DataFrame, percent: int) -> DataFrame:
-    """(a, b) from rows (tile, side, node, label, words): links in every tile between different labels, and sides where they are set."""
+def candidate_rows(docs: DataFrame, wanted: DataFrame, width: int, exact: bool) -> DataFrame:
+    """wanted (doc_id, tile, side, node, label) with `size` and `data`: the set of the document, or its bitmap, made again from the text."""
+    few = wanted.count() <= BROADCAST_ROWS
+    wanted = wanted.select(F.col("doc_id").alias("_id"), "tile", F.col("side").cast("int").alias("side"), "node", "label")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("tile", "side", "node", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
         for batch in batches:
-            for tile, *row in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                if tile != now and rows:
-                    yield from one(rows)
-                    rows = []
-                now = tile
-                rows.append(row)
-        if rows:
-            yield from one(rows)
+            for part, texts in _parts(batch):
+                kept, sizes, data = [], [], []
+                for i, (node, s) in enumerate(zip(part.column(2).to_pylist(), shingle_sets(texts, width), strict=True)):
+                    if len(s) and digests(s)[0] == node:  # another row may have the same doc_id
+                        kept.append(i)
+                        sizes.append(len(s))
+                        data.append((s if exact else bitmap(s)).tobytes())
+                cols = [part.column(c).take(pa.array(kept, pa.int64())) for c in range(4)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["tile", "side", "node", "label", "size", "data"])
 
-    def one(rows: list) -> Iterator[pa.RecordBatch]:
-        rows = list({r[1]: r for r in rows}.values())  # repeated rows of a document
-        if len(rows) < 2:
-            return
-        rows.sort(key=lambda r: len(r[3]))
-        sets = [np.frombuffer(r[3], _U) for r in rows]
-        side = None if rows[0][0] is None else np.asarray([r[0] for r in rows])
-        sizes, nodes = np.asarray([len(s) for s in sets], np.int64), [r[1] for r in rows]
-        found = links_of(sizes, np.stack([bitmap(s) for s in sets]), sets, np.asarray([r[2] for r in rows]), side, percent)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    return texts.mapInArrow(run, "tile long, side int, node long, label long, size long, data binary")
 
-    rows = placed.select("tile", "side", "node", "label", "words")
-    return rows.repartition(partitions(placed.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
-
-def candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, words): the sets of the documents in wanted (doc_id, node), made again from their texts."""
-    few = wanted.count() <= BROADCAST_ROWS
-    wanted = wanted.select(F.col("doc_id").alias("_id"), "node")
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+def tile_links(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """(a, b) from what candidate_rows returns: links in every tile between different labels, and sides where they are set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
         for batch in batches:
-            nodes, words = [], []
-            for node, s in zip(batch.column(0).to_pylist(), shingle_sets(_texts(batch), width), strict=True):
-                if len(s) and digests(s)[0] == node:  # another row may have the same doc_id
-                    nodes.append(node)
-                    words.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(words, pa.binary())], names=["node", "words"])
+            for tile, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+                if tile != now and held:
+                    yield from one(held)
+                    held = []
+                now = tile
+                held.append(row)
+        if held:
+            yield from one(held)
+
+    def one(held: list) -> Iterator[pa.RecordBatch]:
+        held = list({r[1]: r for r in held}.values())  # repeated rows of a document
+        if len(held) < 2:
+            return
+        held.sort(key=lambda r: r[3])
+        data = [np.frombuffer(r[4], _U) for r in held]
+        side = None if held[0][0] is None else np.asarray([r[0] for r in held])
+        sizes, nodes = np.asarray([r[3] for r in held], np.int64), [r[1] for r in held]
+        bits = np.stack([bitmap(s) for s in data] if exact else data)
+        found = links_of(sizes, bits, data if exact else None, np.asarray([r[2] for r in held]), side, percent)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return texts.mapInArrow(run, "node long, words binary")
+    return rows.repartition(partitions(rows.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -300,36 +317,50 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
 def _links(docs: DataFrame, groups_: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
     """Links that span the components of all links inside the candidate groups (node, root)."""
     bands = Bands(percent)
-    sizes = groups_.groupBy("root").agg(F.count(F.lit(1)).alias("total"))
-    members = groups_.join(nodes, "node").join(sizes, "root")
-    bands.of((members.agg(F.max("n")).first()[0] or 1) + 1)
+    bands.of((nodes.agg(F.max("n")).first()[0] or 1) + 1)
     band = F.lit(0)
     for b in bands.low[1:]:
         band = band + (F.col("n") >= b).cast("int")
-    members = stored(members.withColumn("band", band), "members")
+    known = nodes.select("node", "doc_id", band.alias("band"), F.greatest(F.lit(1.0), F.col("n") / _HEAVY).alias("weight"))
+    members = _sized(groups_.join(known, "node"))
+    large = members.where(F.col("total") > BLOCK)
+    if large.take(1):
+        allowed = stored(components(_rounds(docs, large, width, percent, exact=False)), "parts")
+        members = _sized(members.where(F.col("total") <= BLOCK).drop("total").unionByName(large.drop("root", "total").join(allowed, "node")))
+    return _rounds(docs, members, width, percent, exact=True)
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """members (node, root, doc_id, band, weight) with `total`, the weight of the group."""
+    return stored(members.join(members.groupBy("root").agg(F.sum("weight").alias("total")), "root"), "members")
+
+
+def _rounds(docs: DataFrame, members: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
+    """(a, b): links that join all that can be joined: in each block, then of what represents the joined parts, then in pairs of blocks not joined yet."""
     large = members.where(F.col("total") > BLOCK)
-    blocks = large.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    small = members.where(F.col("total") <= BLOCK).select("node", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"))
-    large = large.join(blocks, ["root", "band"]).select("node", "root", "band", F.pmod(F.xxhash64("node"), "parts").alias("part"))
-    placed = stored(small.union(large), "placed")
-    sets = stored(candidate_sets(docs, members.select("doc_id", "node"), width), "sets")
-
-    first = placed.join(sets, "node").withColumns({"tile": F.xxhash64("root", "band", "part"), "side": F.lit(None).cast("int"), "label": F.col("node")})
-    links = stored(tile_links(first, percent), "links")
+    blocks = large.groupBy("root", "band").agg(F.ceil(F.sum("weight") / BLOCK).alias("parts"))
+    small = members.where(F.col("total") <= BLOCK).select("doc_id", "node", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"))
+    large = large.join(blocks, ["root", "band"]).select("doc_id", "node", "root", "band", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    placed = stored(small.unionByName(large), "placed")
+
+    def found(tiles: DataFrame) -> DataFrame:
+        return tile_links(candidate_rows(docs, stored(tiles.select("doc_id", "tile", "side", "node", "label"), "tiles"), width, exact), percent, exact)
+
+    links = stored(found(placed.withColumns({"tile": F.xxhash64("root", "band", "part"), "side": F.lit(None).cast("int"), "label": F.col("node")})), "links")
     large = placed.where("band >= 0")
     if not large.take(1):
         return links
-    for heads_only in (True, False):  # what represents the parts joined so far, then every pair of blocks that isn't joined
-        joined = components(links)
-        label = F.coalesce("joined", "node")
-        now = stored(large.join(joined.select("node", F.col("root").alias("joined")), "node", "left").select("node", "root", "band", "part", label.alias("label")), "labels")
+    for heads_only in (True, False):
+        joined = components(links).select("node", F.col("root").alias("joined"))
+        now = large.join(joined, "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined")
+        now = stored(now, "labels")
         if heads_only:
             heads = now.where("node = label")
             many = heads.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
             tiles = heads.join(many, "root").withColumns({"tile": F.xxhash64("root", F.pmod(F.xxhash64("label", F.lit(1)), "k")), "side": F.lit(None).cast("int")})
         else:
             tiles = _block_pairs(now)
-        links = stored(links.union(tile_links(tiles.join(sets, "node"), percent)), "links")
+        links = stored(links.union(found(tiles)), "links")
     return links
 
 

@@ -25,7 +25,8 @@ from pyspark.sql.window import Window
 from tessera.llm._linear import byte_grams, fit_platt, hashed
 from tessera.llm._words import Words, groups, mix64, runs
 
-PER_CLASS = 3000  # labelled rows of each class that training looks at, at most
+PER_CLASS = 3008  # labelled rows of each class that training looks at, at most
+_SALTS = 64  # parts that each class is drawn in
 ROW_BYTES = 20_000  # a longer training row is seen through as many characters, taken evenly from all of it
 KEEP_FROM = 0.3  # probability of good quality from which a text is kept
 LEAST_WORDS = 50
@@ -87,8 +88,9 @@ def measures(text: str, raw: bytes, windows: np.ndarray, n_words: int) -> tuple[
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(h, text, quality): up to PER_CLASS labelled rows of each class, drawn by a hash of the doc_id."""
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = labels.where("quality in (0, 1)").select("doc_id", "quality").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= PER_CLASS)
+    salted = labels.where("quality in (0, 1)").select("doc_id", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).alias("_salt"))
+    w = Window.partitionBy("quality", "_salt").orderBy(F.xxhash64("doc_id"), "doc_id")
+    picked = salted.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= PER_CLASS // _SALTS)
     rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked.select("doc_id", "quality")), "doc_id")
     every = F.greatest(F.lit(1), F.ceil(F.length("text") / ROW_BYTES)).cast("int")
     part = F.transform(F.sequence(F.lit(0), every - 1), lambda i: F.substring("text", i * F.floor(F.length("text") / every).cast("int") + 1, F.lit(ROW_BYTES) / every))
@@ -107,7 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, epochs: int = 15, rate: float = 20
     for _, _, text in rows:
         raw = text.encode()
         word_at, gram_at = features(Words([raw]).hash, raw)
-        found.append([(at, n / max(1, n.sum())) for at, n in (np.unique(word_at, return_counts=True), np.unique(gram_at, return_counts=True))])
+        found.append([(at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)) for at, n in (np.unique(word_at, return_counts=True), np.unique(gram_at, return_counts=True))])
     held = np.asarray([(r[0] >> 7) % 4 == 0 for r in rows])
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(rows), bool)

@@ -34,8 +34,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.split_documents(_table(spark, sf_dir, "documents"))
-    crc = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.bucket_sequences(crc)
+    return packing.bucket_sequences(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,4 +117,28 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT
 r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
-ORACLE_SQL: dict[str, str] = {"op6_pivot_top_k": _TOP_K_SQL, "op7_secret_scan": _secret_sql()}
+_WORDS = "[^\\x20\\x09-\\x0D]+"
+_JACCARD_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS ws FROM documents),
+x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+g AS (SELECT doc_id, n, pos, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS shingle FROM x),
+s AS (SELECT DISTINCT doc_id, shingle FROM g WHERE pos + 4 <= n OR (n < 4 AND pos = 0)),
+c AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT i, j FROM p JOIN c a ON i = a.doc_id JOIN c b ON j = b.doc_id WHERE 100 * p.k >= 85 * (a.k + b.k - p.k)),
+r AS (SELECT doc_id AS i, doc_id AS root FROM documents UNION SELECT e.j, r.root FROM r JOIN e ON r.i = e.i)
+SELECT d.doc_id, coalesce(c.k, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id JOIN (SELECT i, min(root) AS component_id FROM r GROUP BY i) m ON d.doc_id = m.i"""
+_SUBSTRING_SQL = f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS ws FROM documents),
+x AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w),
+g AS (SELECT *, CASE WHEN pos + 35 <= n THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) END AS win FROM x),
+c AS (SELECT win FROM g WHERE win IS NOT NULL GROUP BY win HAVING count(*) > 1),
+d AS (SELECT g.doc_id, g.pos, g.word, c.win IS NOT NULL AS twice FROM g LEFT JOIN c ON g.win = c.win),
+r AS (SELECT *, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM d),
+k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op6_pivot_top_k": _TOP_K_SQL,
+    "op7_secret_scan": _secret_sql(),
+    "op9_jaccard_join": _JACCARD_SQL,
+    "op10_substring_dedup": _SUBSTRING_SQL,
+}

@@ -3,8 +3,8 @@
 Each document's id stream (its ids and an end id) is cut where a rolling hash of the last 16 ids
 meets a mask, so equal passages give equal chunks wherever they stand. A store is a folder:
 
-- `chunks`: hash (blake2b-128 of the payload), n, payload (little-endian ids, 16 bits wide when the
-  vocabulary allows, else 32). Each different chunk is there once.
+- `chunks`: hash (blake2b-128 of the ids), n, payload (the ids, little-endian, 16 bits wide when the
+  vocabulary allows, else 32, in a zstd frame). Each different chunk is there once.
 - `recipes`: documents in ascending doc_id order: doc_id, start (ids of all documents before), n_tokens,
   the list of chunk hashes, and the Merkle root over that list.
 - `manifest`: a digest over the roots of every run of recipes, over the runs of every part, and over all.
@@ -24,26 +24,29 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.llm._ids import byte_bpe, encoder
-from tessera.llm._util import drop_path, new_path, ordered, running_total
-from tessera.llm._words import mix64
+from tessera.llm._util import drop_path, new_path, ordered, running_total, stored
 
 _STAGED = "kind int, rid long, doc_id long, n_tokens long, recipe array<binary>, root binary, hash binary, n int, payload binary"
+_GEAR = np.random.default_rng(5).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)  # of an id, what it adds to the rolling hash
 _RUN = 4096  # recipes under one digest of the manifest
 _SEEN = 200_000  # chunk hashes a task remembers so as not to stage a payload twice
+BROADCAST_ROWS = 1_000_000  # staged repeats are broadcast up to here (under 64 MB), else shuffled
 
 
 def cut_points(ids: np.ndarray, bits: int = 9, least: int = 64, most: int = 4096) -> list[int]:
     """Ends of the chunks of one id stream: content decides, between `least` and `most` ids each."""
-    h = mix64(ids.astype(np.uint64))
+    h = _GEAR[ids if ids.dtype.itemsize == 2 else (ids ^ (ids >> 16) * np.uint32(40503)) & 0xFFFF]
     for step in (1, 2, 4, 8):
-        shifted = h[:-step] << np.uint64(step)
-        h = h.copy()
-        h[step:] += shifted
-    marks = (np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << bits) - 1) == 0) + 1).tolist()
+        longer = h.copy()
+        longer[step:] += h[:-step] << np.uint32(step)
+        h = longer
+    marks = (np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1).tolist()
     ends, last, n = [], 0, len(ids)
     for m in [*marks, n]:
         while m - last > most:
@@ -70,26 +73,30 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, tokenizer: tuple |
     args = tokenizer or byte_bpe()
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = encoder(*args), set()
+        encode, seen, pack = encoder(*args), set(), zstandard.ZstdCompressor(level=1).compress
         width = "<u2" if max(encode.size, end_id + 1) <= 65536 else "<u4"
         end = np.asarray([end_id], "<u4")
         for batch in batches:
             rows: list[tuple] = []
+            copies: dict[str | None, tuple] = {}  # of this batch
             held = 0
-            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                ids = np.concatenate([encode(text.as_py()), end]).astype(width)
-                hashes, at = [], 0
+            for rid, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if text in copies:
+                    rows.append((0, rid, doc, *copies[text], None, None, None))
+                    continue
+                ids = np.concatenate([encode(text), end]).astype(width)
+                hashes, own, at = [], set(), 0
                 for stop in cut_points(ids):
                     raw = ids[at:stop].tobytes()
                     key = blake2b(raw, digest_size=16).digest()
                     hashes.append(key)
-                    if key not in seen:
-                        if len(seen) < _SEEN:
-                            seen.add(key)
-                        rows.append((1, rid, None, None, None, None, key, stop - at, raw))
+                    if key not in seen and key not in own:
+                        (seen if len(seen) < _SEEN else own).add(key)
+                        rows.append((1, rid, None, None, None, None, key, stop - at, pack(raw)))
                         held += len(raw)
                     at = stop
-                rows.append((0, rid, doc, len(ids), hashes, merkle(hashes), None, None, None))
+                copies[text] = (len(ids), hashes, merkle(hashes))
+                rows.append((0, rid, doc, *copies[text], None, None, None))
                 if held > 8_000_000:
                     yield _staged(rows)
                     rows, held = [], 0
@@ -98,10 +105,9 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, tokenizer: tuple |
 
     staged = new_path(spark, "staged")
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    source.mapInArrow(chunk, _STAGED).write.partitionBy("kind").option("compression", "zstd").parquet(staged)
+    source.mapInArrow(chunk, _STAGED).write.partitionBy("kind").parquet(staged)
     rows = spark.read.schema(_STAGED).parquet(staged)
-    chunks = rows.where("kind = 1").groupBy("hash").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
-    chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    _once(rows.where("kind = 1").select("rid", "hash", "n", "payload")).write.parquet(f"{path}/chunks")
     placed = ordered(rows.where("kind = 0").select("rid", "doc_id", "n_tokens", "recipe", "root"), ["doc_id", "rid"], "recipes")
     recipes = running_total(placed, "n_tokens", "start").select("_part", "_idx", "doc_id", "start", "n_tokens", "recipe", "root")
     recipes.write.parquet(f"{path}/recipes")
@@ -109,6 +115,14 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, tokenizer: tuple |
     drop_path(spark, staged)
 
 
+def _once(chunks: DataFrame) -> DataFrame:
+    """(hash, n, payload) of the first staged row of each hash; what is compared and sent are the keys of the others."""
+    first = Window.partitionBy("hash").orderBy("rid")
+    again = stored(chunks.select("hash", "rid").withColumn("rank", F.row_number().over(first)).where("rank > 1").select("hash", "rid"), "repeats")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    return chunks.join(again, ["hash", "rid"], "left_anti").select("hash", "n", "payload")
+
+
 def _staged(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int32(), pa.binary())
     names = ["kind", "rid", "doc_id", "n_tokens", "recipe", "root", "hash", "n", "payload"]
@@ -148,6 +162,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, hashes, parts, done, held = None, [], [], [], 0
+    unpack = zstandard.ZstdDecompressor().decompress
 
     def close() -> None:
         if now is None:
@@ -163,6 +178,7 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is None or start[i] != now[1]:
                 close()
                 now, hashes, parts = (doc[i], start[i], total[i], root[i]), [], []
+            raw = raw and unpack(raw)
             if raw is None or blake2b(raw, digest_size=16).digest() != key:
                 raise ValueError(f"a chunk of document {doc[i]} is missing or damaged")
             hashes.append(key)

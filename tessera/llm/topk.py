@@ -4,8 +4,8 @@ Vectors are lifted to a sphere: a candidate gets one more component sqrt(M^2 - |
 greatest norm, and a query gets 0. Then distance falls as the inner product rises, and for every pivot p
 the distance of query and candidate is at least |d(query, p) - d(candidate, p)|. The table holds each
 candidate's distances to all pivots; the maximum over the pivots bounds the score from above.
-Candidates are evaluated in the order of that bound until it falls below the k-th score found, so the
-result is exact.
+Candidates are evaluated in the order of that bound, in two steps, and those whose bound is below the
+k-th score found are never looked at, so the result is exact.
 
 Queries and candidates are dealt into blocks, and each pair of blocks is one group of bounded size; the
 best k of each are merged by a window.
@@ -28,10 +28,11 @@ from pyspark.sql.window import Window
 
 from tessera.llm._util import stored
 
-PIVOTS = 24
+PIVOTS = 16
 SAMPLE_ROWS = 2048  # candidates among which pivots are chosen and the first bound of a query is found
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-_STEP = 256
+_STEP = 256  # candidates of greatest bound that are evaluated first
+_TILE = 16  # queries bounded at once
 _EXACT = float(1 << 53)
 
 
@@ -66,31 +67,55 @@ def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[picked]
 
 
+def _bounds(q_far: np.ndarray, c_far: np.ndarray) -> np.ndarray:
+    """The greatest |d(query, p) - d(candidate, p)| over the pivots; the distances come pivot by pivot."""
+    out = np.zeros((q_far.shape[1], c_far.shape[1]), np.float32)
+    for qp, cp in zip(q_far, c_far, strict=True):
+        d = qp[:, None] - cp[None, :]
+        np.maximum(out, np.abs(d, out=d), out=out)
+    return out
+
+
 def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, q_least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, c_far: np.ndarray, top: float, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score): what of this block may be among the k best. Candidates ascend by id."""
-    bound = np.zeros((len(q), len(c)))
-    for p in range(q_far.shape[1]):
-        np.maximum(bound, np.abs(q_far[:, p, None] - c_far[None, :, p]), out=bound)
+    """(query, candidate, score): what of this block may be among the k best. Candidates ascend by id.
+
+    Of each query the candidates of greatest bound are evaluated first; of the others only those whose
+    bound reaches the k-th score found by then, by one matrix product where they are many.
+    """
+    out: list[tuple[int, int, int]] = []
+    q_rows, c_rows = np.ascontiguousarray(q_far.T.astype(np.float32)), np.ascontiguousarray(c_far.T.astype(np.float32))
     norm = (q * q).sum(axis=1)
-    out = []
-    for i in range(len(q)):
-        most = (norm[i] + top - bound[i] * bound[i]) / 2
-        most += 1e-9 * (norm[i] + top) + 1e-6  # rounding of the square roots
-        least = q_least[i]
-        open_ = np.flatnonzero((most >= least) & (c_ids != q_ids[i]))
-        open_ = open_[np.argsort(-most[open_], kind="stable")]
-        ids, scores = np.empty(0, np.int64), np.empty(0)
-        for a in range(0, len(open_), _STEP):
-            part = open_[a : a + _STEP]
-            if most[part[0]] < least:
-                break
-            ids = np.concatenate([ids, part])
-            scores = np.concatenate([scores, c[part] @ q[i]])
-            if len(ids) > k:
-                kept = np.lexsort((ids, -scores))[:k]
-                ids, scores = ids[kept], scores[kept]
-                least = max(least, scores[-1])
-        out.extend(zip([int(q_ids[i])] * len(ids), c_ids[ids].tolist(), scores.astype(np.int64).tolist(), strict=True))
+    first = min(_STEP, len(c))
+    for a in range(0, len(q), _TILE):
+        tile = slice(a, a + _TILE)
+        lower = _bounds(q_rows[:, tile], c_rows)
+        reach = (norm[tile, None] + top).astype(np.float32)
+        most = (reach - lower * lower) / 2 + reach * np.float32(1e-5) + np.float32(1e-3)  # with the rounding of distances
+        scores = np.full(most.shape, -np.inf)
+        rest = []
+        for i in range(len(most)):
+            most[i, c_ids == q_ids[a + i]] = -np.inf
+            head = np.argpartition(most[i], -first)[-first:]
+            head = head[(most[i, head] >= q_least[a + i]) & (most[i, head] > -np.inf)]
+            scores[i, head] = c[head] @ q[a + i]
+            least = q_least[a + i]
+            if len(head) >= k:
+                least = max(least, np.partition(scores[i, head], -k)[-k])
+            more = (most[i] >= least) & (most[i] > -np.inf)
+            more[head] = False
+            rest.append(np.flatnonzero(more))
+        if sum(map(len, rest)) > most.size // 5:
+            every = q[tile] @ c.T
+            for i, r in enumerate(rest):
+                scores[i, r] = every[i, r]
+        else:
+            for i, r in enumerate(rest):
+                scores[i, r] = c[r] @ q[a + i]
+        for i in range(len(most)):
+            kth = np.partition(scores[i], -k)[-k] if scores.shape[1] > k else -np.inf
+            best = np.flatnonzero((scores[i] >= kth) & (scores[i] > -np.inf))
+            best = best[np.lexsort((best, -scores[i, best]))][:k]
+            out.extend(zip([int(q_ids[a + i])] * len(best), c_ids[best].tolist(), scores[i, best].astype(np.int64).tolist(), strict=True))
     return out
 
 
