@@ -170,7 +170,7 @@ def shared_segments(docs: DataFrame, width: int, percent: int) -> DataFrame:
             yield _stars(keys, nodes)
 
     sent = docs.mapInArrow(send, "bucket int, keys binary, nodes binary")
-    return sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long").distinct()
+    return sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
 
 
 def _bucketed(keys: list, nodes: list, sizes: list, n_buckets: int) -> pa.RecordBatch:
