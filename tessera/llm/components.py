@@ -24,7 +24,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     task at most, and its result is written to the shared folder.
     """
     first = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v")
-    e = stored(_shrunk(_shrunk(first).repartition("u")), "edges")
+    e = stored(_shrunk(first.repartition("u")), "edges")
     while True:
         low = stored(e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "parents")
         up = low.select(F.col("u").alias("v"), "m")
