@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm import jaccard, langid, packing, secret_scan, substring
 from tessera.llm._util import new_path
@@ -34,14 +33,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near copies, and one row of a repeated document."""
-    groups = jaccard.jaccard_components(docs, width=5, percent=80)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    if kept.groupBy("doc_id").count().where("count > 1").take(1):
-        w = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-        kept = kept.withColumn("_rank", F.row_number().over(w)).where("_rank = 1")
-    return _documents(kept)
+    """Keeps the first row of each group of near copies; texts without words stay unless the whole row repeats."""
+    return _documents(jaccard.first_of_components(docs.select(*COLUMNS), width=5, percent=80))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tessera.llm._util import partitions, stored
 from tessera.llm._words import Words, groups, mix64, runs
@@ -41,6 +42,7 @@ BROADCAST_ROWS = 1_000_000  # candidate documents are broadcast up to here (unde
 _BITS = 1024
 _SLICE = 1000  # rows whose texts a task holds as bytes
 _FLUSH = 1 << 20  # keys a task gathers before it sends them
+_WORD = "[^\\x20\\x09-\\x0D]"  # what a text with a word has
 _U = np.uint64
 _SEG, _D1, _D2 = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xC13FA9A902A6328F)
 
@@ -128,6 +130,20 @@ def set_digests(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, node long, check long")
 
 
+def set_nodes(docs: DataFrame, width: int) -> DataFrame:
+    """Rows of docs with `node`, the digest of their set; null for the empty set."""
+    docs = docs.select(*(c for c in docs.columns if c != "text"), "text")
+    names = [*docs.columns, "node"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _parts(batch):
+                node = [digests(s)[0] if len(s) else None for s in shingle_sets(texts, width)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.int64())], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("node", LongType())]))
+
+
 def shared_segments(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): a star over the nodes of every segment key that two or more nodes have."""
     n_buckets = 4 * partitions(docs.sparkSession)
@@ -299,6 +315,28 @@ def tile_links(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents link when 100 * intersection >= percent * union."""
+    per_doc, nodes, linked = _linked(docs, width, percent)
+    least = linked.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_node = linked.join(least, "root").select("node", "component_id")
+    named = nodes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return per_doc.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_of_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """One row of each component: the least by doc_id (null last), then by text and the other columns.
+
+    Rows with the empty set are linked with nothing; of them only identical rows count as one. doc_id names
+    no row here: it may be null or repeat.
+    """
+    _, _, linked = _linked(docs, width, percent)
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
+    one = set_nodes(docs, width).where("node is not null").groupBy("node").agg(F.min(row).alias("row"))
+    first = one.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
+    return first.select("row.*").select(*docs.columns).union(docs.where(~F.coalesce(F.col("text").rlike(_WORD), F.lit(False))).distinct())
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Digests of the documents, (node, doc_id, n, c1, c2) of the sets, and (node, root) of those that link."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     per_doc = stored(set_digests(docs, width), "digests")
     nodes = per_doc.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
@@ -307,11 +345,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
         raise ValueError("two different sets share a digest")
     groups_ = stored(components(shared_segments(docs, width, percent)), "groups")
     links = _links(docs, groups_, nodes.select("node", "doc_id", "n"), width, percent)
-    linked = components(links)
-    least = linked.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_node = linked.join(least, "root").select("node", "component_id")
-    named = nodes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return per_doc.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return per_doc, nodes, components(links)
 
 
 def _links(docs: DataFrame, groups_: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
