@@ -1,39 +1,14 @@
-"""Shared helpers: where intermediate tables live, and numbering rows without a single-task sort."""
+"""Shared helpers: removing intermediate tables, and numbering rows without a single-task sort."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_INDEX_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. A temporary one is used in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = tempfile.mkdtemp(prefix="tessera-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir") + "/_tessera"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from tessera.shared import new_path, shared_dir, stored  # noqa: F401
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and outlives executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_INDEX_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-MOST_DEPTH = 6
+from tessera.shared import reached
 
 
 def link(children: DataFrame, parents: DataFrame) -> DataFrame:
@@ -17,15 +17,11 @@ def link(children: DataFrame, parents: DataFrame) -> DataFrame:
     return rows.select("child", F.coalesce("by_qualified", "by_display").alias("parent")).where("parent is not null").distinct()
 
 
-def closure(edges: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(descendant, ancestor, depth): every ancestor with its least depth. Cycles end at most_depth."""
+def closure(edges: DataFrame) -> DataFrame:
+    """(descendant, ancestor, depth): every ancestor with its least depth, however far; cycles end."""
     steps = edges.select(F.col("child").alias("mid"), F.col("parent").alias("next"))
-    level = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    out = level
-    for depth in range(2, most_depth + 1):
-        level = level.join(steps, level.ancestor == steps.mid).select("descendant", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        out = out.unionByName(level)
-    return out.groupBy("descendant", "ancestor").agg(F.min("depth").alias("depth"))
+    first = edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor"))
+    return reached(first, lambda level: level.join(steps, F.col("ancestor") == F.col("mid")).select("descendant", F.col("next").alias("ancestor")), 1)
 
 
 def assignable(pairs: DataFrame, reach: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.shared import reached
+
 #: The share of routines and their number beyond which a partial rebuild isn't worth it.
 MOST_SHARE = 0.5
 MOST_ROUTINES = 25
@@ -54,14 +56,9 @@ def changed_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.where("was != fingerprint").select("doc_id", "node_id")
 
 
-def expand_callers(touched: DataFrame, calls: DataFrame, most_depth: int = 4) -> DataFrame:
-    """(routine, depth): touched routines and those that reach them by calls (caller, callee); cycles end at most_depth."""
-    level = touched.select("routine", F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, most_depth + 1):
-        level = level.join(calls, level.routine == calls.callee).select(F.col("caller").alias("routine"), F.lit(d).alias("depth")).distinct()
-        out = out.unionByName(level)
-    return out.groupBy("routine").agg(F.min("depth").alias("depth"))
+def expand_callers(touched: DataFrame, calls: DataFrame) -> DataFrame:
+    """(routine, depth): touched routines and all that reach them by calls (caller, callee); cycles end."""
+    return reached(touched.select("routine"), lambda level: level.join(calls, F.col("routine") == F.col("callee")).select(F.col("caller").alias("routine")), 0)
 
 
 def rebuild_plan(counts: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def callers_expand(spark, sf):
     n = read(spark, sf, "nation")
     calls = n.select(F.col("n_nationkey").cast("long").alias("caller"), ((F.col("n_nationkey") * 3 + 1) % 25).cast("long").alias("callee"))
     touched = n.where("n_regionkey = 2 and n_nationkey < 8").select(F.col("n_nationkey").cast("long").alias("routine"))
-    return inc.expand_callers(touched, calls, 3).withColumn("depth", F.col("depth").cast("long"))
+    return inc.expand_callers(touched, calls).withColumn("depth", F.col("depth").cast("long"))
 
 
 def plan_fallback(spark, sf):
