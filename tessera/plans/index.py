@@ -91,12 +91,21 @@ def effective_members(spark, sf):
     return _long(c.effective_members(_own(spark, sf), c.closure(edges(spark, sf))), "depth")
 
 
-def template_inherit(spark, sf):
-    p = read(spark, sf, "part").where("p_partkey < 500").select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("kind"), F.explode(F.split("p_name", " ")).alias("member")).distinct()
+def _template_inherit(spark, sf, part):
+    p = part.select(F.concat(F.lit("part."), F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("kind"), F.explode(F.split("p_name", " ")).alias("member")).distinct()
     templates = read(spark, sf, "part").groupBy(F.col("p_type").alias("kind")).agg(F.min("p_name").alias("name")).select("kind", F.explode(F.split("name", " ")).alias("member")).distinct()
     return c.with_template(p, templates)
 
 
+def template_inherit(spark, sf):
+    """A sample of the parts, as its SQL has it; template_inherit_all takes them all."""
+    return _template_inherit(spark, sf, read(spark, sf, "part").where("p_partkey < 500"))
+
+
+def template_inherit_all(spark, sf):
+    return _template_inherit(spark, sf, read(spark, sf, "part"))
+
+
 def depth_stats(spark, sf):
     reach = c.closure(edges(spark, sf))
     return _long(reach.groupBy("depth").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("ancestor").alias("ancestors")), "depth")
@@ -151,7 +160,7 @@ _OWN = "own AS (SELECT DISTINCT parent AS id, 'm' || (length(child) % 5) AS memb
 QUERIES = {
     f.__name__: f
     for f in (index_counts_by_type, index_stats, index_name_last_wins, index_lookup_tiered, index_suggest_top10, index_members_inverted, hierarchy_categories, hierarchy_filter, completion_prefix, completion_top50)
-    + (closure_ancestors, assignable_pairs, effective_members, template_inherit, depth_stats, missing_parent, verify_member_exists, verify_member_missing, verify_similar, verify_arity, verify_first_mismatch)
+    + (closure_ancestors, assignable_pairs, effective_members, template_inherit, template_inherit_all, depth_stats, missing_parent, verify_member_exists, verify_member_missing, verify_similar, verify_arity, verify_first_mismatch)
 }
 
 ORACLE_SQL = {
@@ -176,6 +185,9 @@ ORACLE_SQL = {
     "template_inherit": """WITH p AS (SELECT DISTINCT 'part.' || p_partkey AS id, p_type AS kind, unnest(string_split(p_name, ' ')) AS member FROM part WHERE p_partkey < 500),
       t AS (SELECT DISTINCT kind, unnest(string_split(name, ' ')) AS member FROM (SELECT p_type AS kind, min(p_name) AS name FROM part GROUP BY p_type))
       SELECT id, member, false AS inherited FROM p UNION ALL SELECT DISTINCT p.id, t.member, true FROM p JOIN t ON p.kind = t.kind WHERE NOT EXISTS (SELECT 1 FROM p x WHERE x.id = p.id AND x.member = t.member)""",
+    "template_inherit_all": """WITH p AS (SELECT DISTINCT 'part.' || p_partkey AS id, p_type AS kind, unnest(string_split(p_name, ' ')) AS member FROM part),
+      t AS (SELECT DISTINCT kind, unnest(string_split(name, ' ')) AS member FROM (SELECT p_type AS kind, min(p_name) AS name FROM part GROUP BY p_type))
+      SELECT id, member, false AS inherited FROM p UNION ALL SELECT DISTINCT p.id, t.member, true FROM p JOIN t ON p.kind = t.kind WHERE NOT EXISTS (SELECT 1 FROM p x WHERE x.id = p.id AND x.member = t.member)""",
     "depth_stats": f"WITH {EDGES_SQL}, {CLOSURE_SQL} SELECT depth::BIGINT AS depth, count(*) AS pairs, count(DISTINCT ancestor) AS ancestors FROM reach GROUP BY depth",
     "missing_parent": f"WITH {EDGES_SQL} SELECT parent, child FROM edges WHERE parent LIKE 'region%' AND parent NOT IN (SELECT 'region.' || r_regionkey FROM region WHERE r_regionkey < 3)",
     "verify_member_exists": f"WITH {_WANTED} SELECT type, member FROM wanted w WHERE EXISTS (SELECT 1 FROM words x WHERE x.type = w.type AND x.member = w.member)",

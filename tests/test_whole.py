@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import closure, incremental, verify
-
+from tessera.plans import QUERIES
 
 def test_closure_of_a_long_chain(spark):
     n = 12
@@ -29,3 +29,17 @@ def test_callers_of_a_long_chain(spark):
     assert sorted((r.routine, r.depth) for r in got) == [(0, 0), (1, 1), (2, 2), (3, 0), (4, 1), (5, 2), (6, 3), (7, 4), (8, 5), (9, 6)]
     far = incremental.expand_callers(touched.where("routine = 0"), calls.where(F.col("caller") <= 9)).collect()
     assert len(far) == 10
+
+
+def _parts(spark, tmp_path, n=600):
+    rows = [(i, f"red w{i % 7}", f"T{i % 2}", "B") for i in range(1, n + 1)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    return rows
+
+
+def test_all_parts_inherit(spark, tmp_path):
+    rows = _parts(spark, tmp_path)
+    got = sorted((r.id, r.member, r.inherited) for r in QUERIES["template_inherit_all"](spark, str(tmp_path)).collect())
+    want = [(f"part.{k}", m, False) for k, name, *_ in rows for m in name.split()]
+    want += [(f"part.{k}", "w0", True) for k, name, *_ in rows if "w0" not in name.split()]  # "red w0" is the least name of both kinds
+    assert got == sorted(want)
