@@ -51,6 +51,11 @@ def index_members_inverted(spark, sf):
     return ix.member_index(_part_members(spark, sf))
 
 
+def index_member_holders(spark, sf):
+    """Every (member, id); index_members_inverted is the report of counts and first ids over it."""
+    return _part_members(spark, sf)
+
+
 def hierarchy_categories(spark, sf):
     e = entities(spark, sf)
     return ix.categories(e, F.col("entity_kind"), F.size(F.split("display_name", " ")).cast("long"), F.length("display_name").cast("long"))
@@ -159,7 +164,7 @@ _OWN = "own AS (SELECT DISTINCT parent AS id, 'm' || (length(child) % 5) AS memb
 
 QUERIES = {
     f.__name__: f
-    for f in (index_counts_by_type, index_stats, index_name_last_wins, index_lookup_tiered, index_suggest_top10, index_members_inverted, hierarchy_categories, hierarchy_filter, completion_prefix, completion_top50)
+    for f in (index_counts_by_type, index_stats, index_name_last_wins, index_lookup_tiered, index_suggest_top10, index_members_inverted, index_member_holders, hierarchy_categories, hierarchy_filter, completion_prefix, completion_top50)
     + (closure_ancestors, assignable_pairs, effective_members, template_inherit, template_inherit_all, depth_stats, missing_parent, verify_member_exists, verify_member_missing, verify_similar, verify_arity, verify_first_mismatch)
 }
 
@@ -173,6 +178,7 @@ ORACLE_SQL = {
       SELECT term, rank, name FROM (SELECT term, name, row_number() OVER (PARTITION BY term ORDER BY name) AS rank FROM h) WHERE rank <= 10""",
     "index_members_inverted": """WITH m AS (SELECT DISTINCT 'part.' || p_partkey AS id, unnest(string_split(p_name, ' ')) AS member FROM part)
       SELECT member, count(*) AS n, array_to_string(list(id ORDER BY id)[1:5], ',') AS ids FROM m GROUP BY member""",
+    "index_member_holders": "SELECT DISTINCT unnest(string_split(p_name, ' ')) AS member, 'part.' || p_partkey AS id FROM part",
     "hierarchy_categories": f"WITH {ENTITIES_SQL} " + _CATEGORIES.format(where=""),
     "hierarchy_filter": f"WITH {ENTITIES_SQL} " + _CATEGORIES.format(where="WHERE contains(lower(display_name), 'ring')"),
     "completion_prefix": f"WITH {_LISTS} SELECT kind, label FROM lists WHERE starts_with(lower(label), 'r')",

@@ -37,6 +37,12 @@ def _parts(spark, tmp_path, n=600):
     return rows
 
 
+def test_all_holders_of_a_member(spark, tmp_path):
+    rows = _parts(spark, tmp_path)
+    got = sorted((r.member, r.id) for r in QUERIES["index_member_holders"](spark, str(tmp_path)).collect())
+    assert got == sorted((m, f"part.{k}") for k, name, *_ in rows for m in name.split())
+
+
 def test_all_parts_inherit(spark, tmp_path):
     rows = _parts(spark, tmp_path)
     got = sorted((r.id, r.member, r.inherited) for r in QUERIES["template_inherit_all"](spark, str(tmp_path)).collect())
