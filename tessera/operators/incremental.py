@@ -15,11 +15,12 @@ MOST_ROUTINES = 25
 IMPACTS = ("minor", "module", "metadata", "full")
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, change): added, removed or changed between two snapshots (path, hash)."""
-    joined = old.select("path", F.col("hash").alias("was")).join(new.select("path", F.col("hash").alias("now")), "path", "full")
+def snapshot_diff(old: DataFrame, new: DataFrame, *by: str) -> DataFrame:
+    """(*by, path, change): added, removed or changed between two snapshots (*by, path, hash), or two for each `by`."""
+    keys = [*by, "path"]
+    joined = old.select(*keys, F.col("hash").alias("was")).join(new.select(*keys, F.col("hash").alias("now")), keys, "full")
     change = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(F.col("was") != F.col("now"), "changed")
-    return joined.select("path", change.alias("change")).where("change is not null")
+    return joined.select(*keys, change.alias("change")).where("change is not null")
 
 
 def impact(path: Column) -> Column:

@@ -69,9 +69,19 @@ def _snapshot(spark, sf, first, last):
 
 
 def snapshot_diff(spark, sf):
+    """Two snapshots of few days, as its SQL has them; snapshot_diff_daily takes all days."""
     return inc.snapshot_diff(_snapshot(spark, sf, 1, 3), _snapshot(spark, sf, 3, 4))
 
 
+def snapshot_diff_daily(spark, sf):
+    """The snapshot of every day against that of the day before; before the first day there is nothing."""
+    e = read(spark, sf, "events").select(F.unix_date(F.to_date("ts")).cast("long").alias("day"), F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), "event_id")
+    new = e.groupBy("day", "path").agg(F.max("event_id").cast("string").alias("hash"))
+    last = e.agg(F.max("day").alias("last"))
+    old = new.withColumn("day", F.col("day") + 1).join(F.broadcast(last), F.col("day") <= F.col("last"))
+    return inc.snapshot_diff(old, new, "day")
+
+
 def impact_rank(spark, sf):
     end = F.when(F.col("event_type") == "error", "/Configuration.xml").when(F.col("event_type") == "click", "/a.xml").when(F.col("event_type") == "view", "/m.bsl").otherwise("/n.txt")
     e = read(spark, sf, "events").select("user_id", inc.impact(end).alias("rank"))
@@ -118,7 +128,7 @@ def session_windows(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (offset_to_line, span_overlap, dirty_range, first_write_before_read, unused_declared, undeclared_used, duplicate_declarations, type_change, snapshot_diff, impact_rank)
+    for f in (offset_to_line, span_overlap, dirty_range, first_write_before_read, unused_declared, undeclared_used, duplicate_declarations, type_change, snapshot_diff, snapshot_diff_daily, impact_rank)
     + (upsert_latest, delete_rows, merkle_levels, callers_expand, plan_fallback, tumbling_window_counts, session_windows)
 }
 
@@ -140,6 +150,10 @@ ORACLE_SQL = {
     "type_change": f"WITH {_EVENTS}, w AS (SELECT scope, name, pos, type, lag(type) OVER (PARTITION BY scope, name ORDER BY pos) AS was FROM e WHERE action = 'write') SELECT scope, name, pos, was, type FROM w WHERE was <> type",
     "snapshot_diff": f"""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change
       FROM {_SNAP.format(1, 3)} a FULL JOIN {_SNAP.format(3, 4)} b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash""",
+    "snapshot_diff_daily": """WITH s AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE) AS day, 'f' || user_id AS path, max(event_id)::VARCHAR AS hash FROM events GROUP BY ALL),
+      o AS (SELECT day + 1 AS day, path, hash FROM s WHERE day < (SELECT max(day) FROM s))
+      SELECT coalesce(a.day, b.day) AS day, coalesce(a.path, b.path) AS path, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change
+      FROM o a FULL JOIN s b ON a.path = b.path AND a.day = b.day WHERE a.hash IS DISTINCT FROM b.hash""",
     "impact_rank": "SELECT user_id, max(CASE event_type WHEN 'error' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 ELSE 0 END)::BIGINT AS rank, count(*) AS changes FROM events GROUP BY user_id",
     "upsert_latest": "SELECT max(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type",
     "delete_rows": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority <> '1-URGENT'",

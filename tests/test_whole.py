@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from tessera.operators import closure, incremental, verify
 from tessera.plans import QUERIES
 
+SF = "/root/testdata/sf0.001"
+
+
 def test_closure_of_a_long_chain(spark):
     n = 12
     e = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(n)] + [("t0", "t5"), ("t12", "t10"), (None, "t9")], "child string, parent string")
@@ -31,6 +34,24 @@ def test_callers_of_a_long_chain(spark):
     assert len(far) == 10
 
 
+def _days(spark, ids):
+    return spark.createDataFrame(ids, "day long, path string, hash string")
+
+
+def test_snapshots_of_all_days(spark):
+    new = _days(spark, [(1, "a", "1"), (2, "a", "2"), (4, "b", "3"), (2, "c", "4")])
+    old = new.withColumn("day", F.col("day") + 1).where("day <= 4")
+    got = sorted(tuple(r) for r in incremental.snapshot_diff(old, new, "day").collect())
+    assert got == [(1, "a", "added"), (2, "a", "changed"), (2, "c", "added"), (3, "a", "removed"), (3, "c", "removed"), (4, "b", "added")]
+
+
+def test_daily_query_sees_the_last_day(spark):
+    days = spark.read.parquet(f"{SF}/events.parquet").select(F.unix_date(F.to_date("ts")).alias("d"))
+    want = {r.d for r in days.distinct().collect()}
+    got = {r.day for r in QUERIES["snapshot_diff_daily"](spark, SF).where("change != 'removed'").collect()}
+    assert got == want
+
+
 def _parts(spark, tmp_path, n=600):
     rows = [(i, f"red w{i % 7}", f"T{i % 2}", "B") for i in range(1, n + 1)]
     spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
