@@ -40,7 +40,7 @@ def powers(n: int, base: np.uint64 = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(16, int(n).bit_length()), int(base))
 
 
-def groups(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(texts: list[bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Index ranges of texts that hold about `most` bytes together; a longer text stands alone."""
     at, held = 0, 0
     for i, t in enumerate(texts):

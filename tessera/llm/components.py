@@ -27,10 +27,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(_shrunk(first.repartition("u")), "edges")
     while True:
         low = stored(e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "parents")
+        n, split = low.agg(F.count(F.lit(1)), F.max(F.col("m") != F.col("most"))).first()
         up = low.select(F.col("u").alias("v"), "m")
-        if low.count() <= BROADCAST_ROWS:
+        if n <= BROADCAST_ROWS:
             up = F.broadcast(up)
-        if not low.where("m != most").take(1) and not e.join(up, "v", "left_semi").take(1):
+        if not split and e.join(up, "v", "left_semi").isEmpty():
             roots = low.select(F.col("m").alias("node"), F.col("m").alias("root")).distinct()
             return low.select(F.col("u").alias("node"), F.col("m").alias("root")).union(roots)
         moved = e.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v"))

@@ -1,25 +1,29 @@
 """Jaccard join of word n-gram sets: size-banded tiles, hashed bitmaps, exact intersection.
 
-1. Every text becomes a sorted array of distinct 64-bit shingle hashes. Equal sets are one node.
+1. Every text becomes a sorted array of distinct 64-bit shingle hashes with a 128-bit digest. Equal sets
+   are one node, numbered by the row of one of its documents.
 2. Sizes fall into bands so wide that linked sets lie in one band or in neighbouring ones. The sets of
    two neighbouring bands can differ in at most D elements, so of D + 1 + r segments of the hash range
-   at least r + 1 are equal in both. Sets that share a segment come into one tile. A segment that is
-   empty is left out where no more than r are, since another equal one remains.
-3. A tile is a connected group of sets that share segments; a large one is cut into blocks by size band
-   and hash, and only pairs of blocks of one band or of neighbouring bands are tried. What large tiles
-   are tried with first is the bitmaps alone, which splits them into the parts that the bound connects.
-4. In a tile, the bits of hashed bitmaps bound the overlap of two sets from above: each bit that only
+   at least r + 1 are equal in both. Empty segments of a set are left out where no more than r are; with
+   e of them, linked sets have r + 1 - e equal segments at least among the others.
+3. Segments that two or more nodes have meet at their key and learn how many have them. A node that has
+   fewer of them than it needs is out; of the others it may leave out its most frequent ones, all but the
+   last that it needs, since all nodes leave out by one order. So a passage in many texts makes no tile.
+4. What shares a segment still is a candidate group. A small one is a tile. Of a large one, tiles of
+   bounded size are tried, and then what represents the parts joined so far, until a round joins
+   nothing; at last every node outside its group's largest part visits all blocks of its size bands.
+5. In a tile, the bits of hashed bitmaps bound the overlap of two sets from above: each bit that only
    one of them has stands for an element that the other lacks. Pairs that the bound leaves are decided
    by intersecting the sorted arrays. A pair already joined through others isn't tried again.
-5. The links found span the components of all links.
+6. The links found span the components of all links.
 
-All candidates are tried; there is no cap. Nodes are named by a 64-bit digest of the set, and a second
-digest checks that no two sets share a name.
+All candidates are tried; there is no cap. A tile holds at most BLOCK sets of average size or their
+weight in long ones; a key that very many nodes have passes through in pieces.
 
 Defined cases: null texts and texts without words have the empty set and are linked with nothing; a text
 with fewer words than a shingle has one, its whole sequence; repeated rows are linked; of a null doc_id
-the component is the least non-null one; an empty table gives no row; columns other than doc_id and
-text are not read.
+the component is the least non-null one; a very long text is one set like any other and weighs as
+several in its tile; an empty table gives no row; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,20 +32,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tessera.llm._util import partitions, stored
 from tessera.llm._words import Words, groups, mix64, runs
-from tessera.llm.components import components
+from tessera.llm.components import components, stars
 
-BLOCK = 4096  # sets in a tile; a set over _HEAVY shingles counts as several
+BLOCK = 512  # sets in a tile; a set over _HEAVY shingles counts as several
 _HEAVY = 2048
-BROADCAST_ROWS = 1_000_000  # candidate documents are broadcast up to here (under 64 MB), else shuffled
+BROADCAST_ROWS = 250_000  # candidate documents are broadcast up to here (under 32 MB), else shuffled
 _BITS = 1024
 _SLICE = 1000  # rows whose texts a task holds as bytes
-_FLUSH = 1 << 20  # keys a task gathers before it sends them
+_FLUSH = 1 << 19  # keys a task gathers before it sends them
+_BUCKET = 1 << 19  # keys meant for one bucket
+_HELD = 1 << 20  # keys of a bucket a task holds before it lets frequent ones pass
+_MANY = 1 << 16  # nodes from which a key counts as this frequent
+_SEEN = 200_000  # sets a task remembers so as not to send a copy's keys
 _WORD = "[^\\x20\\x09-\\x0D]"  # what a text with a word has
 _U = np.uint64
 _SEG, _D1, _D2 = _U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25), _U(0xC13FA9A902A6328F)
@@ -56,21 +64,31 @@ class Bands:
         self.percent = percent
         self.low = [1]
 
+    def _upto(self, band: int) -> None:
+        while len(self.low) < band + 2:
+            self.low.append(self.low[-1] * 100 // self.percent + 1)
+
     def of(self, n: int) -> int:
         """The band of a set size; sizes n <= m that can link lie in one band or in neighbouring ones."""
         while self.low[-1] <= n:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
+            self._upto(len(self.low) - 1)
         return int(np.searchsorted(self.low, n, side="right")) - 1
 
     def segments(self, band: int) -> tuple[int, int]:
         """(D + 1 + r, r) for pairs whose larger set is in `band`."""
-        self.of(self.low[min(band, len(self.low) - 1)])
-        while len(self.low) < band + 2:
-            self.low.append(self.low[-1] * 100 // self.percent + 1)
+        self._upto(band)
         most = 2 * (self.low[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-        spare = 2 + most // 32
+        spare = 2 + most // 3
         return most + 1 + spare, spare
 
+    def column(self, n: Column, largest: int) -> Column:
+        """The band of a size as a column; no size is over `largest`."""
+        self.of(largest + 1)
+        at = F.lit(0)
+        for low in self.low[1:]:
+            at = at + (n >= low).cast("int")
+        return at
+
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; A-Z count as a-z."""
@@ -84,23 +102,29 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
                 yield runs(w.hash[i:j], j - i) if j > i else np.empty(0, _U)
 
 
-def digests(s: np.ndarray) -> tuple[int, int]:
-    """Two digests of a set as signed 64-bit integers."""
+def digest(s: np.ndarray) -> bytes:
+    """128 bits of a set."""
     sums = np.asarray([mix64(s ^ _D1).sum(dtype=_U), mix64(s ^ _D2).sum(dtype=_U)])
-    return tuple(mix64(sums + _U(len(s))).view(np.int64).tolist())
+    return mix64(sums + _U(len(s))).tobytes()
+
 
+def short(name: bytes) -> int:
+    """The half of a digest that stands for the set while candidates are looked for."""
+    return int.from_bytes(name[:8], "little", signed=True)
 
-def segment_keys(s: np.ndarray, band: int, bands: Bands) -> np.ndarray:
-    """Keys of the segments of a set in the pairs whose larger set is in `band`."""
+
+def segment_keys(s: np.ndarray, band: int, bands: Bands) -> tuple[np.ndarray, int]:
+    """Keys of the segments of a set in the pairs whose larger set is in `band`, and how many of them a linked set has at least."""
     m, spare = bands.segments(band)
     seg = ((s >> _U(32)) * _U(m)) >> _U(32)
     first = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
     there = seg[first]
     keys = mix64(np.add.reduceat(mix64(s ^ _SEG), first) + mix64(there + (_U(band) << _U(32))))
-    if m - len(first) > spare:
-        empty = np.setdiff1d(np.arange(m, dtype=_U), there)
-        keys = np.concatenate([keys, mix64(_SEG + mix64(empty + (_U(band) << _U(32))))])
-    return keys
+    gaps = m - len(first)
+    if gaps <= spare:
+        return keys, spare + 1 - gaps
+    empty = np.setdiff1d(np.arange(m, dtype=_U), there)
+    return np.concatenate([keys, mix64(_SEG + mix64(empty + (_U(band) << _U(32))))]), 1  # a linked set may leave its empty ones out
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -118,102 +142,167 @@ def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]
 
 
 def set_digests(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, node, check): size and digests of each document's set."""
+    """(doc_id, text_key, n, name, short): the text's digest, and the size and digest of the document's set (null for the empty one)."""
+    kinds = (pa.int64(), pa.binary(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _parts(batch):
-                rows = [(len(s), *digests(s)) if len(s) else (0, None, None) for s in shingle_sets(texts, width)]
-                cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *cols], names=["doc_id", "n", "node", "check"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long")
+                names = [(len(s), digest(s) if len(s) else None) for s in shingle_sets(texts, width)]
+                rows = [(n, name, name and short(name)) for n, name in names]
+                cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["doc_id", "text_key", "n", "name", "short"])
 
+    return docs.select("doc_id", text_key("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key binary, n long, name binary, short long")
 
-def set_nodes(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of docs with `node`, the digest of their set; null for the empty set."""
-    docs = docs.select(*(c for c in docs.columns if c != "text"), "text")
-    names = [*docs.columns, "node"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in _parts(batch):
-                node = [digests(s)[0] if len(s) else None for s in shingle_sets(texts, width)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(node, pa.int64())], names=names)
+def text_key(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text)))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("node", LongType())]))
 
+def shared_segments(docs: DataFrame, width: int, percent: int, n_keys: int) -> DataFrame:
+    """(short, upper, need, key, seen): the segments of each node that other nodes have, and how many have them.
 
-def shared_segments(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): a star over the nodes of every segment key that two or more nodes have."""
-    n_buckets = 4 * partitions(docs.sparkSession)
+    `upper` tells the segments for pairs whose larger set is in the next band from those for its own band.
+    """
+    n_parts = partitions(docs.sparkSession)
+    n_buckets = max(4 * n_parts, -(-n_keys // _BUCKET))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, keys, nodes, sizes, held = Bands(percent), [], [], [], 0
+        bands, done, held = Bands(percent), set(), _Keys()
         for batch in batches:
-            done: set[int] = set()
             for s in (s for _, texts in _parts(batch) for s in shingle_sets(texts, width)):
                 if not len(s):
                     continue
-                node, _ = digests(s)
+                node = short(digest(s))
                 if node in done:
                     continue
-                done.add(node)
+                if len(done) < _SEEN:
+                    done.add(node)
                 band = bands.of(len(s))
-                for k in (band, band + 1):
-                    if bands.segments(k)[0] - bands.segments(k)[1] > 1:
-                        keys.append(segment_keys(s, k, bands))
-                        nodes.append(node)
-                        sizes.append(len(keys[-1]))
-                        held += sizes[-1]
-                if held > _FLUSH:
-                    yield _bucketed(keys, nodes, sizes, n_buckets)
-                    keys, nodes, sizes, held = [], [], [], 0
-        if held:
-            yield _bucketed(keys, nodes, sizes, n_buckets)
+                for upper in (0, 1):
+                    m, spare = bands.segments(band + upper)
+                    if m - spare > 1:
+                        held.add(node, upper, *segment_keys(s, band + upper, bands))
+                if held.n > _FLUSH:
+                    yield held.bucketed(n_buckets)
+                    held = _Keys()
+        if held.n:
+            yield held.bucketed(n_buckets)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, nodes = None, [], []
+        now, bucket = None, _Bucket()
         for batch in batches:
-            for bucket, k, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if bucket != now and keys:
-                    yield _stars(keys, nodes)
-                    keys, nodes = [], []
-                now = bucket
-                keys.append(np.frombuffer(k, _U))
-                nodes.append(np.frombuffer(n, np.int64))
-        if keys:
-            yield _stars(keys, nodes)
-
-    sent = docs.mapInArrow(send, "bucket int, keys binary, nodes binary")
-    return sent.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long")
-
-
-def _bucketed(keys: list, nodes: list, sizes: list, n_buckets: int) -> pa.RecordBatch:
-    k, n = np.concatenate(keys), np.repeat(np.asarray(nodes, np.int64), sizes)
-    bucket = (k % _U(n_buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    k, n, bucket = k[order], n[order], bucket[order]
-    cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(k)]])
-    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-    cols = [pa.array(bucket[cut[:-1]]), pa.array([k[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["bucket", "keys", "nodes"])
-
-
-def _stars(keys: list, nodes: list) -> pa.RecordBatch:
-    """For each key of one bucket, its least node with each other."""
-    k, n = np.concatenate(keys), np.concatenate(nodes)
-    order = np.argsort(k)
-    k, n = k[order], n[order]
-    same = k[1:] == k[:-1]
-    part = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    k, n = k[part], n[part]
-    if not len(k):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-    first = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-    least = np.repeat(np.minimum.reduceat(n, first), np.diff(np.concatenate([first, [len(k)]])))
-    pairs = np.unique(np.stack([least, n])[:, least != n], axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            for i, at in enumerate(batch.column(0).to_pylist()):
+                if at != now:
+                    yield from bucket.close()
+                    now, bucket = at, _Bucket()
+                yield from bucket.add(*(np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in enumerate(_KINDS, 1)))
+        yield from bucket.close()
+
+    sent = docs.mapInArrow(send, "bucket int, keys binary, nodes binary, needs binary")
+    return sent.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "short long, upper int, need int, key long, seen int")
+
+
+_KINDS = ("<u8", "<i8", "<u2")  # of a key: itself, its node, and twice what the node needs, plus 1 for the upper band
+
+
+class _Keys:
+    """Keys that a task gathers."""
+
+    def __init__(self):
+        self.rows, self.n = [], 0
+
+    def add(self, node: int, upper: int, keys: np.ndarray, need: int) -> None:
+        self.rows.append((keys, node, 2 * min(need, 32767) + upper))
+        self.n += len(keys)
+
+    def bucketed(self, n_buckets: int) -> pa.RecordBatch:
+        sizes = [len(r[0]) for r in self.rows]
+        cols = [np.concatenate([r[0] for r in self.rows]), *(np.repeat(np.asarray([r[k] for r in self.rows], kind), sizes) for k, kind in enumerate(_KINDS[1:], 1))]
+        bucket = (cols[0] % _U(n_buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        cut = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
+        packed = []
+        for c in cols:
+            c = c[order]
+            packed.append(pa.array([c[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *packed], names=["bucket", "keys", "nodes", "needs"])
+
+
+class _Bucket:
+    """The keys of one bucket: leaves those of one node, and lets keys of very many nodes pass as they come."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.n, self.limit = 0, _HELD
+        self.many = np.empty(0, _U)
+
+    def add(self, *cols: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(self.many):
+            hot = np.isin(cols[0], self.many)
+            if hot.any():
+                yield _seen([c[hot] for c in cols], np.full(int(hot.sum()), _MANY))
+                cols = tuple(c[~hot] for c in cols)
+        self.held.append(cols)
+        self.n += len(cols[0])
+        if self.n > self.limit:
+            rows, count = self._counted()
+            hot = count >= _MANY
+            if hot.any():
+                self.many = np.union1d(self.many, rows[0][hot])
+                yield _seen([c[hot] for c in rows], np.full(int(hot.sum()), _MANY))
+                rows = [c[~hot] for c in rows]
+            self.held, self.n = [tuple(rows)], len(rows[0])
+            self.limit = 2 * max(self.n, _HELD // 2)
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            rows, count = self._counted()
+            shared = count > 1
+            if shared.any():
+                yield _seen([c[shared] for c in rows], np.minimum(count[shared], _MANY))
+
+    def _counted(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """What is held, by key, each (key, node) once, and the number of nodes of each row's key."""
+        rows = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        order = np.lexsort((rows[1], rows[0]))
+        rows = [c[order] for c in rows]
+        new_key = np.concatenate([[True], rows[0][1:] != rows[0][:-1]])
+        once = new_key | np.concatenate([[True], rows[1][1:] != rows[1][:-1]])
+        rows, new_key = [c[once] for c in rows], new_key[once]
+        return rows, np.bincount(np.cumsum(new_key) - 1)[np.cumsum(new_key) - 1]
+
+
+def _seen(rows: list[np.ndarray], count: np.ndarray) -> pa.RecordBatch:
+    key, node, need = rows
+    cols = [pa.array(c) for c in (node, (need & 1).astype(np.int32), (need >> 1).astype(np.int32), key.view(np.int64), count.astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, names=["short", "upper", "need", "key", "seen"])
+
+
+def candidate_groups(segments: DataFrame) -> DataFrame:
+    """(short, root): nodes connected by the segments that each keeps of its shared ones, the rarest first."""
+    w = Window.partitionBy("short", "upper")
+    ranked = segments.withColumns({"rank": F.row_number().over(w.orderBy("seen", "key")), "of": F.count(F.lit(1)).over(w)})
+    kept = ranked.where((F.col("of") >= F.col("need")) & (F.col("rank") <= F.col("of") - F.col("need") + 1)).select("key", "short")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Neighbours of one key, shrunk to stars; rows come sorted by key."""
+        held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        keys, nodes = held
+        for batch in batches:
+            keys = np.concatenate([keys[-1:], batch.column(0).to_numpy()])
+            nodes = np.concatenate([nodes[-1:], batch.column(1).to_numpy()])
+            same = keys[1:] == keys[:-1]
+            held = stars(*(np.concatenate(x) for x in zip(held, (nodes[1:][same], nodes[:-1][same]), strict=True)))
+            if len(held[0]) > _HELD:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names=["a", "b"])
+                held = (held[0][:0], held[1][:0])
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names=["a", "b"])
+
+    edges = kept.repartition(partitions(segments.sparkSession), "key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long")
+    return components(edges).select(F.col("node").alias("short"), "root")
 
 
 class _Union:
@@ -227,11 +316,9 @@ class _Union:
         self.of[self.of == max(a, b)] = min(a, b)
 
 
-def links_of(sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None, labels: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
-    """Index pairs of a tile that link and join different labels; sizes ascend.
-
-    With `side`, only pairs of different sides. Without `sets`, pairs that the bound allows count as links.
-    """
+def links_of(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Index pairs of a tile that link and join different labels; sizes ascend. With `side`, only pairs of different sides."""
+    sizes, bits = np.asarray([len(s) for s in sets], np.int64), np.stack([bitmap(s) for s in sets])
     out: list[tuple[int, int]] = []
     known = _Union(labels)
     stop = np.searchsorted(sizes, sizes * 100 // percent, side="right")
@@ -249,10 +336,6 @@ def links_of(sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None,
         bound = np.minimum(sizes[i] - only_i, sizes[j] - only_j)
         for c in j[bound >= need].tolist():
             if known.of[c] != known.of[i]:
-                if sets is None:
-                    known.join(i, c)
-                    out.append((i, c))
-                    continue
                 a, b = sets[i], sets[c]
                 both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
                 if 100 * both >= percent * (len(a) + len(b) - both):
@@ -261,55 +344,52 @@ def links_of(sizes: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None,
     return out
 
 
-def candidate_rows(docs: DataFrame, wanted: DataFrame, width: int, exact: bool) -> DataFrame:
-    """wanted (doc_id, tile, side, node, label) with `size` and `data`: the set of the document, or its bitmap, made again from the text."""
+def candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """wanted (doc_id, name, ...) with `data`, the set of the document, made again from the text."""
     few = wanted.count() <= BROADCAST_ROWS
-    wanted = wanted.select(F.col("doc_id").alias("_id"), "tile", F.col("side").cast("int").alias("side"), "node", "label")
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("tile", "side", "node", "label", "text")
+    others = [c for c in wanted.columns if c not in ("doc_id", "name")]
+    wanted = wanted.withColumnRenamed("doc_id", "_id")
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("name", *others, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _parts(batch):
-                kept, sizes, data = [], [], []
-                for i, (node, s) in enumerate(zip(part.column(2).to_pylist(), shingle_sets(texts, width), strict=True)):
-                    if len(s) and digests(s)[0] == node:  # another row may have the same doc_id
+                kept, data = [], []
+                for i, (name, s) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(texts, width), strict=True)):
+                    if len(s) and digest(s) == name:  # another row may have the same doc_id
                         kept.append(i)
-                        sizes.append(len(s))
-                        data.append((s if exact else bitmap(s)).tobytes())
-                cols = [part.column(c).take(pa.array(kept, pa.int64())) for c in range(4)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int64()), pa.array(data, pa.binary())], names=["tile", "side", "node", "label", "size", "data"])
+                        data.append(s.tobytes())
+                cols = [part.column(c).take(pa.array(kept, pa.int64())) for c in range(1, len(others) + 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(data, pa.binary())], names=[*others, "data"])
 
-    return texts.mapInArrow(run, "tile long, side int, node long, label long, size long, data binary")
+    return texts.mapInArrow(run, texts.select(*others).schema.add("data", "binary"))
 
 
-def tile_links(rows: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """(a, b) from what candidate_rows returns: links in every tile between different labels, and sides where they are set."""
+def tile_links(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from rows (tile, side, node, label, data): links in every tile between different labels, and sides where they are set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held = None, {}
         for batch in batches:
-            for tile, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
-                if tile != now and held:
+            for i, tile in enumerate(batch.column(0).to_pylist()):
+                if tile != now:
                     yield from one(held)
-                    held = []
-                now = tile
-                held.append(row)
-        if held:
-            yield from one(held)
-
-    def one(held: list) -> Iterator[pa.RecordBatch]:
-        held = list({r[1]: r for r in held}.values())  # repeated rows of a document
+                    now, held = tile, {}
+                side, node, label = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                held[node, side] = label, batch.column(4)[i].as_py()  # a repeated row of a document counts once
+        yield from one(held)
+
+    def one(held: dict) -> Iterator[pa.RecordBatch]:
         if len(held) < 2:
             return
-        held.sort(key=lambda r: r[3])
-        data = [np.frombuffer(r[4], _U) for r in held]
-        side = None if held[0][0] is None else np.asarray([r[0] for r in held])
-        sizes, nodes = np.asarray([r[3] for r in held], np.int64), [r[1] for r in held]
-        bits = np.stack([bitmap(s) for s in data] if exact else data)
-        found = links_of(sizes, bits, data if exact else None, np.asarray([r[2] for r in held]), side, percent)
+        rows = sorted(held.items(), key=lambda r: len(r[1][1]))
+        side = None if rows[0][0][1] is None else np.asarray([r[0][1] for r in rows])
+        _, labels = np.unique(np.asarray([r[1][0] for r in rows], np.int64), return_inverse=True)
+        found = links_of([np.frombuffer(r[1][1], _U) for r in rows], labels, side, percent)
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([rows[p[k]][0][0] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    rows = rows.select("tile", F.col("side").cast("int").alias("side"), "node", "label", "data")
     return rows.repartition(partitions(rows.sparkSession), "tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
 
 
@@ -318,94 +398,100 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     per_doc, nodes, linked = _linked(docs, width, percent)
     least = linked.join(nodes, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = linked.join(least, "root").select("node", "component_id")
-    named = nodes.join(of_node, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return per_doc.join(named, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = nodes.join(of_node, "node", "left").select("name", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return per_doc.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def first_of_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """One row of each component: the least by doc_id (null last), then by text and the other columns.
 
     Rows with the empty set are linked with nothing; of them only identical rows count as one. doc_id names
-    no row here: it may be null or repeat.
+    no row here: it may be null or repeat. Only rows that go, or whose rival has the same doc_id, are looked up.
     """
-    _, _, linked = _linked(docs, width, percent)
-    row = F.struct(F.col("doc_id").isNull(), "doc_id", "text", *(c for c in docs.columns if c not in ("doc_id", "text")))
-    one = set_nodes(docs, width).where("node is not null").groupBy("node").agg(F.min(row).alias("row"))
-    first = one.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
-    return first.select("row.*").select(*docs.columns).union(docs.where(~F.coalesce(F.col("text").rlike(_WORD), F.lit(False))).distinct())
+    per_doc, nodes, linked = _linked(docs, width, percent)
+    texts = per_doc.where("n > 0").groupBy("doc_id", "text_key", "name").agg(F.count(F.lit(1)).alias("copies"))
+    rooted = texts.join(nodes.select("name", "node"), "name").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = stored(rooted.select("root", "doc_id", "text_key", "copies"), "texts")
+    id_ = F.struct(F.col("doc_id").isNull(), "doc_id")
+    several = rooted.groupBy("root").agg(F.min(id_).alias("least"), F.sum("copies").alias("rows")).where("rows > 1")
+    several = rooted.join(several, "root").withColumn("_stays", id_ == F.col("least"))
+    rivals = several.where("_stays").groupBy("root").agg(F.sum("copies").alias("rivals"))
+    special = several.join(rivals, "root").where("not _stays or rivals > 1")
+    special = stored(special.select(F.col("root").alias("_root"), F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_stays"), "special")
+    if special.count() <= BROADCAST_ROWS:
+        special = F.broadcast(special)
+    has_word = F.coalesce(F.col("text").rlike(_WORD), F.lit(False))
+    at = docs.where(has_word).join(special, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (text_key("text") == F.col("_key")), "left")
+    row = F.struct("text", *(c for c in docs.columns if c != "text"))
+    of_rivals = at.where("_stays").groupBy("_root").agg(F.min(row).alias("row")).select("row.*").select(*docs.columns)
+    return at.where("_stays is null").select(*docs.columns).union(of_rivals).union(docs.where(~has_word).distinct())
 
 
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Digests of the documents, (node, doc_id, n, c1, c2) of the sets, and (node, root) of those that link."""
+    """Digests of the documents, (name, node, doc_id, n) of the sets, and (node, root) of those that link."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    per_doc = stored(set_digests(docs, width), "digests")
-    nodes = per_doc.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    per_doc = stored(set_digests(docs, width).withColumn("row", F.monotonically_increasing_id()), "digests")
+    nodes = per_doc.where("n > 0").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("short").alias("short"))
     nodes = stored(nodes, "nodes")
-    if nodes.where("c1 != c2").take(1):
-        raise ValueError("two different sets share a digest")
-    groups_ = stored(components(shared_segments(docs, width, percent)), "groups")
-    links = _links(docs, groups_, nodes.select("node", "doc_id", "n"), width, percent)
-    return per_doc, nodes, components(links)
-
-
-def _links(docs: DataFrame, groups_: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that span the components of all links inside the candidate groups (node, root)."""
-    bands = Bands(percent)
-    bands.of((nodes.agg(F.max("n")).first()[0] or 1) + 1)
-    band = F.lit(0)
-    for b in bands.low[1:]:
-        band = band + (F.col("n") >= b).cast("int")
-    known = nodes.select("node", "doc_id", band.alias("band"), F.greatest(F.lit(1.0), F.col("n") / _HEAVY).alias("weight"))
-    members = _sized(groups_.join(known, "node"))
-    large = members.where(F.col("total") > BLOCK)
-    if large.take(1):
-        allowed = stored(components(_rounds(docs, large, width, percent, exact=False)), "parts")
-        members = _sized(members.where(F.col("total") <= BLOCK).drop("total").unionByName(large.drop("root", "total").join(allowed, "node")))
-    return _rounds(docs, members, width, percent, exact=True)
-
-
-def _sized(members: DataFrame) -> DataFrame:
-    """members (node, root, doc_id, band, weight) with `total`, the weight of the group."""
-    return stored(members.join(members.groupBy("root").agg(F.sum("weight").alias("total")), "root"), "members")
-
-
-def _rounds(docs: DataFrame, members: DataFrame, width: int, percent: int, exact: bool) -> DataFrame:
-    """(a, b): links that join all that can be joined: in each block, then of what represents the joined parts, then in pairs of blocks not joined yet."""
+    total, largest = nodes.agg(F.sum("n"), F.max("n")).first()
+    segments = shared_segments(docs, width, percent, n_keys=(total or 0) * 6 * (100 - percent) // (100 + percent))
+    groups_ = stored(candidate_groups(stored(segments, "segments")), "groups")
+    band = Bands(percent).column(F.col("n"), largest or 0)
+    weight = F.greatest(F.lit(1.0), F.col("n") / _HEAVY)
+    members = stored(groups_.join(nodes, "short").select("root", "node", "name", "doc_id", band.alias("band"), weight.alias("weight")), "members")
+    totals = members.groupBy("root").agg(F.sum("weight").alias("total"))
+    members = stored(members.join(totals, "root"), "members")
+    links = _small(docs, members.where(F.col("total") <= BLOCK), width, percent)
     large = members.where(F.col("total") > BLOCK)
-    blocks = large.groupBy("root", "band").agg(F.ceil(F.sum("weight") / BLOCK).alias("parts"))
-    small = members.where(F.col("total") <= BLOCK).select("doc_id", "node", "root", F.lit(-1).alias("band"), F.lit(0).cast("long").alias("part"))
-    large = large.join(blocks, ["root", "band"]).select("doc_id", "node", "root", "band", F.pmod(F.xxhash64("node"), "parts").alias("part"))
-    placed = stored(small.unionByName(large), "placed")
+    if not large.isEmpty():
+        links = links.union(_large(docs, large, width, percent))
+    return per_doc, nodes, components(links)
 
-    def found(tiles: DataFrame) -> DataFrame:
-        return tile_links(candidate_rows(docs, stored(tiles.select("doc_id", "tile", "side", "node", "label"), "tiles"), width, exact), percent, exact)
 
-    links = stored(found(placed.withColumns({"tile": F.xxhash64("root", "band", "part"), "side": F.lit(None).cast("int"), "label": F.col("node")})), "links")
-    large = placed.where("band >= 0")
-    if not large.take(1):
+def _small(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links of the groups that are one tile each."""
+    tiles = members.select("doc_id", "name", F.col("root").alias("tile"), F.lit(None).cast("int").alias("side"), "node", F.col("node").alias("label"))
+    return stored(tile_links(candidate_sets(docs, tiles, width), percent), "links")
+
+
+def _large(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that join all that can be joined in groups of more than one tile."""
+    sets = stored(candidate_sets(docs, members.select("doc_id", "name", "node", "root", "band", "weight"), width), "sets")
+    data = sets.select("node", "data")
+    now = sets.select("node", "root", "band", "weight", F.col("node").alias("label"))
+    links, round_, n_heads = None, 0, None
+    while True:  # a row stands for what it has been joined with
+        heads = now.where("node = label")
+        sizes = stored(heads.groupBy("root").agg(F.ceil(F.sum("weight") / BLOCK).alias("k"), F.count(F.lit(1)).alias("heads")).where("heads > 1"), "sizes")
+        left = sizes.agg(F.sum("heads")).first()[0] or 0
+        if not left or (n_heads is not None and left > 0.9 * n_heads):
+            break
+        tile = F.xxhash64("root", F.pmod(F.xxhash64("node", F.lit(round_)), "k"))
+        tiles = heads.join(sizes, "root").select(tile.alias("tile"), F.lit(None).cast("int").alias("side"), "node", "label")
+        found = stored(tile_links(tiles.join(data, "node"), percent), "links")
+        links = found if links is None else links.union(found)
+        joined = components(links).withColumnRenamed("root", "joined")
+        now = stored(now.join(joined, "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined"), "labels")
+        round_, n_heads = round_ + 1, left
+    if not left:
         return links
-    for heads_only in (True, False):
-        joined = components(links).select("node", F.col("root").alias("joined"))
-        now = large.join(joined, "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined")
-        now = stored(now, "labels")
-        if heads_only:
-            heads = now.where("node = label")
-            many = heads.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("k"))
-            tiles = heads.join(many, "root").withColumns({"tile": F.xxhash64("root", F.pmod(F.xxhash64("label", F.lit(1)), "k")), "side": F.lit(None).cast("int")})
-        else:
-            tiles = _block_pairs(now)
-        links = stored(links.union(found(tiles)), "links")
-    return links
-
-
-def _block_pairs(rows: DataFrame) -> DataFrame:
-    """Rows for each pair of blocks of one band or of neighbouring bands that isn't one component yet."""
-    blocks = rows.groupBy("root", "band", "part").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    x, y = blocks.alias("x"), blocks.select(*(F.col(c).alias(f"{c}2") for c in blocks.columns)).alias("y")
-    near = ((F.col("band2") == F.col("band")) & (F.col("part2") > F.col("part"))) | (F.col("band2") == F.col("band") + 1)
-    apart = (F.col("low") != F.col("low2")) | (F.col("low") != F.col("high")) | (F.col("low2") != F.col("high2"))
-    x = x.withColumn("at", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-    pairs = x.join(y, (F.col("root") == F.col("root2")) & (F.col("at") == F.col("band2"))).where(near & apart)
-    tile = F.xxhash64("root", "band", "part", "band2", "part2").alias("tile")
-    ends = pairs.select(tile, F.lit(0).alias("side"), "root", "band", "part").union(pairs.select(tile, F.lit(1).alias("side"), "root", F.col("band2").alias("band"), F.col("part2").alias("part")))
-    return ends.join(rows, ["root", "band", "part"])
+    return links.union(stored(tile_links(_visits(now).join(data, "node"), percent), "links"))
+
+
+def _visits(now: DataFrame) -> DataFrame:
+    """(tile, side, node, label): every row outside its group's most frequent label, with each block of rows in its band or a neighbouring one."""
+    at = ["root", "band"]
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        k = rows.groupBy(*at).agg(F.ceil(F.sum("weight") / BLOCK).alias("k"))
+        return rows.join(k, at).withColumn(name, F.pmod(F.xxhash64("node"), "k")).select(*at, name, "node", "label")
+
+    most = now.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("most"))
+    guests = stored(blocks(now.join(most, "root").where("label != most"), "guest").withColumnRenamed("band", "own"), "guests")
+    hosts = stored(blocks(now, "host"), "hosts")
+    near = F.explode(F.array(*(F.col("own") + d for d in (-1, 0, 1)))).alias("band")
+    pairs = guests.select("root", "own", "guest").distinct().select("*", near).join(hosts.select(*at, "host").distinct(), at)
+    pairs = stored(pairs.withColumn("tile", F.xxhash64("root", "own", "guest", "band", "host")), "pairs")
+    ends = [(guests, ["root", "own", "guest"], 0), (hosts, [*at, "host"], 1)]
+    rows = [df.join(pairs, keys).select("tile", F.lit(side).alias("side"), "node", "label") for df, keys, side in ends]
+    return rows[0].union(rows[1])
