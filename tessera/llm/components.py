@@ -1,4 +1,7 @@
-"""Connected components of an edge table: forests of each task's edges, then parents replaced by their own parents."""
+"""Connected components of an edge table: forests of each task's edges, then parents replaced by their own parents.
+
+What is left of a table of up to SMALL edges is finished in one task.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm._util import stored
 
 BROADCAST_ROWS = 1_000_000  # least parents are broadcast up to here (16 bytes each), else shuffled
+SMALL = 1 << 20  # edges that one task finishes: 16 MB
 _HELD = 1 << 20  # edges a task holds before it shrinks them to a forest
 
 
@@ -20,12 +24,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges point from a node u to a lesser one v. A round replaces each v by the least that v points to,
     then deals the edges by u and shrinks those of a task to stars around the least node of each part. It
-    ends when every u has one v and no v is a u. A round is two shuffles, of one edge for each node and
+    ends when every u has one v and no v is a u, or few edges are left. A round is two shuffles, of one edge for each node and
     task at most, and its result is written to the shared folder.
     """
-    first = edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v")
-    e = stored(_shrunk(first.repartition("u")), "edges")
-    while True:
+    e = stored(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u != v"), "edges")
+    if e.count() > SMALL:
+        e = stored(_shrunk(e.repartition("u")), "edges")
+    while e.count() > SMALL:
         low = stored(e.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most")), "parents")
         n, split = low.agg(F.count(F.lit(1)), F.max(F.col("m") != F.col("most"))).first()
         up = low.select(F.col("u").alias("v"), "m")
@@ -36,6 +41,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return low.select(F.col("u").alias("node"), F.col("m").alias("root")).union(roots)
         moved = e.join(up, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         e = stored(_shrunk(moved.repartition("u")), "edges")
+    return e.coalesce(1).mapInArrow(_finished, "node long, root long")
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges, which SMALL bounds."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        u, v = stars(*map(np.concatenate, zip(*held, strict=True)))
+        root = np.unique(v)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([u, root])), pa.array(np.concatenate([v, root]))], names=["node", "root"])
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

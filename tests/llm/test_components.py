@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from tessera.llm import components as module
 from tessera.llm.components import components
 
 
@@ -22,8 +23,10 @@ def _plain(edges: list[tuple[int, int]]) -> dict[int, int]:
     return {x: root(x) for x in up}
 
 
+@pytest.mark.parametrize("small", [0, 1 << 20])
 @pytest.mark.parametrize("kind", ["none", "sparse", "path", "star"])
-def test_components(spark, kind):
+def test_components(spark, monkeypatch, kind, small):
+    monkeypatch.setattr(module, "SMALL", small)
     rng = np.random.default_rng(1)
     edges = {
         "none": [],
