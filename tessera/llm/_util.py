@@ -17,12 +17,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
-    """df sorted by keys over range partitions and stored, with `_part` and `_idx` (place in the part).
+def ordered(df: DataFrame, keys: list[str | Column], path: str) -> DataFrame:
+    """df sorted by keys over range partitions and written to `path`, with `_part` and `_idx` (place in the part).
 
     A range shuffle reads its input twice, for the bounds and for the rows; store a costly df first.
     """
@@ -30,7 +38,9 @@ def ordered(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
     out = df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
     out = out.withColumn("_row", F.monotonically_increasing_id())
     out = out.withColumns({"_part": F.shiftright(row, _INDEX_BITS).cast("int"), "_idx": row.bitwiseAND((1 << _INDEX_BITS) - 1)})
-    return stored(out.drop("_row"), name)
+    out = out.drop("_row")
+    out.write.parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def _before(parts: DataFrame, size: str) -> DataFrame:

@@ -3,18 +3,21 @@
 Each document's id stream (its ids and an end id) is cut where a rolling hash of the last 16 ids
 meets a mask, so equal passages give equal chunks wherever they stand. A store is a folder:
 
-- `chunks`: hash (blake2b-128 of the ids), n, payload (the ids, little-endian, 16 bits wide when the
-  vocabulary allows, else 32, in a zstd frame). Each different chunk is there once.
-- `recipes`: documents in ascending doc_id order: doc_id, start (ids of all documents before), n_tokens,
-  the list of chunk hashes, and the Merkle root over that list.
+- `chunks`: hash (blake2b-128 of the ids), home (the row that holds it first), n, payload (the ids,
+  little-endian, 16 bits wide when the vocabulary allows, else 32, in a zstd frame). Each different chunk
+  is there once.
+- `recipes`: documents in ascending doc_id order: row, doc_id, start (ids of all documents before),
+  n_tokens, the list of chunk hashes, and the Merkle root over that list.
+- `guests`: (hash, row) of every other row that holds a chunk.
 - `manifest`: a digest over the roots of every run of recipes, over the runs of every part, and over all.
 
-Reading joins recipes with chunks, checks every payload against its hash and every document against
-its root, and fails on any difference.
+Reading sends each chunk to its home and, joined with `guests`, to the other rows that hold it, so that
+most payloads are shuffled once. Every payload is checked against its hash and every document against its
+root; any difference is an error.
 
 Defined cases: null or empty text is a document of the end id alone; rows that share a doc_id are
-documents of their own, in the order read; an empty table gives an empty store; columns other than
-doc_id and text are not read.
+documents of their own, in the order read; a very long text has as many chunks as it needs, and only its
+own are held together; an empty table gives an empty store; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,10 +30,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm._ids import byte_bpe, encoder
-from tessera.llm._util import drop_path, new_path, ordered, running_total, stored
+from tessera.llm._util import drop_path, new_path, ordered, running_total
 
 _STAGED = "kind int, rid long, doc_id long, n_tokens long, recipe array<binary>, root binary, hash binary, n int, payload binary"
 _GEAR = np.random.default_rng(5).integers(0, 1 << 32, 1 << 16, dtype=np.uint32)  # of an id, what it adds to the rolling hash
@@ -103,24 +105,35 @@ def write_store(docs: DataFrame, path: str, end_id: int = 0, tokenizer: tuple |
             if rows:
                 yield _staged(rows)
 
-    staged = new_path(spark, "staged")
+    work = new_path(spark, "staged")
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    source.mapInArrow(chunk, _STAGED).write.partitionBy("kind").parquet(staged)
-    rows = spark.read.schema(_STAGED).parquet(staged)
-    _once(rows.where("kind = 1").select("rid", "hash", "n", "payload")).write.parquet(f"{path}/chunks")
-    placed = ordered(rows.where("kind = 0").select("rid", "doc_id", "n_tokens", "recipe", "root"), ["doc_id", "rid"], "recipes")
-    recipes = running_total(placed, "n_tokens", "start").select("_part", "_idx", "doc_id", "start", "n_tokens", "recipe", "root")
+    source.mapInArrow(chunk, _STAGED).write.partitionBy("kind").parquet(f"{work}/rows")
+    rows = spark.read.schema(_STAGED).parquet(f"{work}/rows")
+    chunks, docs_ = rows.where("kind = 1").select("rid", "hash", "n", "payload"), rows.where("kind = 0").select("rid", "doc_id", "n_tokens", "recipe", "root")
+    _once(chunks, f"{work}/repeats").write.parquet(f"{path}/chunks")
+    placed = ordered(docs_, ["doc_id", "rid"], f"{work}/recipes")
+    recipes = running_total(placed, "n_tokens", "start").select("_part", "_idx", F.col("rid").alias("row"), "doc_id", "start", "n_tokens", "recipe", "root")
     recipes.write.parquet(f"{path}/recipes")
+    _guests(docs_).write.parquet(f"{path}/guests")
     _digests(spark.read.schema(recipes.schema).parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
-    drop_path(spark, staged)
+    drop_path(spark, work)
 
 
-def _once(chunks: DataFrame) -> DataFrame:
-    """(hash, n, payload) of the first staged row of each hash; what is compared and sent are the keys of the others."""
-    first = Window.partitionBy("hash").orderBy("rid")
-    again = stored(chunks.select("hash", "rid").withColumn("rank", F.row_number().over(first)).where("rank > 1").select("hash", "rid"), "repeats")
+def _once(chunks: DataFrame, path: str) -> DataFrame:
+    """(hash, home, n, payload) of the first staged row of each hash; what is compared and sent are the keys of the others."""
+    spark = chunks.sparkSession
+    first = chunks.groupBy("hash").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    chunks.select("hash", "rid").join(first, "hash").where("rid > first").select("hash", "rid").write.parquet(path)
+    again = spark.read.schema("hash binary, rid long").parquet(path)
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    return chunks.join(again, ["hash", "rid"], "left_anti").select("hash", "n", "payload")
+    return chunks.join(again, ["hash", "rid"], "left_anti").select("hash", F.col("rid").alias("home"), "n", "payload")
+
+
+def _guests(recipes: DataFrame) -> DataFrame:
+    """(hash, row): rows that hold a chunk whose home is an earlier one. A chunk's home is the first row that holds it: no row before has staged it."""
+    held = recipes.select("rid", F.explode(F.array_distinct("recipe")).alias("hash"))
+    first = held.groupBy("hash").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("k")).where("k > 1").select("hash", "first")
+    return held.join(first, "hash").where("rid > first").select("hash", F.col("rid").alias("row"))
 
 
 def _staged(rows: list[tuple]) -> pa.RecordBatch:
@@ -154,40 +167,47 @@ def verify_manifest(spark: SparkSession, path: str) -> None:
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids): every document put together again from verified chunks; ids are little-endian unsigned 32-bit."""
     verify_manifest(spark, path)
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
-    parts = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("recipe").alias("pos", "hash"))
-    joined = parts.join(chunks, "hash", "left").select("doc_id", "start", "n_tokens", "root", "pos", "hash", "n", "payload")
-    return joined.repartition("start").sortWithinPartitions("start", "pos").mapInArrow(_assemble, "doc_id long, start long, n_tokens long, ids binary")
+    recipes, chunks, guests = (spark.read.parquet(f"{path}/{t}") for t in ("recipes", "chunks", "guests"))
+    few = guests.count() <= BROADCAST_ROWS
+    sent = chunks.join(F.broadcast(guests) if few else guests, "hash").select("row", "hash", "n", "payload")
+    parts = chunks.select(F.col("home").alias("row"), "hash", "n", "payload").union(sent)
+    rows = recipes.select("row", "doc_id", "start", "n_tokens", "root", "recipe").unionByName(parts, allowMissingColumns=True)
+    rows = rows.repartition("row").sortWithinPartitions("row", F.desc_nulls_last("start"))  # the recipe before the chunks
+    return rows.mapInArrow(_assemble, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, hashes, parts, done, held = None, [], [], [], 0
+    recipe, parts, done, held = None, {}, [], 0
     unpack = zstandard.ZstdDecompressor().decompress
 
     def close() -> None:
-        if now is None:
+        if recipe is None:
             return
-        ids = b"".join(parts)
-        if merkle(hashes) != now[3] or len(ids) != 4 * now[2]:
-            raise ValueError(f"document {now[0]} can't be rebuilt")
-        done.append((*now[:3], ids))
+        _, doc, start, total, root, hashes = recipe
+        missing = next((h for h in hashes if h not in parts), None)
+        if missing is not None:
+            raise ValueError(f"a chunk of document {doc} is missing or damaged")
+        ids = b"".join(parts[h] for h in hashes)
+        if merkle(hashes) != root or len(ids) != 4 * total:
+            raise ValueError(f"document {doc} can't be rebuilt")
+        done.append((doc, start, total, ids))
 
     for batch in batches:
-        doc, start, total, root = (batch.column(i).to_pylist() for i in range(4))
-        for i, (key, n, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in (5, 6, 7)), strict=True)):
-            if now is None or start[i] != now[1]:
+        for i, (row, start) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            if start is not None:
                 close()
-                now, hashes, parts = (doc[i], start[i], total[i], root[i]), [], []
-            raw = raw and unpack(raw)
-            if raw is None or blake2b(raw, digest_size=16).digest() != key:
-                raise ValueError(f"a chunk of document {doc[i]} is missing or damaged")
-            hashes.append(key)
-            parts.append(raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes())
-            held += len(parts[-1])
-            if held > 8_000_000 and done:
-                yield _docs(done)
-                done.clear()
-                held = 0
+                recipe, parts = [batch.column(c)[i].as_py() for c in range(6)], {}
+                held += 4 * recipe[3]
+                if held > 8_000_000 and done:
+                    yield _docs(done)
+                    done.clear()
+                    held = 0
+                continue
+            key, n, raw = (batch.column(c)[i].as_py() for c in (6, 7, 8))
+            raw = unpack(raw)
+            if recipe is None or recipe[0] != row or blake2b(raw, digest_size=16).digest() != key:
+                raise ValueError(f"a chunk of row {row} is missing or damaged")
+            parts[key] = raw if len(raw) == 4 * n else np.frombuffer(raw, "<u2").astype("<u4").tobytes()
     close()
     if done:
         yield _docs(done)
