@@ -8,8 +8,8 @@ tried on every text. All work on rows is DataFrame operations.
 
 Places are code points, the end exclusive. Defined cases: null and empty texts have no span; rows that
 share a doc_id share candidates and are verified each on its own text; a null doc_id is a key like any
-other; an empty table gives no row; the given columns are kept, and columns whose names start with
-`_scan_` are this module's.
+other; a very long text is scanned whole; an empty table gives no row; the given columns are kept,
+whatever their names, but for a column `secrets`, which is replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import stored
+from tessera.llm._util import free_name, stored
 
 _c, _parser = re._constants, re._parser
 
@@ -106,19 +106,19 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Postings (trigram, doc_id) of every trigram that a query of the rules asks for."""
     grams = sorted({g for r in rules for s in trigram_query(r.pattern) for a in s for g in a})
-    low = F.lower(F.col("text").cast("string"))
-    found = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
-    return docs.select(found.alias("_scan_found"), "doc_id").select(F.explode("_scan_found").alias("trigram"), "doc_id")
+    low = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("low"))  # named, so that it is made once and not for each trigram
+    found = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
+    return low.select("doc_id", found.alias("found")).select(F.explode("found").alias("trigram"), "doc_id")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(doc_id, _scan_kinds): the rules whose trigram query the document's postings meet."""
+    """(doc_id, kinds): the rules whose trigram query the document's postings meet."""
     rows = [(r.kind, s, a, g, len(grams), len(query)) for r in rules for query in [trigram_query(r.pattern)] for s, alts in enumerate(query) for a, grams in enumerate(alts) for g in sorted(grams)]
     schema = "kind string, stretch int, alt int, trigram string, n_grams int, n_stretches int"
     needs = F.broadcast(postings.sparkSession.createDataFrame(rows, schema))
     met = postings.join(needs, "trigram").groupBy("doc_id", "kind", "stretch", "alt", "n_grams", "n_stretches").agg(F.count(F.lit(1)).alias("n")).where("n >= n_grams")
     whole = met.groupBy("doc_id", "kind", "n_stretches").agg(F.count_distinct("stretch").alias("n")).where("n >= n_stretches")
-    return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("_scan_kinds"))
+    return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -141,17 +141,18 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with `secrets`: spans (start, rank, kind, end) of every rule, by start and then the order of the rules."""
-    found = stored(candidates(stored(build_index(docs, rules), "postings"), rules), "candidates")
-    found = found.select(F.col("doc_id").alias("_scan_id"), "_scan_kinds")
+    found = stored(candidates(stored(build_index(docs.select("doc_id", "text"), rules), "postings"), rules), "candidates")
+    id_, kinds = free_name(docs, "id"), free_name(docs, "kinds")
+    found = found.select(F.col("doc_id").alias(id_), F.col("kinds").alias(kinds))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     each = []
     for rank, rule in enumerate(rules):
         spans = spans_of(text, rule, rank)
-        each.append(F.when(F.array_contains("_scan_kinds", rule.kind), spans).otherwise(F.array().cast(SPANS)) if trigram_query(rule.pattern) else spans)
-    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_scan_id")), "left")
-    return out.withColumn("secrets", F.array_sort(F.concat(*each))).drop("_scan_id", "_scan_kinds")
+        each.append(F.when(F.array_contains(kinds, rule.kind), spans).otherwise(F.array().cast(SPANS)) if trigram_query(rule.pattern) else spans)
+    out = docs.join(found, F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    return out.withColumn("secrets", F.array_sort(F.concat(*each))).drop(id_, kinds)
 
 
 def redact(found: DataFrame, mask: str = "[SECRET]") -> DataFrame:
