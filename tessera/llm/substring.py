@@ -14,8 +14,9 @@ Places are kept by the digest of the text, since equal texts lose the same words
 by two 64-bit hashes.
 
 Defined cases: null and empty texts have no words and an empty kept text; texts shorter than a window
-keep every word; repeated rows count as documents of their own, so both copies lose their windows; an
-empty table gives no row; columns other than doc_id and text are not read.
+keep every word; repeated rows count as documents of their own, so both copies lose their windows; of a
+very long text every window counts; an empty table gives no row; other columns stay, whatever their
+names, but for n_words, n_removed and kept, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import partitions, stored
+from tessera.llm._util import free_name, partitions, stored
 from tessera.llm._words import Words, groups, mix64, runs
 
 SAMPLE_ROWS = 2000  # documents looked at for frequent runs of words
 FREQUENT = 4096  # runs that the order of minimisers puts last, at most
 BROADCAST_BYTES = 64 << 20  # places of removal are broadcast up to here, else shuffled
-_BUCKETS = 4  # buckets for each shuffle partition
+_BUCKETS = 4  # buckets for each shuffle partition, at least
+_BUCKET_BYTES = 32 << 20  # text that a bucket is meant to hold at most
 _FLUSH = 8 << 20  # bytes of text a task gathers before it sends its super-k-mers
 _BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -88,7 +90,8 @@ def frequent_runs(docs: DataFrame, mer: int) -> np.ndarray:
 def repeated_places(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame:
     """(text_key, places): for each text with repeated windows, the runs of words [begin, end) that they cover."""
     spark = docs.sparkSession
-    n_buckets = _BUCKETS * partitions(spark)
+    whole = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    n_buckets = max(_BUCKETS * partitions(spark), -(-3 * whole // _BUCKET_BYTES))  # super-k-mers overlap, so they are longer than the texts
     frequent = frequent_runs(docs, mer)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +209,13 @@ def _steps(n: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame:
     """docs with `n_words`, `n_removed` and `kept`, the kept words joined by one space; other columns stay."""
     places = stored(repeated_places(docs.select("doc_id", "text"), width, mer), "repeats")
-    size = places.agg(F.sum(64 + 8 * F.size("places"))).first()[0] or 0
-    places = places.select(F.col("text_key").alias("_sub_key"), F.col("places").alias("_sub_places"))
-    keyed = docs.withColumn("_sub_text", F.col("text").cast("string"))
-    joined = keyed.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, F.unhex(F.md5("_sub_text")) == F.col("_sub_key"), "left").drop("_sub_key")
+    size = places.agg(F.sum(96 + 32 * F.size("places"))).first()[0] or 0  # in memory
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    out = joined.select(*names, "_sub_text", "_sub_places")
+    key, at, text_ = (free_name(docs, n) for n in ("text_key", "places", "text_"))
+    places = places.select(F.col("text_key").alias(key), F.col("places").alias(at))
+    keyed = docs.withColumn(text_, F.col("text").cast("string"))
+    joined = keyed.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, F.unhex(F.md5(text_)) == F.col(key), "left")
+    out = joined.select(*names, text_, at)
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
