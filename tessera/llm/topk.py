@@ -4,16 +4,18 @@ Vectors are lifted to a sphere: a candidate gets one more component sqrt(M^2 - |
 greatest norm, and a query gets 0. Then distance falls as the inner product rises, and for every pivot p
 the distance of query and candidate is at least |d(query, p) - d(candidate, p)|. The table holds each
 candidate's distances to all pivots; the maximum over the pivots bounds the score from above.
-Candidates are evaluated in the order of that bound, in two steps, and those whose bound is below the
-k-th score found are never looked at, so the result is exact.
 
-Queries and candidates are dealt into blocks, and each pair of blocks is one group of bounded size; the
-best k of each are merged by a window.
+Queries and candidates are dealt into blocks, neighbours of one pivot together. A pair of blocks is
+dropped where the ranges of their distances to some pivot lie so far apart that no score of it can reach
+what the block's queries have found in a sample. In each other pair, queries are taken a few at a time:
+candidates are evaluated in the order of their bound, in steps that grow, until no bound of the rest
+reaches the k-th score of its query. The best k of each pair of blocks are merged by a window.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, nor do
 rows without vec_id; a shorter vector counts as padded with zeros; rows that share the query's vec_id are
 its own and aren't its candidates; a query id that repeats is asked once, with its least vector; ties go
-to the smaller vec_id; with fewer than k candidates all are returned; other columns are not read.
+to the smaller vec_id; with fewer than k candidates all are returned; components so large that a score
+may exceed 64 bits are an error, all others are exact; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +30,13 @@ from pyspark.sql.window import Window
 
 from tessera.llm._util import stored
 
-PIVOTS = 16
+PIVOTS = 64
 SAMPLE_ROWS = 2048  # candidates among which pivots are chosen and the first bound of a query is found
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-_STEP = 256  # candidates of greatest bound that are evaluated first
-_TILE = 16  # queries bounded at once
-_EXACT = float(1 << 53)
+_STEP = 256  # candidates evaluated first; each further step is twice as long
+_TILE = 16  # queries taken at once
+_EXACT = ((float(1 << 24), np.float32), (float(1 << 53), np.float64), (float(1 << 62), np.int64))  # squared norms under which a type holds all scores
+_LOW = -1e38
 
 
 def quantized(rows: DataFrame, column: str, scale: int) -> DataFrame:
@@ -44,8 +47,8 @@ def quantized(rows: DataFrame, column: str, scale: int) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & finite).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def _matrix(vectors: list, dim: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dim))
+def _matrix(vectors: list, dim: int, kind: type = np.float64) -> np.ndarray:
+    out = np.zeros((len(vectors), dim), kind)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
@@ -77,63 +80,76 @@ def _bounds(q_far: np.ndarray, c_far: np.ndarray) -> np.ndarray:
 
 
 def best_of_blocks(q_ids: np.ndarray, q: np.ndarray, q_far: np.ndarray, q_least: np.ndarray, c_ids: np.ndarray, c: np.ndarray, c_far: np.ndarray, top: float, k: int) -> list[tuple[int, int, int]]:
-    """(query, candidate, score): what of this block may be among the k best. Candidates ascend by id.
-
-    Of each query the candidates of greatest bound are evaluated first; of the others only those whose
-    bound reaches the k-th score found by then, by one matrix product where they are many.
-    """
+    """(query, candidate, score): what of this block may be among the k best."""
     out: list[tuple[int, int, int]] = []
     q_rows, c_rows = np.ascontiguousarray(q_far.T.astype(np.float32)), np.ascontiguousarray(c_far.T.astype(np.float32))
-    norm = (q * q).sum(axis=1)
-    first = min(_STEP, len(c))
+    norm = (q.astype(np.float64) ** 2).sum(axis=1)
     for a in range(0, len(q), _TILE):
         tile = slice(a, a + _TILE)
         lower = _bounds(q_rows[:, tile], c_rows)
         reach = (norm[tile, None] + top).astype(np.float32)
         most = (reach - lower * lower) / 2 + reach * np.float32(1e-5) + np.float32(1e-3)  # with the rounding of distances
-        scores = np.full(most.shape, -np.inf)
-        rest = []
-        for i in range(len(most)):
-            most[i, c_ids == q_ids[a + i]] = -np.inf
-            head = np.argpartition(most[i], -first)[-first:]
-            head = head[(most[i, head] >= q_least[a + i]) & (most[i, head] > -np.inf)]
-            scores[i, head] = c[head] @ q[a + i]
-            least = q_least[a + i]
-            if len(head) >= k:
-                least = max(least, np.partition(scores[i, head], -k)[-k])
-            more = (most[i] >= least) & (most[i] > -np.inf)
-            more[head] = False
-            rest.append(np.flatnonzero(more))
-        if sum(map(len, rest)) > most.size // 5:
-            every = q[tile] @ c.T
-            for i, r in enumerate(rest):
-                scores[i, r] = every[i, r]
-        else:
-            for i, r in enumerate(rest):
-                scores[i, r] = c[r] @ q[a + i]
-        for i in range(len(most)):
-            kth = np.partition(scores[i], -k)[-k] if scores.shape[1] > k else -np.inf
-            best = np.flatnonzero((scores[i] >= kth) & (scores[i] > -np.inf))
-            best = best[np.lexsort((best, -scores[i, best]))][:k]
-            out.extend(zip([int(q_ids[a + i])] * len(best), c_ids[best].tolist(), scores[i, best].astype(np.int64).tolist(), strict=True))
+        most[q_ids[tile, None] == c_ids[None, :]] = -np.inf
+        least = q_least[tile].copy()
+        best = [(np.empty(0, q.dtype), np.empty(0, np.int64)) for _ in least]
+        rest, step = np.arange(len(c)), _STEP
+        while True:
+            over = (most[:, rest] - np.maximum(least, _LOW)[:, None].astype(np.float32)).max(axis=0)  # the bound over what a query has, where it is most
+            rest = rest[np.argsort(-over, kind="stable")][: int((over >= 0).sum())]
+            if not len(rest):
+                break
+            now, rest, step = rest[:step], rest[step:], 2 * step
+            scores = q[tile] @ c[now].T
+            for i in range(len(least)):
+                can = np.flatnonzero((scores[i] >= least[i]) & (c_ids[now] != q_ids[a + i]))
+                s, ids = np.concatenate([best[i][0], scores[i, can]]), np.concatenate([best[i][1], c_ids[now[can]]])
+                if len(s) > k:
+                    least[i] = max(least[i], float(np.partition(s, -k)[-k]))
+                    keep = np.lexsort((ids, -s))[:k]
+                    s, ids = s[keep], ids[keep]
+                best[i] = s, ids
+        for i, (s, ids) in enumerate(best):
+            out.extend(zip([int(q_ids[a + i])] * len(s), ids.tolist(), map(int, s.tolist()), strict=True))
     return out
 
 
+def dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
+    """rows (vec_id, near, ...) with a block of about `size` rows; blocks run through the pivots, so that neighbours of one share blocks."""
+    counts = rows.groupBy("near").agg(F.count(F.lit(1)).alias("k")).orderBy("near").collect()  # a row for each pivot
+    at, places = 0, {}
+    for r in counts:
+        places[r.near] = (at, r.k)
+        at += r.k
+    n_blocks = max(1, -(-at // size))
+    spans = F.broadcast(rows.sparkSession.createDataFrame([(p, b, k) for p, (b, k) in places.items()] or [(0, 0, 1)], "near int, _first long, _k long"))
+    block = F.floor((F.col("_first") + F.pmod(F.xxhash64("vec_id"), F.col("_k"))) * F.lit(n_blocks) / F.lit(max(1, at))).cast("int")
+    return rows.join(spans, "near").withColumn(name, block).drop("_first", "_k"), n_blocks
+
+
+def _reach(rows: DataFrame, block: str, prefix: str) -> DataFrame:
+    """Of each block the least and greatest distance to every pivot, the greatest norm, and the least first bound."""
+    spread = [f("d") for f in (F.min, F.max)]
+    by_pivot = rows.select(block, F.posexplode("far").alias("p", "d")).groupBy(block, "p").agg(spread[0].alias("low"), spread[1].alias("high"))
+    far = F.array_sort(F.collect_list(F.struct("p", "low", "high"))).alias(f"{prefix}_far")
+    sizes = rows.groupBy(block).agg(F.max("norm").alias(f"{prefix}_norm"), F.min("least").alias(f"{prefix}_least"))
+    return by_pivot.groupBy(block).agg(far).join(sizes, block)
+
+
 def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k greatest inner products of each query with all other rows."""
     spark = rows.sparkSession
     base = stored(quantized(rows, column, scale), "vectors")
     square = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     n, dim, top = base.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(square)).first()
-    schema = "query_id long, rank int, vec_id long, score long"
     if not n:
-        return spark.createDataFrame([], schema)
-    if top >= _EXACT:
-        raise ValueError("components are too large for exact inner products")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    kind = next((t for most, t in _EXACT if top < most), None)
+    if kind is None:
+        raise ValueError("components are so large that scores may exceed 64 bits")
     sample = base.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
     s_ids, s = np.asarray([r.vec_id for r in sample]), _matrix([r.v for r in sample], dim)
     pivots = choose_pivots(_lift(s, top), PIVOTS)
-    shared = spark.sparkContext.broadcast((s_ids, s, pivots))  # SAMPLE_ROWS vectors
+    shared = spark.sparkContext.broadcast((s_ids, s.astype(kind), pivots))  # SAMPLE_ROWS vectors
 
     def far(x: np.ndarray) -> np.ndarray:
         p = shared.value[2]
@@ -145,39 +161,41 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 20, scale: int = 64, colum
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1).to_pylist(), dim)
+                ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1).to_pylist(), dim, kind)
+                wide = x.astype(np.float64)
                 least = np.full(len(ids), -np.inf)
+                d = far(np.column_stack([wide, np.zeros(len(x))]) if as_query else _lift(wide, top))
                 if as_query:
-                    d = far(np.column_stack([x, np.zeros(len(x))]))
                     for i in range(len(ids)):
                         got = (s @ x[i])[s_ids != ids[i]]
                         if len(got) >= k:
                             least[i] = np.partition(got, -k)[-k]
-                else:
-                    d = far(_lift(x, top))
-                cols = [batch.column(0), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (x, d)), pa.array(least)]
-                yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "v", "far", "least"])
+                fars = pa.ListArray.from_arrays(pa.array(np.arange(0, d.size + 1, d.shape[1], dtype=np.int32)), pa.array(d.astype(np.float32).ravel()))
+                cols = [batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), fars, pa.array(least), pa.array((wide * wide).sum(axis=1)), pa.array(d.argmin(axis=1).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "v", "far", "least", "norm", "near"])
 
         return run
 
-    out = "vec_id long, v binary, far binary, least double"
+    out = "vec_id long, v binary, far array<float>, least double, norm double, near int"
     asked = base.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_queries = asked.count()
-    q_blocks, c_blocks = -(-max(1, n_queries) // QUERY_BLOCK), -(-n // CANDIDATE_BLOCK)
-    block = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    queries = asked.mapInArrow(table(True), out).select("*", block(q_blocks).alias("qb")).select("*", every(c_blocks).alias("cb"))
-    stock = base.mapInArrow(table(False), out).select("*", block(c_blocks).alias("cb")).select("*", every(q_blocks).alias("qb"))
+    queries, _ = dealt(stored(asked.mapInArrow(table(True), out), "queries"), QUERY_BLOCK, "qb")
+    stock, c_blocks = dealt(stored(base.mapInArrow(table(False), out), "stock"), CANDIDATE_BLOCK, "cb")
+    pairs = _reach(queries, "qb", "q").select("*", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb")).join(_reach(stock, "cb", "c"), "cb")
+    gaps = F.zip_with("q_far", "c_far", lambda x, y: F.greatest(x["low"] - y["high"], y["low"] - x["high"], F.lit(0.0)))
+    gap = F.array_max(gaps).cast("double") * (1 - 1e-5)
+    pairs = stored(pairs.where((F.col("q_norm") + top - gap * gap) / 2 * (1 + 1e-5) + 1e-3 >= F.col("q_least")).select("qb", "cb"), "pairs")
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list = []
         if left.num_rows and right.num_rows:
-            right = right.sort_by("vec_id")
-            part = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.float64).reshape(t.num_rows, -1)
+            part = lambda t: np.frombuffer(b"".join(t.column("v").to_pylist()), kind).reshape(t.num_rows, -1)
+            fars = lambda t: t.column("far").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
             ids = [t.column("vec_id").to_numpy() for t in (left, right)]
-            found = best_of_blocks(ids[0], part(left, "v"), part(left, "far"), left.column("least").to_numpy(), ids[1], part(right, "v"), part(right, "far"), top, k)
+            found = best_of_blocks(ids[0], part(left), fars(left), left.column("least").to_numpy(), ids[1], part(right), fars(right), top, k)
         return pa.table([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-    found = queries.groupBy("qb", "cb").cogroup(stock.groupBy("qb", "cb")).applyInArrow(pair, "query_id long, vec_id long, score long")
+    used = ["vec_id", "v", "far", "least", "qb", "cb"]
+    sides = [df.join(pairs, on).select(*used).groupBy("qb", "cb") for df, on in ((queries, "qb"), (stock, "cb"))]
+    found = sides[0].cogroup(sides[1]).applyInArrow(pair, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
