@@ -7,8 +7,8 @@ import numpy as np
 from tessera.llm._words import mix64
 
 
-def byte_grams(raw: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of bytes: bucket of each, and the place it starts at. Grams that hold a blank inside are left out, word ends are kept."""
+def char_grams(raw: np.ndarray, orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams of bytes or code points: bucket of each, and the place it starts at. Grams that hold a blank inside are left out, word ends are kept."""
     x = raw.astype(np.uint32)
     blank = raw == 32
     buckets, places = [], []

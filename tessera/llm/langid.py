@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._linear import byte_grams, fit_temperature, softmax
+from tessera.llm._linear import char_grams, fit_temperature, softmax
 
 PER_LANGUAGE = 1000  # labelled rows of each language that training looks at, at most
 ROW_BYTES = 20_000  # a longer training row is seen through as many bytes, taken evenly from all of it
@@ -64,7 +64,7 @@ def has_letter(text: str | None) -> bool:
 def subwords(text: str) -> np.ndarray:
     """Buckets of a text's subwords."""
     raw = np.frombuffer(f" {_BLANK.sub(' ', text.lower())} ".encode(), np.uint8)
-    return byte_grams(raw, ORDERS, BITS)[0]
+    return char_grams(raw, ORDERS, BITS)[0]
 
 
 def training_rows(docs: DataFrame, allowed: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Quality rules: exact measures of a text, and a logistic regression over hashed n-grams.
 
 The model's features are the words, the pairs of neighbouring words (a pair of equal words is one
-feature, whatever the word) and the 1- to 3-grams of bytes, hashed into tables; a text is the mean of
+feature, whatever the word) and the 1- to 3-grams of characters, hashed into tables; a text is the mean of
 each family. It is trained by stochastic gradient descent in numpy on a bounded sample of the rows that
 `labels` covers. On rows held back, a logistic curve turns scores into probabilities. Texts are scored
 in Arrow batches, whole, and kept at or over a fixed probability unless a base rule fails them.
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._linear import byte_grams, fit_platt, hashed
+from tessera.llm._linear import char_grams, fit_platt, hashed
 from tessera.llm._words import Words, groups, mix64, runs
 
 PER_CLASS = 3008  # labelled rows of each class that training looks at, at most
@@ -31,10 +31,10 @@ ROW_BYTES = 20_000  # a longer training row is seen through as many characters,
 KEEP_FROM = 0.3  # probability of good quality from which a text is kept
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # of 100 words
-WORD_BITS, BYTE_BITS, ORDERS = 16, 14, (1, 2, 3)
+WORD_BITS, CHAR_BITS, ORDERS = 16, 14, (1, 2, 3)
 _SYMBOLS = b"#*$%&|<>"
 _BLANK = b" \t\n\v\f\r"
-_TO_SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
+_TO_SPACE = str.maketrans("\t\n\v\f\r", "     ")
 _EQUAL = np.uint64(0x5851F42D4C957F2D)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -61,12 +61,12 @@ class QualityModel:
         return z
 
 
-def features(words: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and pairs, and of byte n-grams."""
+def features(words: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of words and pairs, and of character n-grams."""
     pairs = runs(words, 2)
     if len(pairs):
         pairs = np.where(words[1:] == words[:-1], _EQUAL, mix64(pairs))
-    return hashed(np.concatenate([words, pairs]), WORD_BITS), byte_grams(np.frombuffer(text.translate(_TO_SPACE), np.uint8), ORDERS, BYTE_BITS)[0]
+    return hashed(np.concatenate([words, pairs]), WORD_BITS), char_grams(np.frombuffer(text.translate(_TO_SPACE).encode("utf-32-le"), "<u4"), ORDERS, CHAR_BITS)[0]
 
 
 def measures(text: str, raw: bytes, windows: np.ndarray, n_words: int) -> tuple[int, int, int, int, int]:
@@ -99,7 +99,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, epochs: int = 15, rate: float = 20.0, seed: int = 11) -> QualityModel:
     """Fits a model. What the driver holds is bounded by two classes of PER_CLASS rows of ROW_BYTES."""
-    model = QualityModel(np.zeros(1 << WORD_BITS), np.zeros(1 << BYTE_BITS))
+    model = QualityModel(np.zeros(1 << WORD_BITS), np.zeros(1 << CHAR_BITS))
     rows = sorted((r.h, r.quality, r.text) for r in training_rows(docs, labels).collect())
     y = np.asarray([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, epochs: int = 15, rate: float = 20
     found = []
     for _, _, text in rows:
         raw = text.encode()
-        word_at, gram_at = features(Words([raw]).hash, raw)
+        word_at, gram_at = features(Words([raw]).hash, text)
         found.append([(at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)) for at, n in (np.unique(word_at, return_counts=True), np.unique(gram_at, return_counts=True))])
     held = np.asarray([(r[0] >> 7) % 4 == 0 for r in rows])
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
@@ -157,7 +157,7 @@ def judge(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM) ->
                     raw = raws[a + k]
                     got = measures(texts[a + k], raw, windows[i : max(i, j - 2)], j - i)
                     failed = got[0] < LEAST_WORDS or 100 * got[4] > MOST_REPEATED * got[0]
-                    p = m.probability(m.score(*features(w.hash[i:j], raw)))
+                    p = m.probability(m.score(*features(w.hash[i:j], texts[a + k])))
                     rows.append((*got, failed, p, not failed and p >= keep_from))
             kinds = (*(pa.int64() for _ in MEASURES), pa.bool_(), pa.float64(), pa.bool_())
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
