@@ -57,7 +57,7 @@ def shard_points(docs: DataFrame, dims: dict[str, Column]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), size.cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.monotonically_increasing_id().alias("row"), *coords)
 
 
-def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = None, target_bytes: int | None = None, slack: float = 0.01) -> DataFrame:
+def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = None, target_bytes: int | None = None, slack: float = 0.05) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot): leaves of the tree, as many as given or as target_bytes asks for."""
     spark = docs.sparkSession
     points = stored(shard_points(docs, dims), "points")
