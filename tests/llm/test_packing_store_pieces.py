@@ -91,6 +91,9 @@ def test_store_round_trip(spark, docs, ids):
     assert sorted(bytes(r.ids) for r in rows) == want
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("hash").distinct().count()
+    homes = {(r.hash, r.home) for r in chunks.collect()}
+    held = {(h, r.row) for r in spark.read.parquet(f"{path}/recipes").collect() for h in r.recipe}
+    assert held == homes | {(r.hash, r.row) for r in spark.read.parquet(f"{path}/guests").collect()}
 
 
 def test_store_finds_damage(spark, docs):
@@ -101,7 +104,7 @@ def test_store_finds_damage(spark, docs):
     spark.createDataFrame(kept, chunks.schema).write.mode("overwrite").parquet(f"{path}/chunks2")
     with pytest.raises(Exception, match="missing or damaged"):
         other = new_path(spark, "store")
-        for part in ("recipes", "manifest"):
+        for part in ("recipes", "guests", "manifest"):
             spark.read.parquet(f"{path}/{part}").write.parquet(f"{other}/{part}")
         spark.read.parquet(f"{path}/chunks2").write.parquet(f"{other}/chunks")
         store.read_store(spark, other).collect()
@@ -155,6 +158,26 @@ def test_pieces_match_the_library(docs):
                 assert raw[b:e].decode().replace(" ", "▁") in lib.id_to_piece(i)
 
 
+def test_pieces_of_odd_texts():
+    m = pieces.PieceModel(P.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    pool = list("abc  ▁▁éüß\n\t0123日本語한국😀\x00\u200b\u0301ÀñΩж.,;!-_=+") + ["<s>", "</s>", "<0x41>", "the ", " and"]
+    texts = ["".join(rng.choice(pool, rng.integers(0, 40))) for _ in range(3000)]
+    texts += ["".join(rng.choice(list("abcdefgh01"), 200_000)), " " * 5000, "é" * 3000]
+    assert [m.encode(t)[0].tolist() for t in texts] == m.lib.encode(texts)
+
+
+def test_merging_without_a_library():
+    kinds = dict(normal=1, unknown=2, unused=5)
+    rows = [("<unk>", 0.0, kinds["unknown"]), ("▁", -9.0, 1), *((c, -10.0, 1) for c in "abc"), ("ab", -1.0, 1), ("bc", -2.0, 1), ("abc", -3.0, kinds["unused"]), ("▁ab", -4.0, 1)]
+    v = pieces.Vocabulary(rows)
+    assert v.merged("▁ab") == ["▁ab"] and v.merged("▁abc") == ["▁", "ab", "c"] and v.merged("bcab") == ["bc", "ab"] and v.merged("abcabc") == ["ab", "c", "ab", "c"]
+    ids, sizes = v.encode("▁ab" + "日本" + "a")
+    assert ids.tolist() == [8, 0, 4 - 2] and sizes.tolist() == [5, 6, 1]
+    with pytest.raises(ValueError, match="user-defined"):
+        pieces.Vocabulary([("x", 0.0, 4)])
+
+
 def _trie(mapping: dict[bytes, bytes]) -> bytes:
     """A compiled character map for keys of one or two bytes, laid out by hand: every node has a block of 256 units."""
     units, strings, places = [0] * (256 * 8), b"", {}
