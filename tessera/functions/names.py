@@ -52,12 +52,38 @@ def insert_text(name: Column, parameters: Column) -> Column:
     return F.concat(name, F.lit("("), F.array_join(args, ", "), F.lit(")"))
 
 
+def display_text(name: Column, parameters: Column, returns: Column, deprecated: Column) -> Column:
+    """`name(p: T, [q: U]) -> R [DEPRECATED]` from array<struct<name,type_name,is_optional>>; a missing type is `?`."""
+    one = lambda p: F.concat(p["name"], F.lit(": "), F.coalesce(p["type_name"], F.lit("?")))
+    args = F.array_join(F.transform(parameters, lambda p: F.when(p["is_optional"], F.concat(F.lit("["), one(p), F.lit("]"))).otherwise(one(p))), ", ")
+    return F.concat(name, F.lit("("), args, F.lit(") -> "), F.coalesce(returns, F.lit("?")), F.when(deprecated, F.lit(" [DEPRECATED]")).otherwise(""))
+
+
+def word_at(line: Column, column: Column) -> Column:
+    """The word around a place (from 0) of a line; empty where there is none."""
+    left = F.regexp_extract(F.substring(line, F.lit(1), column), "[\\w\\u0400-\\u04FF]*$", 0)
+    return F.concat(left, F.regexp_extract(F.substring(line, column + 1, F.length(line)), "^[\\w\\u0400-\\u04FF]*", 0))
+
+
+def binary_type(operator: Column, left: Column, right: Column) -> Column:
+    """The type of a sum of numbers; others are unknown."""
+    return F.when((operator == "+") & (left == "Число") & (right == "Число"), "Число").otherwise("Unknown")
+
+
+def unary_type(operator: Column, operand: Column) -> Column:
+    """Boolean for a negation, else the operand's type."""
+    return F.when(operator.isin("Не", "Not"), "Булево").otherwise(operand)
+
+
 def value_type(literal: Column) -> Column:
     """The type name that the text of a literal stands for; null for other expressions."""
     return (
         F.when(F.regexp_like(literal, F.lit('^".*"$')), F.lit("Строка"))
         .when(literal.isin("Истина", "Ложь", "True", "False"), F.lit("Булево"))
         .when(F.regexp_like(literal, F.lit("^-?[0-9]+([.][0-9]+)?$")), F.lit("Число"))
+        .when(F.regexp_like(literal, F.lit("^'[0-9]+'$")), F.lit("Дата"))
+        .when(literal.isin("Неопределено", "Undefined"), F.lit("Неопределено"))
+        .when(literal == "Null", F.lit("Null"))
     )
 
 

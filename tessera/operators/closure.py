@@ -43,7 +43,7 @@ def effective_members(own: DataFrame, reach: DataFrame) -> DataFrame:
 def with_template(entities: DataFrame, templates: DataFrame) -> DataFrame:
     """entities (id, kind, member) with the members of the template of their kind that they lack. templates: (kind, member)."""
     kinds = entities.select("id", "kind").distinct()
-    lent = kinds.join(F.broadcast(templates), "kind").select("id", "member").join(entities.select("id", "member"), ["id", "member"], "left_anti")  # one template a kind
+    lent = kinds.join(templates, "kind").select("id", "member").join(entities.select("id", "member"), ["id", "member"], "left_anti")
     return entities.select("id", "member", F.lit(False).alias("inherited")).unionByName(lent.select("id", "member", F.lit(True).alias("inherited")))
 
 

@@ -35,9 +35,10 @@ def overall_impact(changes: DataFrame, rank: Column) -> DataFrame:
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """base with changes applied: of each key the row that is last by `order`; columns of both are the same."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return base.unionByName(changes).withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+    """base with changes applied: of each key the row that is last by `order`; of equals a change goes before base, then the greater row. Columns of both are the same."""
+    rows = base.withColumn("_new", F.lit(False)).unionByName(changes.withColumn("_new", F.lit(True)))
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("_new"), *(F.desc(c) for c in base.columns if c not in (*keys, order)))
+    return rows.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank", "_new")
 
 
 def delete(base: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -77,3 +78,45 @@ def invalidated(cache: DataFrame, changed: DataFrame, depends: DataFrame) -> Dat
     """Keys to drop: changed ones and those that depend on them directly. depends: (key, on_key)."""
     direct = depends.join(changed.select(F.col("key").alias("on_key")), "on_key", "left_semi").select("key")
     return cache.join(changed.select("key").union(direct).distinct(), "key", "left_semi")
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    """(path, hash) of a snapshot: a hash of path, time and length, not of the content. files: (path, modificationTime, length)."""
+    return files.select("path", F.xxhash64("path", "modificationTime", "length").cast("string").alias("hash"))
+
+
+def relinked(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """edges (child, parent) where those of changed children (id) are replaced by what fresh (child, parent) has of them."""
+    ids = changed.select(F.col("id").alias("child")).distinct()
+    return edges.join(ids, "child", "left_anti").unionByName(fresh.join(ids, "child", "left_semi")).distinct()
+
+
+def imported_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Edges (child, parent) both ends of which are entities (id)."""
+    ids = entities.select("id").distinct()
+    return edges.join(ids.withColumnRenamed("id", "child"), "child", "left_semi").join(ids.withColumnRenamed("id", "parent"), "parent", "left_semi")
+
+
+def fresh(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """manifest (project, created_at) with `fresh`: its Configuration.xml is there and no newer. files: (project, path, modificationTime); others aren't looked at."""
+    last = files.where(F.endswith("path", F.lit("Configuration.xml"))).groupBy("project").agg(F.max("modificationTime").alias("_at"))
+    return manifest.join(last, "project", "left").withColumn("fresh", F.coalesce(F.col("_at") <= F.col("created_at"), F.lit(False))).drop("_at")
+
+
+def stale(cache: DataFrame, depends: DataFrame, files: DataFrame, now: Column, within_s: int = 3600) -> DataFrame:
+    """Cache rows (key) that depend (key, path) on a file (path, modificationTime) changed within a time before now."""
+    young = files.where(F.unix_timestamp(now) - F.unix_timestamp("modificationTime") < within_s).select("path")
+    return cache.join(depends.join(young, "path", "left_semi").select("key").distinct(), "key", "left_semi")
+
+
+def rebuilt(old: DataFrame, planned: DataFrame, new: DataFrame) -> DataFrame:
+    """Routines (doc_id, kind, name, body) after a partial rebuild: planned ones (doc_id, kind, name) as in new where it has them, all others as in old."""
+    keys = ["doc_id", "kind", "name"]
+    fresh_ = new.join(planned.select(*keys).distinct(), keys, "left_semi").select(*keys, F.col("body").alias("_new"))
+    return old.join(fresh_, keys, "left").select(*keys, F.coalesce("_new", "body").alias("body"), F.col("_new").isNotNull().alias("rebuilt"))
+
+
+def reuse(rows: DataFrame) -> DataFrame:
+    """(routines, rebuilt, reused, ratio) over what `rebuilt` returns."""
+    got = rows.agg(F.count(F.lit(1)).alias("routines"), F.count_if("rebuilt").alias("rebuilt"))
+    return got.select("*", (F.col("routines") - F.col("rebuilt")).alias("reused"), F.try_divide(F.col("routines") - F.col("rebuilt"), F.col("routines")).alias("ratio"))

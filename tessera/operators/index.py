@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from tessera.functions.names import first_name, is_cyrillic, second_name
 
 ALIAS, QUALIFIED, DISPLAY, FIRST_LANGUAGE, SECOND_LANGUAGE = range(5)
+MOST_TERMS = 10_000
 
 
 def name_index(entities: DataFrame, aliases: DataFrame | None = None, prefer_cyrillic: bool = True) -> DataFrame:
@@ -43,7 +44,9 @@ def last_of_name(entities: DataFrame) -> DataFrame:
 
 
 def suggest(terms: DataFrame, names: DataFrame, limit: int = 10) -> DataFrame:
-    """(term, rank, name): the first names in order that contain the term, whatever the case. terms is a small table of requests."""
+    """(term, rank, name): the first names in order that contain the term, whatever the case. terms are requests, MOST_TERMS at once at most: each is tried on every name."""
+    if terms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} terms")
     hit = names.select("name").distinct().join(F.broadcast(terms), F.contains(F.lower("name"), F.lower("term")))
     w = Window.partitionBy("term").orderBy("name")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
@@ -82,3 +85,46 @@ def complete(prefix: str, lists: dict[str, DataFrame], limit: int | None = None)
         return out
     w = Window.partitionBy("kind").orderBy("label")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).drop("rank")
+
+
+def resolve_aliases(targets: dict[str, str], names: DataFrame) -> DataFrame:
+    """(name, id) of each alias whose target is found: by qualified, display or alternative name, in that order, else by the first qualified name that holds it.
+
+    targets: alias to target, a configuration's small table; names: what name_index gives.
+    """
+    spark = names.sparkSession
+    rows = spark.createDataFrame(sorted(targets.items()), "alias string, target string")
+    exact = F.broadcast(rows).join(names.where(F.col("tier") != ALIAS), F.col("target") == F.col("name")).groupBy("alias").agg(F.min_by("id", F.struct("tier", "id")).alias("id"))
+    left = F.broadcast(rows.join(exact, "alias", "left_anti"))  # no more rows than targets
+    held = names.where(F.col("tier") == QUALIFIED).join(left, F.contains("name", "target")).groupBy("alias").agg(F.min_by("id", "name").alias("id"))
+    return exact.union(held).select(F.col("alias").alias("name"), "id")
+
+
+def of_type(entities: DataFrame, entity_type: str | None = None, entity_kind: str | None = None) -> DataFrame:
+    """Entities of a type, of a kind, or of both."""
+    for col, value in (("entity_type", entity_type), ("entity_kind", entity_kind)):
+        if value is not None:
+            entities = entities.where(F.col(col) == value)
+    return entities
+
+
+def tree(entities: DataFrame, category: Column, place: Column) -> DataFrame:
+    """(node_id, parent_id, label, n, place): the root, a node for each category in its place, and one for each entity."""
+    rows = entities.select("id", "display_name", category.alias("category"), place.alias("place"))
+    leaves = rows.select(F.col("id").alias("node_id"), F.concat(F.lit("category."), F.col("category")).alias("parent_id"), F.col("display_name").alias("label"), F.lit(0).cast("long").alias("n"), "place")
+    nodes = rows.groupBy("category", "place").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("category."), F.col("category")).alias("node_id"), F.lit("root").alias("parent_id"), F.col("category").alias("label"), "n", "place")
+    root = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit("root").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("root").alias("label"), "n", F.lit(0).alias("place"))
+    return root.unionByName(nodes).unionByName(leaves)
+
+
+def missing_types(entities: DataFrame, static: DataFrame) -> DataFrame:
+    """Rows of static (english_name, ...) that no entity has the english_name of."""
+    return static.join(entities.select("english_name").distinct(), "english_name", "left_anti")
+
+
+def type_info(wanted: DataFrame, entities: DataFrame) -> DataFrame:
+    """(id, info): of each wanted id (id) its last parent and interface, its type and its kind, as a map without nulls. entities: (id, parents, implements, entity_type, entity_kind)."""
+    last = lambda c: F.element_at(F.when(F.size(c) > 0, F.col(c)), -1)
+    parts = {"parent": last("parents"), "implements": last("implements"), "entity_type": F.col("entity_type"), "entity_kind": F.col("entity_kind")}
+    info = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, parts)), F.array(*parts.values())), lambda k, v: v.isNotNull())
+    return entities.join(wanted.select("id").distinct(), "id", "left_semi").select("id", info.alias("info"))

@@ -48,11 +48,12 @@ def loc(text: Column) -> Column:
     return F.size(F.filter(lines(text), lambda x: F.trim(F.regexp_replace(x, "\\s", "")) != "")).cast("long")
 
 
-def token_counts(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """doc_id and the counts that the other metrics are made from."""
+def token_counts(docs: DataFrame, lex: Lexicon, more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id and the counts that the other metrics are made from, and more columns of the same rows."""
     t = F.col("text")
     return docs.select(
         "doc_id",
+        *(c.alias(n) for n, c in (more or {}).items()),
         loc(t).alias("loc"),
         F.size(lines(t)).cast("long").alias("n_lines"),
         count_of(t, lex.routine).alias("routines"),
@@ -85,8 +86,8 @@ def with_maintainability(counts: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """(doc_id, pos, block, block2, starts, ends): a row for each line, a block being the line and the two after it."""
-    rows = docs.select("doc_id", lines(F.col("text")).alias("ls"))
+    """(doc_id, n_lines, pos, block, block2, starts, ends): a row for each line, a block being the line and the two after it."""
+    rows = docs.select("doc_id", lines(F.col("text")).alias("ls")).withColumn("n_lines", F.size("ls"))
     block = F.transform(
         "ls",
         lambda x, i: F.struct(
@@ -97,7 +98,21 @@ def line_rows(docs: DataFrame, lex: Lexicon) -> DataFrame:
             has_any(x, lex.routine_end).alias("ends"),
         ),
     )
-    return rows.select("doc_id", F.inline(block))
+    return rows.select("doc_id", "n_lines", F.inline(block))
+
+
+def line_measures(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """(doc_id, dup_lines, long_routine): repeated blocks and long routines from one pass over the lines, which are shuffled once, by document."""
+    ahead = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    same = Window.partitionBy("doc_id", "block", "block2")
+    rows = line_rows(docs, lex).withColumn("stop", F.min(F.when(F.col("ends"), F.col("pos"))).over(ahead)).withColumn("last", F.max("pos").over(same))
+    again = F.col("block").isNotNull() & (F.col("last") >= F.col("pos") + BLOCK_LINES)
+    long = F.col("starts") & (F.coalesce("stop", "n_lines") - F.col("pos") > LONG_ROUTINE_LINES)
+    return rows.groupBy("doc_id").agg((F.count_if(again) * BLOCK_LINES).alias("dup_lines"), F.count_if(long).alias("long_routine"))
+
+
+def dup_pct(n_lines: Column, dup_lines: Column) -> Column:
+    return F.when((n_lines < BLOCK_LINES) | dup_lines.isNull() | (dup_lines == 0), F.lit(0.0)).otherwise(F.least(F.lit(100.0), dup_lines / n_lines * F.lit(100.0)))
 
 
 def duplication(docs: DataFrame, lex: Lexicon) -> DataFrame:
@@ -107,8 +122,7 @@ def duplication(docs: DataFrame, lex: Lexicon) -> DataFrame:
     repeated = rows.withColumn("last", F.max("pos").over(same)).where(F.col("last") >= F.col("pos") + BLOCK_LINES)
     hits = repeated.groupBy("doc_id").agg((F.count(F.lit(1)) * BLOCK_LINES).alias("dup_lines"))
     sizes = docs.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"))
-    pct = F.when((F.col("n_lines") < BLOCK_LINES) | F.col("dup_lines").isNull(), F.lit(0.0)).otherwise(F.least(F.lit(100.0), F.col("dup_lines") / F.col("n_lines") * F.lit(100.0)))
-    return sizes.join(hits, "doc_id", "left").select("doc_id", pct.alias("dup_pct"))
+    return sizes.join(hits, "doc_id", "left").select("doc_id", dup_pct(F.col("n_lines"), F.col("dup_lines")).alias("dup_pct"))
 
 
 def long_routines(docs: DataFrame, lex: Lexicon) -> DataFrame:
@@ -131,16 +145,20 @@ DEBT = (
 )
 
 
+def debt_flags(t: Column, lex: Lexicon) -> dict[str, Column]:
+    """What a text shows by itself of the kinds of DEBT: 1 or 0 each."""
+    flags = {
+        "numbers": F.regexp_count(t, F.lit("\\p{N}")) > MANY_NUMBERS,
+        "loops": count_of(t, lex.loop_keyword) > MANY_LOOPS,
+        "concat_in_loop": F.contains(t, F.lit(lex.loop_head)) & F.contains(t, F.lit(lex.concat)),
+        "undocumented": (count_of(t, lex.routine) > 0) & (occurrences(t, lex.comment) == 0),
+    }
+    return {n: c.cast("long") for n, c in flags.items()}
+
+
 def debt_items(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """(doc_id, item, type, severity, minutes, n): what of each kind of debt a text holds."""
-    t = F.col("text")
-    counts = docs.select(
-        "doc_id",
-        (F.regexp_count(t, F.lit("\\p{N}")) > MANY_NUMBERS).cast("long").alias("numbers"),
-        (count_of(t, lex.loop_keyword) > MANY_LOOPS).cast("long").alias("loops"),
-        (F.contains(t, F.lit(lex.loop_head)) & F.contains(t, F.lit(lex.concat))).cast("long").alias("concat_in_loop"),
-        ((count_of(t, lex.routine) > 0) & (occurrences(t, lex.comment) == 0)).cast("long").alias("undocumented"),
-    ).join(long_routines(docs, lex).withColumnRenamed("long_routines", "long_routine"), "doc_id", "left")
+    counts = docs.select("doc_id", *(c.alias(n) for n, c in debt_flags(F.col("text"), lex).items())).join(long_routines(docs, lex).withColumnRenamed("long_routines", "long_routine"), "doc_id", "left")
     items = [F.struct(F.lit(n).alias("item"), F.lit(k).alias("type"), F.lit(s).alias("severity"), F.lit(m).cast("long").alias("minutes"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n")) for n, k, s, m in DEBT]
     return counts.select("doc_id", F.inline(F.array(*items))).where("n > 0")
 
@@ -154,9 +172,14 @@ def debt_totals(items: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """All metrics of a text, its score of 0..100 and the advice drawn from them."""
-    base = with_maintainability(with_complexity(token_counts(docs, lex)))
-    out = base.join(duplication(docs, lex), "doc_id").join(debt_totals(debt_items(docs, lex)), "doc_id", "left")
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_items", "minutes", "high_minutes")})
+    flags = {f"_{n}": c for n, c in debt_flags(F.col("text"), lex).items()}
+    base = with_maintainability(with_complexity(token_counts(docs, lex, flags)))
+    out = base.join(line_measures(docs, lex), "doc_id", "left").withColumn("dup_pct", dup_pct(F.col("n_lines"), F.col("dup_lines")))
+    zero = F.lit(0).cast("long")
+    n = {name: F.coalesce(F.col(f"_{name}" if f"_{name}" in flags else name).cast("long"), zero) for name, *_ in DEBT}
+    cost = lambda keep: sum((n[name] * minutes for name, _, severity, minutes in DEBT if keep(severity)), zero)
+    out = out.withColumns({"n_items": sum(n.values(), zero), "minutes": cost(lambda s: True), "high_minutes": cost(lambda s: s == "High")})
+    out = out.drop("dup_lines", "long_routine", *flags)
     band = lambda c, steps, rest: _bands(F.col(c), steps, rest)
     score = (
         band("cyclomatic", ((2.0, 100.0), (5.0, 80.0), (10.0, 60.0)), 30.0) * F.lit(0.3)

@@ -7,9 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions.names import html_escape, to_uri
+from tessera.shared import numbered
 
 #: The SARIF level of each level.
 SARIF_LEVEL = {"error": "error", "warning": "warning", "info": "note", "hint": "note"}
@@ -35,7 +35,7 @@ def level_counts(results: DataFrame) -> DataFrame:
 def grouped_by_file(results: DataFrame) -> DataFrame:
     """Rows with the number of issues in their file and the place of the file: most issues first, then by path."""
     counts = results.groupBy("file_path").agg(F.count(F.lit(1)).alias("in_file"))
-    places = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("in_file"), "file_path")))  # a row for each file
+    places = numbered(counts, [F.desc("in_file"), F.asc("file_path")], "place", "files")
     return results.join(places, "file_path")
 
 
@@ -74,6 +74,13 @@ def text_lines(results: DataFrame) -> DataFrame:
     return by_location(results).select(line.alias("value"))
 
 
+def summary_lines(results: DataFrame) -> DataFrame:
+    """The head of a report as lines: issues, files, and issues of each level from the gravest on."""
+    got = results.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_path").alias("files"), *(F.count_if(F.col("level") == x).alias(x) for x in SARIF_LEVEL))
+    lines = [F.format_string("Issues: %d", "n"), F.format_string("Files: %d", "files"), *(F.format_string(f"{x}: %d", x) for x in SARIF_LEVEL)]
+    return got.select(F.explode(F.array(*lines)).alias("value"))
+
+
 def html_rows(results: DataFrame) -> DataFrame:
     """One table row of an HTML report for each result."""
     cells = [html_escape(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("level", "code", "file_path", "line", "message")]
@@ -85,6 +92,7 @@ def write_all(results: DataFrame, path: str, tool: str) -> None:
     write_sarif(results, f"{path}/sarif", tool)
     results.write.json(f"{path}/json")
     results.write.csv(f"{path}/csv", header=True)
+    summary_lines(results).write.text(f"{path}/summary")
     text_lines(results).write.text(f"{path}/text")
     html_rows(results).write.text(f"{path}/html")
 

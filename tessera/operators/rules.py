@@ -5,6 +5,7 @@ Rules, profiles and patterns are small tables given by a configuration; they are
 
 from __future__ import annotations
 
+import re
 import tomllib
 from dataclasses import dataclass, field
 
@@ -17,6 +18,32 @@ CUSTOM_SCHEMA = "rule_id string, name string, pattern_type string, pattern strin
 SEVERITIES = ("error", "warning", "info", "hint")
 
 
+# The rules that come with the engine: severity, whether on, least confidence, tags, message.
+CATALOGUE = {
+    "BSL001": ("warning", True, 0.9, ("unused", "cleanup"), "Unused variable '{name}'. Consider removing it or prefixing with '_'"),
+    "BSL002": ("error", True, 0.95, ("undefined", "error"), "Undefined variable '{name}'. Declare it with 'Перем' statement"),
+    "BSL003": ("warning", True, 0.8, ("types", "safety"), "Type mismatch: cannot assign {source_type} to {target_type}"),
+    "BSL004": ("warning", True, 0.85, ("methods", "documentation"), "Unknown method '{method}'. Check spelling or documentation"),
+    "BSL005": ("error", True, 1.0, ("dependencies", "architecture"), "Circular dependency: {module_a} -> {module_b} -> {module_a}"),
+    "BSL006": ("info", True, 0.9, ("dead-code", "cleanup"), "Dead code detected: this code will never be executed"),
+    "BSL007": ("hint", True, 0.8, ("complexity", "refactoring"), "Function '{name}' is complex (complexity: {complexity}). Consider refactoring"),
+    "BSL008": ("hint", False, 0.7, ("documentation", "public-api"), "Public {type} '{name}' should have documentation comment"),
+    "BSL009": ("info", True, 0.75, ("performance", "optimization"), "Performance warning: {issue}. Consider {suggestion}"),
+    "BSL010": ("warning", True, 0.9, ("security", "safety"), "Security warning: {issue}. {recommendation}"),
+}
+# What to do about a rule's diagnostics; any other rule has the last.
+ADVICE = {
+    "BSL001": ("Remove the unused variable", "Prefix variable name with '_' if it's intentionally unused", "Use the variable in your code logic"),
+    "BSL002": ("Add 'Перем VariableName;' declaration", "Check for typos in variable name", "Verify variable scope and accessibility"),
+    "BSL003": ("Use explicit type conversion functions", "Check data types compatibility", "Review assignment logic"),
+    "BSL004": ("Check method name spelling", "Verify method is available in current context", "Consult 1C:Enterprise documentation", "Check if method is from external component"),
+    "BSL005": ("Refactor modules to remove circular dependency", "Extract common functionality to separate module", "Review module architecture"),
+}
+OTHER_ADVICE = ("Follow BSL best practices",)
+# What the ids of custom rules begin with.
+CUSTOM_PREFIXES = ("CUSTOM", "USER")
+
+
 @dataclass
 class Profile:
     name: str
@@ -81,6 +108,66 @@ def strict(config: RulesConfig) -> RulesConfig:
     return RulesConfig(rules, profiles, "strict")
 
 
+def catalogue(spark: SparkSession) -> DataFrame:
+    """The rules that come with the engine, as a table of rules."""
+    return spark.createDataFrame([(k, on, severity, message, least, list(tags)) for k, (severity, on, least, tags, message) in CATALOGUE.items()], RULE_SCHEMA)
+
+
+def advice(diagnostics: DataFrame) -> DataFrame:
+    """diagnostics with `advice`, what to do about each by its code."""
+    table = F.create_map(*(x for k, v in ADVICE.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    return diagnostics.withColumn("advice", F.coalesce(table[F.col("code")], F.array(*map(F.lit, OTHER_ADVICE))))
+
+
+def custom_problems(rule: dict) -> list[str]:
+    """What is wrong with a custom rule."""
+    out, id_, pattern = [], rule.get("id", ""), rule.get("pattern", "")
+    if not id_:
+        out.append("Rule ID cannot be empty")
+    if not id_.startswith(CUSTOM_PREFIXES):
+        out.append("Custom rule ID should start with 'CUSTOM' or 'USER'")
+    if not pattern:
+        out.append("Rule pattern cannot be empty")
+    if rule.get("pattern_type") == "regex":
+        try:
+            re.compile(pattern)
+        except re.error as e:
+            out.append(f"Invalid regex pattern: {e}")
+    if not 0 <= rule.get("confidence", 1.0) <= 1:
+        out.append(f"Confidence must be between 0.0 and 1.0, got {rule['confidence']}")
+    if not rule.get("message_template"):
+        out.append("Message template cannot be empty")
+    return out
+
+
+def custom_rules(spark: SparkSession, text: str) -> DataFrame:
+    """The table of custom rules in a TOML text, by id; a regular expression that can't be compiled is an error."""
+    rows = []
+    for id_, r in sorted(tomllib.loads(text).items()):
+        r = r | {"id": id_, "pattern_type": str(r.get("pattern_type", "contains")).lower()}
+        wrong = [p for p in custom_problems(r) if p.startswith("Invalid regex")]
+        if wrong:
+            raise ValueError(f"rule {id_}: {wrong[0]}")
+        rows.append((id_, r.get("name", id_), r["pattern_type"], r.get("pattern", ""), str(r.get("severity", "warning")).lower(), r.get("message_template", ""), str(r.get("applies_to", "all")).lower(), bool(r.get("enabled", True)), float(r.get("confidence", 1.0))))
+    return spark.createDataFrame(rows, CUSTOM_SCHEMA)
+
+
+def write_stats(counts: DataFrame, path: str) -> None:
+    """What `stats` returns, as JSON lines."""
+    counts.write.json(path)
+
+
+def at_least(diagnostics: DataFrame, severity: str) -> DataFrame:
+    """Diagnostics of a level as grave as `severity` or graver."""
+    return diagnostics.where(F.col("level").isin(*SEVERITIES[: SEVERITIES.index(severity) + 1]))
+
+
+def summary(counts: DataFrame) -> DataFrame:
+    """Totals over what `stats` returns: rules met, applications, violations, rate."""
+    got = counts.agg(F.count(F.lit(1)).alias("rules"), F.coalesce(F.sum("applications"), F.lit(0)).alias("applications"), F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"))
+    return got.withColumn("rate", F.try_divide(F.col("violations"), F.col("applications")))
+
+
 def apply_rules(diagnostics: DataFrame, rules: DataFrame) -> DataFrame:
     """Drops diagnostics of rules that are off, and gives the rest the level and message of their rule; unknown codes pass.
 

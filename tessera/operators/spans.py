@@ -57,7 +57,7 @@ def dirty_range(old: Column, new: Column) -> Column:
     """struct<start, old_end, new_end> in bytes: what remains after the common prefix and suffix of two texts.
 
     Found by bisection on the length of the common prefix and then of the suffix, all in column
-    expressions: 40 halvings cover texts of up to a terabyte.
+    expressions. Lengths are 32-bit, as those of any string column are; 40 halvings are more than they need.
     """
     a, b = old.cast("binary"), new.cast("binary")
     least = F.least(F.length(a), F.length(b))

@@ -34,6 +34,15 @@ def similar(wanted: DataFrame, members: DataFrame, near: int = NEAR, first: int
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select("type", "wanted", "rank", "member", "distance")
 
 
+def alike(wanted: DataFrame, members: DataFrame, first: int = FIRST, near: int = 2) -> DataFrame:
+    """(type, wanted, rank, member): the first members by name that contain the wanted name, lie in it, or are within `near` edits, whatever the case."""
+    a, b = F.lower("wanted"), F.lower("member")
+    hit = F.contains(a, b) | F.contains(b, a) | (F.levenshtein(a, b, near) >= 0)
+    found = wanted.select("type", "wanted").distinct().join(members.select("type", "member").distinct(), "type").where(hit)
+    order = Window.partitionBy("type", "wanted").orderBy("member")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+
+
 def suggestion_text(similar_names, all_names):
     """Similar names if there are any, else all if few, else the first and how many more."""
     rest = F.concat(F.array_join(F.slice(all_names, 1, SHOWN), ", "), F.lit(" and "), (F.size(all_names) - SHOWN).cast("string"), F.lit(" more"))

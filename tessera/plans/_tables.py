@@ -54,9 +54,9 @@ EDGES_SQL = """edges AS (SELECT 'nation.' || n_nationkey AS child, 'region.' ||
   UNION ALL SELECT 'supplier.' || s_suppkey, 'nation.' || s_nationkey FROM supplier
   UNION ALL SELECT 'customer.' || c_custkey, 'nation.' || c_nationkey FROM customer)"""
 
-CLOSURE_SQL = """reach AS (SELECT descendant, ancestor, min(depth) AS depth FROM (SELECT child AS descendant, parent AS ancestor, 1 AS depth FROM edges
-  UNION ALL SELECT a.child, b.parent, 2 FROM edges a JOIN edges b ON a.parent = b.child
-  UNION ALL SELECT a.child, c.parent, 3 FROM edges a JOIN edges b ON a.parent = b.child JOIN edges c ON b.parent = c.child) GROUP BY descendant, ancestor)"""
+#: All ancestors, however far; needs WITH RECURSIVE.
+CLOSURE_SQL = """steps AS (SELECT child AS descendant, parent AS ancestor, 1 AS depth FROM edges UNION SELECT s.descendant, e.parent, s.depth + 1 FROM steps s JOIN edges e ON s.ancestor = e.child),
+  reach AS (SELECT descendant, ancestor, min(depth) AS depth FROM steps GROUP BY descendant, ancestor)"""
 
 
 def diagnostics(spark: SparkSession, sf: str) -> DataFrame:

@@ -32,7 +32,8 @@ def dirty_range(spark, sf):
     c = read(spark, sf, "conversations")
     w = Window.partitionBy("conv_id").orderBy("turn")
     pairs = c.select("conv_id", "turn", F.lag("text").over(w).alias("old"), F.col("text").alias("new")).where("old is not null")
-    return pairs.select("conv_id", "turn", F.inline(F.array(sp.dirty_range(F.col("old"), F.col("new")))))
+    got = pairs.select("conv_id", "turn", F.inline(F.array(sp.dirty_range(F.col("old"), F.col("new")))))
+    return got.withColumns({c: F.col(c).cast("long") for c in ("start", "old_end", "new_end")})
 
 
 def _events(spark, sf):
@@ -69,8 +70,8 @@ def _snapshot(spark, sf, first, last):
 
 
 def snapshot_diff(spark, sf):
-    """Two snapshots of few days, as its SQL has them; snapshot_diff_daily takes all days."""
-    return inc.snapshot_diff(_snapshot(spark, sf, 1, 3), _snapshot(spark, sf, 3, 4))
+    """The state after the first half of the year's first month against that after all days; snapshot_diff_daily takes day by day."""
+    return inc.snapshot_diff(_snapshot(spark, sf, 1, 15), _snapshot(spark, sf, 1, 366))
 
 
 def snapshot_diff_daily(spark, sf):
@@ -136,6 +137,11 @@ _EVENTS = """e AS (SELECT user_id AS scope, 'v' || ((props::JSON ->> '$.k')::INT
   CASE WHEN value < 5 THEN 'low' WHEN value < 20 THEN 'mid' ELSE 'high' END AS type FROM events)"""
 _SNAP = "(SELECT 'f' || user_id AS path, max(event_id)::VARCHAR AS hash FROM events WHERE dayofyear(ts) BETWEEN {} AND {} GROUP BY user_id)"
 ORACLE_SQL = {
+    "dirty_range": """WITH p AS (SELECT conv_id, turn, hex(encode(lag(text) OVER (PARTITION BY conv_id ORDER BY turn))) AS a, hex(encode(text)) AS b FROM conversations),
+      q AS (SELECT *, length(a) // 2 AS n, length(b) // 2 AS m FROM p WHERE a IS NOT NULL),
+      s AS (SELECT *, coalesce(list_min(list_filter(range(least(n, m)), lambda i: a[2*i+1:2*i+2] <> b[2*i+1:2*i+2])), least(n, m)) AS pre FROM q),
+      t AS (SELECT *, coalesce(list_min(list_filter(range(least(n, m) - pre), lambda i: a[2*(n-i)-1:2*(n-i)] <> b[2*(m-i)-1:2*(m-i)])), least(n, m) - pre) AS suf FROM s)
+      SELECT conv_id, turn, pre AS start, n - suf AS old_end, m - suf AS new_end FROM t""",
     "offset_to_line": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents),
       s AS (SELECT doc_id, line, coalesce(sum(octet_length(encode(body)) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM l),
       o AS (SELECT DISTINCT doc_id, unnest([0, n // 3, n // 2, n - 1]) AS "offset" FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents))
@@ -149,7 +155,7 @@ ORACLE_SQL = {
     "duplicate_declarations": "SELECT conv_id, role, turn, nth FROM (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth FROM conversations) WHERE nth > 1",
     "type_change": f"WITH {_EVENTS}, w AS (SELECT scope, name, pos, type, lag(type) OVER (PARTITION BY scope, name ORDER BY pos) AS was FROM e WHERE action = 'write') SELECT scope, name, pos, was, type FROM w WHERE was <> type",
     "snapshot_diff": f"""SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change
-      FROM {_SNAP.format(1, 3)} a FULL JOIN {_SNAP.format(3, 4)} b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash""",
+      FROM {_SNAP.format(1, 15)} a FULL JOIN {_SNAP.format(1, 366)} b ON a.path = b.path WHERE a.hash IS DISTINCT FROM b.hash""",
     "snapshot_diff_daily": """WITH s AS (SELECT date_diff('day', DATE '1970-01-01', ts::DATE) AS day, 'f' || user_id AS path, max(event_id)::VARCHAR AS hash FROM events GROUP BY ALL),
       o AS (SELECT day + 1 AS day, path, hash FROM s WHERE day < (SELECT max(day) FROM s))
       SELECT coalesce(a.day, b.day) AS day, coalesce(a.path, b.path) AS path, CASE WHEN a.hash IS NULL THEN 'added' WHEN b.hash IS NULL THEN 'removed' ELSE 'changed' END AS change
@@ -160,7 +166,7 @@ ORACLE_SQL = {
     "merkle_levels": """WITH n AS (SELECT s_nationkey AS k, sha256(string_agg(sha256(s_name), '' ORDER BY sha256(s_name))) AS d FROM supplier GROUP BY s_nationkey)
       SELECT n_regionkey, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM n JOIN nation ON k = n_nationkey GROUP BY n_regionkey""",
     "callers_expand": """WITH RECURSIVE c AS (SELECT n_nationkey::BIGINT AS caller, (n_nationkey * 3 + 1) % 25 AS callee FROM nation),
-      r AS (SELECT n_nationkey::BIGINT AS routine, 0::BIGINT AS depth FROM nation WHERE n_regionkey = 2 AND n_nationkey < 8 UNION ALL SELECT c.caller, depth + 1 FROM r JOIN c ON r.routine = c.callee WHERE depth < 3)
+      r AS (SELECT n_nationkey::BIGINT AS routine, 0::BIGINT AS depth FROM nation WHERE n_regionkey = 2 AND n_nationkey < 8 UNION ALL SELECT c.caller, depth + 1 FROM r JOIN c ON r.routine = c.callee WHERE depth < 25)
       SELECT routine, min(depth) AS depth FROM r GROUP BY routine""",
     "plan_fallback": """SELECT *, CASE WHEN total = 0 THEN 'module' WHEN touched > 0.5 * total THEN 'fraction' WHEN touched > 25 THEN 'absolute' ELSE 'partial' END AS plan
       FROM (SELECT user_id AS doc_id, count(*) FILTER (event_type = 'view') AS touched, count(*) AS total FROM events GROUP BY user_id)""",

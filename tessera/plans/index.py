@@ -103,11 +103,11 @@ def _template_inherit(spark, sf, part):
 
 
 def template_inherit(spark, sf):
-    """A sample of the parts, as its SQL has it; template_inherit_all takes them all."""
-    return _template_inherit(spark, sf, read(spark, sf, "part").where("p_partkey < 500"))
+    return _template_inherit(spark, sf, read(spark, sf, "part"))
 
 
 def template_inherit_all(spark, sf):
+    """The same rows under the name that they had while the other took a part of them."""
     return _template_inherit(spark, sf, read(spark, sf, "part"))
 
 
@@ -183,18 +183,18 @@ ORACLE_SQL = {
     "hierarchy_filter": f"WITH {ENTITIES_SQL} " + _CATEGORIES.format(where="WHERE contains(lower(display_name), 'ring')"),
     "completion_prefix": f"WITH {_LISTS} SELECT kind, label FROM lists WHERE starts_with(lower(label), 'r')",
     "completion_top50": f"WITH {_LISTS} SELECT kind, label FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY label) AS r FROM lists WHERE starts_with(lower(label), 'c')) WHERE r <= 50",
-    "closure_ancestors": f"WITH {EDGES_SQL}, {CLOSURE_SQL} SELECT descendant, ancestor, depth::BIGINT AS depth FROM reach",
-    "assignable_pairs": f"""WITH {EDGES_SQL}, {CLOSURE_SQL}, p AS (SELECT DISTINCT child AS from_id, 'region.' || r_regionkey AS to_id FROM edges, region)
+    "closure_ancestors": f"WITH RECURSIVE {EDGES_SQL}, {CLOSURE_SQL} SELECT descendant, ancestor, depth::BIGINT AS depth FROM reach",
+    "assignable_pairs": f"""WITH RECURSIVE {EDGES_SQL}, {CLOSURE_SQL}, p AS (SELECT DISTINCT child AS from_id, 'region.' || r_regionkey AS to_id FROM edges, region)
       SELECT from_id, to_id, CASE WHEN from_id = to_id THEN 'exact' WHEN depth = 1 THEN 'inheritance' WHEN depth > 1 THEN 'compatible' END AS reason FROM p LEFT JOIN reach ON descendant = from_id AND ancestor = to_id""",
-    "effective_members": f"""WITH {EDGES_SQL}, {CLOSURE_SQL}, {_OWN}, a AS (SELECT id, member, id AS owner, 0 AS depth FROM own UNION ALL SELECT descendant, member, ancestor, depth FROM reach JOIN own ON ancestor = id)
+    "effective_members": f"""WITH RECURSIVE {EDGES_SQL}, {CLOSURE_SQL}, {_OWN}, a AS (SELECT id, member, id AS owner, 0 AS depth FROM own UNION ALL SELECT descendant, member, ancestor, depth FROM reach JOIN own ON ancestor = id)
       SELECT id, member, owner, depth::BIGINT AS depth FROM (SELECT *, row_number() OVER (PARTITION BY id, member ORDER BY depth, owner) AS r FROM a) WHERE r = 1""",
-    "template_inherit": """WITH p AS (SELECT DISTINCT 'part.' || p_partkey AS id, p_type AS kind, unnest(string_split(p_name, ' ')) AS member FROM part WHERE p_partkey < 500),
+    "template_inherit": """WITH p AS (SELECT DISTINCT 'part.' || p_partkey AS id, p_type AS kind, unnest(string_split(p_name, ' ')) AS member FROM part),
       t AS (SELECT DISTINCT kind, unnest(string_split(name, ' ')) AS member FROM (SELECT p_type AS kind, min(p_name) AS name FROM part GROUP BY p_type))
       SELECT id, member, false AS inherited FROM p UNION ALL SELECT DISTINCT p.id, t.member, true FROM p JOIN t ON p.kind = t.kind WHERE NOT EXISTS (SELECT 1 FROM p x WHERE x.id = p.id AND x.member = t.member)""",
     "template_inherit_all": """WITH p AS (SELECT DISTINCT 'part.' || p_partkey AS id, p_type AS kind, unnest(string_split(p_name, ' ')) AS member FROM part),
       t AS (SELECT DISTINCT kind, unnest(string_split(name, ' ')) AS member FROM (SELECT p_type AS kind, min(p_name) AS name FROM part GROUP BY p_type))
       SELECT id, member, false AS inherited FROM p UNION ALL SELECT DISTINCT p.id, t.member, true FROM p JOIN t ON p.kind = t.kind WHERE NOT EXISTS (SELECT 1 FROM p x WHERE x.id = p.id AND x.member = t.member)""",
-    "depth_stats": f"WITH {EDGES_SQL}, {CLOSURE_SQL} SELECT depth::BIGINT AS depth, count(*) AS pairs, count(DISTINCT ancestor) AS ancestors FROM reach GROUP BY depth",
+    "depth_stats": f"WITH RECURSIVE {EDGES_SQL}, {CLOSURE_SQL} SELECT depth::BIGINT AS depth, count(*) AS pairs, count(DISTINCT ancestor) AS ancestors FROM reach GROUP BY depth",
     "missing_parent": f"WITH {EDGES_SQL} SELECT parent, child FROM edges WHERE parent LIKE 'region%' AND parent NOT IN (SELECT 'region.' || r_regionkey FROM region WHERE r_regionkey < 3)",
     "verify_member_exists": f"WITH {_WANTED} SELECT type, member FROM wanted w WHERE EXISTS (SELECT 1 FROM words x WHERE x.type = w.type AND x.member = w.member)",
     "verify_member_missing": f"WITH {_WANTED} SELECT type, member FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM words x WHERE x.type = w.type AND x.member = w.member)",
@@ -202,6 +202,6 @@ ORACLE_SQL = {
       r AS (SELECT *, row_number() OVER (PARTITION BY type, wanted ORDER BY distance, member) AS rank FROM d WHERE distance <= 3) SELECT type, wanted, rank, member, distance FROM r WHERE rank <= 3""",
     "verify_arity": """WITH c AS (SELECT l_orderkey AS call_id, o_orderstatus AS name, count(*) AS n_args FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL), s(name, least, most) AS (VALUES ('O', 2, 4), ('F', 1, 3))
       SELECT call_id, c.name, n_args, CASE WHEN most IS NULL THEN 'unknown' WHEN n_args < least THEN 'too_few' WHEN n_args > most THEN 'too_many' END AS problem FROM c LEFT JOIN s ON c.name = s.name""",
-    "verify_first_mismatch": f"""WITH {EDGES_SQL}, {CLOSURE_SQL} SELECT l_orderkey AS call_id, min(l_linenumber)::BIGINT AS pos FROM lineitem
+    "verify_first_mismatch": f"""WITH RECURSIVE {EDGES_SQL}, {CLOSURE_SQL} SELECT l_orderkey AS call_id, min(l_linenumber)::BIGINT AS pos FROM lineitem
       WHERE NOT EXISTS (SELECT 1 FROM reach WHERE descendant = 'supplier.' || l_suppkey AND ancestor = 'region.' || (l_linenumber % 5)) GROUP BY l_orderkey""",
 }

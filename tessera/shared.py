@@ -6,8 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,3 +56,16 @@ def reached(first: DataFrame, step: Callable[[DataFrame], DataFrame], start: int
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]
         level = step(last.select(*keys)).join(known, same, "left_anti")
         depth += 1
+
+
+def numbered(df: DataFrame, keys: list[Column | str], column: str, name: str) -> DataFrame:
+    """df with `column`, the place (from 1) of each row in the order of keys, by range partitions: no task sorts all rows.
+
+    The sorted rows are written to the shared folder; what is added up is a row for each partition.
+    """
+    at = F.col("_at")
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    rows = stored(rows, name).withColumns({"_part": F.shiftright(at, 33), "_idx": at.bitwiseAND((1 << 33) - 1)})
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    return rows.join(F.broadcast(parts), "_part").withColumn(column, F.col("_before") + F.col("_idx") + 1).drop("_at", "_part", "_idx", "_before")

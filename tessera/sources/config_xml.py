@@ -12,23 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Metadata folders, the kind each holds, and the prefix of qualified names.
-FOLDERS = {
-    "Catalogs": ("Catalog", "Справочники"),
-    "Documents": ("Document", "Документы"),
-    "InformationRegisters": ("InformationRegister", "РегистрыСведений"),
-    "AccumulationRegisters": ("AccumulationRegister", "РегистрыНакопления"),
-    "Enums": ("Enum", "Перечисления"),
-    "Constants": ("Constant", "Константы"),
-    "Reports": ("Report", "Отчеты"),
-    "DataProcessors": ("DataProcessor", "Обработки"),
-    "CommonModules": ("CommonModule", "ОбщиеМодули"),
-    "CommonForms": ("CommonForm", "ОбщиеФормы"),
-}
-# Names of simple types.
-TYPE_NAMES = {"xs:string": "Строка", "xs:boolean": "Булево", "xs:decimal": "Число", "xs:dateTime": "ДатаВремя"}
-
-OBJECT_SCHEMA = "path string, name string, synonym string, attributes array<struct<name:string,type_name:string>>, sections array<struct<name:string,attributes:array<struct<name:string,type_name:string>>>>, enum_values array<string>"
+from tessera.sources.kinds import FOLDERS, TYPE_NAMES, mapped, parent_types
+
+OBJECT_SCHEMA = "path string, name string, synonym string, attributes array<struct<name:string,type_name:string>>, sections array<struct<name:string,display_name:string,attributes:array<struct<name:string,type_name:string>>>>, enum_values array<string>, value_type string"
 FORM_SCHEMA = "path string, commands array<string>, attributes array<string>, items array<string>"
 _ITEMS = ("InputField", "LabelField", "Table", "Button", "UsualGroup", "CheckBoxField", "Pages")
 
@@ -43,16 +29,15 @@ def folder(path: Column) -> Column:
 
 
 def kind(path: Column) -> Column:
-    kinds = F.create_map(*(F.lit(x) for k, (v, _) in FOLDERS.items() for x in (k, v)))
-    return kinds[folder(path)]
+    return mapped(folder(path), {k: v[0] for k, v in FOLDERS.items()})
 
 
 def qualified_name(path: Column) -> Column:
     """prefix.object, and prefix.object.Form.name for a form."""
-    prefixes = F.create_map(*(F.lit(x) for k, (_, v) in FOLDERS.items() for x in (k, v)))
+    prefixes = {k: v[1] for k, v in FOLDERS.items()}
     obj = F.regexp_extract(path, "/(?:" + "|".join(FOLDERS) + ")/([^/.]+)", 1)
     form = F.regexp_extract(path, "/Forms/([^/.]+)", 1)
-    return F.concat_ws(".", prefixes[folder(path)], obj, F.when(form != "", F.lit("Form")), F.nullif(form, F.lit("")))
+    return F.concat_ws(".", mapped(folder(path), prefixes), obj, F.when(form != "", F.lit("Form")), F.nullif(form, F.lit("")))
 
 
 def is_form(path: Column) -> Column:
@@ -63,6 +48,12 @@ def config_uuid(content: Column) -> Column:
     return F.regexp_extract(F.decode(content, "UTF-8"), 'uuid="([0-9a-fA-F-]{36})"', 1)
 
 
+def project_name(path: Column, uuid: Column) -> Column:
+    """folder_uuid of a configuration; without a UUID a hash of the path stands for it."""
+    base = F.regexp_extract(F.regexp_replace(path, "/Configuration[.]xml$", ""), "([^/]+)/?$", 1)
+    return F.concat_ws("_", base, F.coalesce(F.nullif(uuid, F.lit("")), F.lower(F.hex(F.xxhash64(path)))))
+
+
 def _tag(e: ElementTree.Element) -> str:
     return e.tag.rpartition("}")[2]
 
@@ -77,6 +68,11 @@ def _text(e: ElementTree.Element | None) -> str | None:
     return (e.text or "").strip() or None if e is not None else None
 
 
+def _synonym(props: ElementTree.Element | None) -> str | None:
+    found = _find(props, "Synonym")
+    return next((_text(c) for item in (found if found is not None else ()) for c in item if _tag(c) == "content"), None)
+
+
 def _attribute(e: ElementTree.Element) -> dict:
     raw = _text(_find(e, "Properties", "Type", "Type"))
     return {"name": _text(_find(e, "Properties", "Name")), "type_name": TYPE_NAMES.get(raw, raw) if raw else None}
@@ -96,10 +92,10 @@ def metadata_objects(files: DataFrame) -> DataFrame:
                 top = next(iter(root), root)
                 props, kids = _find(top, "Properties"), _find(top, "ChildObjects")
                 kids = list(kids) if kids is not None else []
-                synonym = next((_text(c) for c in (_find(props, "Synonym") or ()) for c in c if _tag(c) == "content"), None) if props is not None else None
-                sections = [{"name": _text(_find(k, "Properties", "Name")), "attributes": [_attribute(a) for a in (_find(k, "ChildObjects") or ()) if _tag(a) == "Attribute"]} for k in kids if _tag(k) == "TabularSection"]
-                rows.append((path, _text(_find(props, "Name")), synonym, [_attribute(k) for k in kids if _tag(k) == "Attribute"], sections, [_text(_find(k, "Properties", "Name")) for k in kids if _tag(k) == "EnumValue"]))
-            yield pd.DataFrame(rows, columns=["path", "name", "synonym", "attributes", "sections", "enum_values"])
+                value_type = _text(_find(props, "Type", "Type"))  # of a constant
+                sections = [{"name": _text(_find(k, "Properties", "Name")), "display_name": _synonym(_find(k, "Properties")) or _text(_find(k, "Properties", "Name")), "attributes": [_attribute(a) for a in (_find(k, "ChildObjects") or ()) if _tag(a) == "Attribute"]} for k in kids if _tag(k) == "TabularSection"]
+                rows.append((path, _text(_find(props, "Name")), _synonym(props), [_attribute(k) for k in kids if _tag(k) == "Attribute"], sections, [_text(_find(k, "Properties", "Name")) for k in kids if _tag(k) == "EnumValue"], TYPE_NAMES.get(value_type, value_type)))
+            yield pd.DataFrame(rows, columns=["path", "name", "synonym", "attributes", "sections", "enum_values", "value_type"])
 
     got = files.where(~is_form(F.col("path")) & (folder(F.col("path")) != "")).select("path", "content").mapInPandas(parse, OBJECT_SCHEMA)
     p = F.col("path")
@@ -125,3 +121,20 @@ def forms(files: DataFrame) -> DataFrame:
     return got.withColumn("qualified_name", qualified_name(F.col("path")))
 
 
+def scan(files: DataFrame) -> DataFrame:
+    """Objects, common modules and all forms of a configuration as one table of entities, with owner, base types and names of forms.
+
+    An object's file lies in its folder or beside it; a module that has a folder but no readable file is
+    an entity by its path alone.
+    """
+    p = F.col("path")
+    found = metadata_objects(files)
+    every = forms(files).withColumn("kind", F.lit("Form"))
+    owner = F.when(F.contains(p, F.lit("/Forms/")), F.regexp_replace("qualified_name", "[.]Form[.][^.]+$", ""))
+    every = every.select("qualified_name", F.substring_index("qualified_name", ".", -1).alias("display_name"), "kind", owner.alias("owner"), F.lit(None).cast("string").alias("documentation"), "attributes", "commands", "items")
+    of_owner = every.where("owner is not null").groupBy("owner").agg(F.array_sort(F.collect_list("qualified_name")).alias("forms"))
+    objects = found.select("qualified_name", "display_name", "kind", F.lit(None).cast("string").alias("owner"), F.col("synonym").alias("documentation"), F.transform("attributes", lambda a: a["name"]).alias("attributes"), "sections", "enum_values", "value_type")
+    objects = objects.withColumn("parent_types", parent_types(F.col("kind"))).join(of_owner.withColumnRenamed("owner", "qualified_name"), "qualified_name", "left")
+    seen = files.where(folder(p) == "CommonModules").select(qualified_name(p).alias("qualified_name")).distinct().join(objects, "qualified_name", "left_anti")
+    modules = seen.select("qualified_name", F.substring_index("qualified_name", ".", -1).alias("display_name"), F.lit("CommonModule").alias("kind"))
+    return objects.unionByName(modules, allowMissingColumns=True).unionByName(every, allowMissingColumns=True)
