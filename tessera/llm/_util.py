@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from tessera.shared import new_path, shared_dir, stored  # noqa: F401
 
+BATCH_ROWS = 2000
+_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
 
 
@@ -25,6 +27,22 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most from now on in this session; a lower setting stays.
+
+    A batch is held by the JVM and by the worker at once, with texts of any length.
+    """
+    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+
+
+def with_text(docs: DataFrame, names: list[str]) -> tuple[DataFrame, int]:
+    """The named columns with the text as a string, and its place: the column itself where it is one."""
+    if "text" in names and dict(docs.dtypes).get("text") == "string":
+        return docs.select(*names), names.index("text")
+    return docs.select(*names, F.col("text").cast("string").alias(free_name(docs, "text_"))), len(names)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm._util import partitions, stored
+from tessera.llm._util import bounded_batches, partitions, stored
 from tessera.llm._words import Words, groups, mix64, runs
 from tessera.llm.components import components, stars
 
@@ -44,10 +44,10 @@ BLOCK = 512  # sets in a tile; a set over _HEAVY shingles counts as several
 _HEAVY = 2048
 BROADCAST_ROWS = 250_000  # candidate documents are broadcast up to here (under 32 MB), else shuffled
 _BITS = 1024
-_SLICE = 1000  # rows whose texts a task holds as bytes
-_FLUSH = 1 << 19  # keys a task gathers before it sends them
-_BUCKET = 1 << 19  # keys meant for one bucket
-_HELD = 1 << 20  # keys of a bucket a task holds before it lets frequent ones pass
+_SLICE = 500  # rows whose texts a task holds as bytes
+_FLUSH = 1 << 18  # keys a task gathers before it sends them
+_BUCKET = 1 << 18  # keys meant for one bucket
+_HELD = 1 << 19  # keys of a bucket a task holds before it lets frequent ones pass
 _MANY = 1 << 16  # nodes from which a key counts as this frequent
 _SEEN = 200_000  # sets a task remembers so as not to send a copy's keys
 _WORD = "[^\\x20\\x09-\\x0D]"  # what a text with a word has
@@ -429,6 +429,7 @@ def first_of_components(docs: DataFrame, width: int = 4, percent: int = 85) -> D
 
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Digests of the documents, (name, node, doc_id, n) of the sets, and (node, root) of those that link."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     per_doc = stored(set_digests(docs, width).withColumn("row", F.monotonically_increasing_id()), "digests")
     nodes = per_doc.where("n > 0").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("short").alias("short"))

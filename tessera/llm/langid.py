@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm._linear import char_grams, fit_temperature, softmax
+from tessera.llm._util import bounded_batches, with_text
 
 PER_LANGUAGE = 1000  # labelled rows of each language that training looks at, at most
 ROW_BYTES = 20_000  # a longer training row is seen through as many bytes, taken evenly from all of it
+_SLICE = 1000  # rows a task hands on at once
 REJECTED_SHARE = 0.0005  # of rightly labelled rows held back
 BITS, DIM, ORDERS = 15, 16, (2, 3, 4)
 _BLANK = re.compile(r"[\W\d_]+")
@@ -117,13 +119,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with `lang_pred`, `score` and `rejected`. The model's size is fixed: 2**BITS rows of one number for each language."""
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*names, F.col("text").cast("string").alias("_lang_text"))
+    bounded_batches(docs.sparkSession)
+    source, at = with_text(docs, names)
     schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
-            got = [m.predict(t.as_py()) for t in batch.column(len(names))]
+        for batch in (b.slice(a, _SLICE) for b in batches for a in range(0, b.num_rows, _SLICE)):
+            got = [m.predict(t.as_py()) for t in batch.column(at)]
             cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*names, "lang_pred", "score", "rejected"])
 

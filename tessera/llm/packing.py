@@ -6,8 +6,8 @@ sequence crosses documents and none needs padding. Pieces of equal length form a
 ids run through the buckets from the longest to the shortest.
 
 Defined cases: null or empty text is a document of the end id alone; repeated rows are documents of
-their own; an empty table gives no row; columns other
-than doc_id and text are not read.
+their own; a very long text is cut into as many pieces as it needs; an empty table gives no row; columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm._ids import byte_bpe, encoder
-from tessera.llm._util import stored
+from tessera.llm._util import bounded_batches, stored
 
 PIECE_SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, bucket int, part int, place long"
 BROADCAST_ROWS = 1_000_000  # first numbers of (bucket, part) are broadcast up to here, else shuffled
@@ -42,6 +42,7 @@ def split_documents(docs: DataFrame, longest: int = 2048, end_id: int = 1, token
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
+    bounded_batches(docs.sparkSession)
     args = tokenizer or byte_bpe()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

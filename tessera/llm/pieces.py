@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._util import bounded_batches
+
 PIECES_SCHEMA = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
 _MARK = "▁".encode()
 _NORMAL, _UNKNOWN, _USER, _UNUSED, _BYTE, _BPE = 1, 2, 4, 5, 6, 2
@@ -294,6 +296,8 @@ def encode_documents(docs: DataFrame, file: str | None = None) -> DataFrame:
 
         file = P.path("piece_bpe_32k.model")
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(file)
         for batch in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm._linear import char_grams, fit_platt, hashed
+from tessera.llm._util import bounded_batches, with_text
 from tessera.llm._words import Words, groups, mix64, runs
 
 PER_CLASS = 3008  # labelled rows of each class that training looks at, at most
@@ -147,7 +148,7 @@ def judge(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(len(names))]
+            texts = [t.as_py() or "" for t in batch.column(at)]
             raws = [t.encode() for t in texts]
             rows = []
             for a, b in groups(raws):
@@ -163,4 +164,6 @@ def judge(docs: DataFrame, model: QualityModel, keep_from: float = KEEP_FROM) ->
             cols = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *cols], names=[*names, *added])
 
-    return docs.select(*names, F.col("text").cast("string").alias("_quality_text")).mapInArrow(run, schema)
+    bounded_batches(docs.sparkSession)
+    source, at = with_text(docs, names)
+    return source.mapInArrow(run, schema)

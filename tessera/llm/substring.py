@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._util import free_name, partitions, stored
+from tessera.llm._util import bounded_batches, free_name, partitions, stored, with_text
 from tessera.llm._words import Words, groups, mix64, runs
 
 SAMPLE_ROWS = 2000  # documents looked at for frequent runs of words
@@ -38,7 +38,8 @@ FREQUENT = 4096  # runs that the order of minimisers puts last, at most
 BROADCAST_BYTES = 64 << 20  # places of removal are broadcast up to here, else shuffled
 _BUCKETS = 4  # buckets for each shuffle partition, at least
 _BUCKET_BYTES = 32 << 20  # text that a bucket is meant to hold at most
-_FLUSH = 8 << 20  # bytes of text a task gathers before it sends its super-k-mers
+_FLUSH = 4 << 20  # bytes of text a task gathers before it sends its super-k-mers
+_SLICE = 500
 _BLANKS = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _LAST = np.uint64(1 << 63)
@@ -87,6 +88,13 @@ def frequent_runs(docs: DataFrame, mer: int) -> np.ndarray:
     return np.asarray([r.h for r in found.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of which a task holds the texts as bytes."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, _SLICE):
+            yield batch.slice(a, _SLICE)
+
+
 def repeated_places(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame:
     """(text_key, places): for each text with repeated windows, the runs of words [begin, end) that they cover."""
     spark = docs.sparkSession
@@ -96,17 +104,17 @@ def repeated_places(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            copies = Counter(batch.column(0).to_pylist())
+        held: dict[int, dict[bytes, list]] = {}
+        size = 0
+        for part in _slices(batches):
+            copies = Counter(part.column(0).to_pylist())
+            keys, texts = [], []
             seen: set[bytes] = set()
-            texts, keys = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
                     texts.append(text.as_py().encode().translate(_BLANKS))
-            held: dict[int, dict[bytes, list]] = {}
-            size = 0
             for a, b in groups(texts):
                 w = Words(texts[a:b])
                 start, stop = w.start.tolist(), w.stop.tolist()
@@ -122,19 +130,19 @@ def repeated_places(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame
                 if size > _FLUSH:
                     yield _packed(held, packer)
                     held, size = {}, 0
-            if held:
-                yield _packed(held, packer)
+        if held:
+            yield _packed(held, packer)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         now = None
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for r, bucket in enumerate(batch.column(0).to_pylist()):
                 if bucket != now and rows:
                     yield from _repeats(rows, width)
                     rows = []
                 now = bucket
-                rows.append(row)
+                rows.append([batch.column(c)[r].as_py() for c in range(1, 6)])
         if rows:
             yield from _repeats(rows, width)
 
@@ -208,20 +216,22 @@ def _steps(n: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, width: int = 35, mer: int = 4) -> DataFrame:
     """docs with `n_words`, `n_removed` and `kept`, the kept words joined by one space; other columns stay."""
+    bounded_batches(docs.sparkSession)
     places = stored(repeated_places(docs.select("doc_id", "text"), width, mer), "repeats")
     size = places.agg(F.sum(96 + 32 * F.size("places"))).first()[0] or 0  # in memory
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    key, at, text_ = (free_name(docs, n) for n in ("text_key", "places", "text_"))
-    places = places.select(F.col("text_key").alias(key), F.col("places").alias(at))
-    keyed = docs.withColumn(text_, F.col("text").cast("string"))
-    joined = keyed.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, F.unhex(F.md5(text_)) == F.col(key), "left")
-    out = joined.select(*names, text_, at)
+    key, spans = (free_name(docs, n) for n in ("text_key", "places"))
+    places = places.select(F.col("text_key").alias(key), F.col("places").alias(spans))
+    source, text_at = with_text(docs, names)
+    text = source.columns[text_at]
+    joined = source.join(F.broadcast(places) if size <= BROADCAST_BYTES else places, F.unhex(F.md5(text)) == F.col(key), "left")
+    out = joined.select(*source.columns, spans)
     schema = docs.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             counts, removed, kept = [], [], []
-            for text, runs_ in zip(batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
+            for text, runs_ in zip(batch.column(text_at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 words = (text.as_py() or "").encode().split()
                 n, at, parts = len(words), 0, []
                 for run in runs_ or ():
