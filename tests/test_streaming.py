@@ -37,7 +37,9 @@ def test_keep_latest(spark, tmp_path):
     changes.keep_latest(stream, f"{tmp_path}/state", ["user_id"], "event_id", f"{tmp_path}/ck").awaitTermination()
     _write(spark, path, [(9, 1, 8, "c", 3.0)])
     changes.keep_latest(spark.readStream.schema(EVENTS).parquet(path), f"{tmp_path}/state", ["user_id"], "event_id", f"{tmp_path}/ck").awaitTermination()
-    assert {(r.user_id, r.event_type) for r in spark.read.parquet(f"{tmp_path}/state/v1").collect()} == {(7, "b"), (8, "c")}
+    state = changes.latest(spark, f"{tmp_path}/state", stream.schema, 1)
+    assert {(r.user_id, r.event_type) for r in state.collect()} == {(7, "b"), (8, "c")}
+    assert spark.read.parquet(f"{tmp_path}/state/data/v1").count() == 1  # only what changed is written again
 
 
 def test_document_changes(spark, tmp_path):
