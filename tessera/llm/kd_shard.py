@@ -3,18 +3,18 @@
 Every document is a point with a weight (its bytes). A node of the tree that is to give several shards
 is split along the dimension whose values in it spread widest, measured against the spread of the whole
 table, at the weighted quantile that leaves each side the bytes of its shards: the median where the
-sides get equally many. Quantiles are found by histograms: one aggregation counts the bytes in 256
+sides get equally many. Quantiles are found by histograms: one aggregation counts the bytes in 4096
 ranges of every node's interval, the range that holds the quantile becomes the next interval, until it
 is one value. Only bounds of nodes, never rows, come to the driver.
 
 Equal points stay together where the sizes allow: a cut falls between two values, and inside one value
-only if that value alone weighs more than `slack` of a shard; then the text's checksum and after it the
+only if that value alone weighs more than `slack` of a shard, which is what keeps sizes near equal; then the text's checksum and after it the
 row's id decide in the same way.
 
 Law: sizes of shards near equal in bytes. Defined cases: null text has no bytes and the checksum of the
 empty text; null metadata is the least value; rows equal in every respect may be split from one another
-only by row number, so a group larger than a shard is shared out; an empty table gives no row; with
-fewer rows than shards some shards are empty; columns that a dimension names are read, others not.
+only by row number, so a group larger than a shard is shared out; an empty table gives no row; a very
+long text is a point of its weight; with fewer rows than shards some shards are empty; columns that a dimension names are read, others not.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from tessera.llm._util import stored
 
 FIXED_BYTES = 8
-_RANGES = 256
+_RANGES = 4096
 _SLOT_ROWS = 1_000_000
 
 
@@ -61,20 +61,19 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
     """(doc_id, size, text_crc32, shard, slot): leaves of the tree, as many as given or as target_bytes asks for."""
     spark = docs.sparkSession
     points = stored(shard_points(docs, dims), "points")
-    total, n = points.agg(F.sum("size"), F.count(F.lit(1))).first()
-    total = total or 0
+    names = [f"d_{d}" for d in dims]
+    keys = [*names, "text_crc32", "row"]
+    stats = points.agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n"), *_ends(keys)).first().asDict()
+    total, n = stats["w"] or 0, stats["n"]
     if shards is None:
         shards = max(1, -(-total // target_bytes))
-    names = [f"d_{d}" for d in dims]
-    spread = points.agg(*(F.min(c).alias(f"lo_{c}") for c in names), *(F.max(c).alias(f"hi_{c}") for c in names)).first()
-    whole = {c: max(1, (spread[f"hi_{c}"] or 0) - (spread[f"lo_{c}"] or 0)) for c in names}
+    whole = {c: max(1, (stats[f"hi_{c}"] or 0) - (stats[f"lo_{c}"] or 0)) for c in names}
     share = total / shards
     rows = points.withColumn("node", F.lit(0))
-    open_, done, next_id = [_Node(0, 0, shards, total)], {}, 1
+    open_, done, next_id = [_node(0, 0, shards, stats, names, whole)] if n else [], {}, 1
     if shards == 1 or not n:
         open_, done = [], {0: 0}
     while open_:
-        _choose(rows, open_, names, whole)
         _search(rows, open_, share * slack)
         splits, children = [], []
         for node in open_:
@@ -82,35 +81,29 @@ def kd_shards(docs: DataFrame, dims: dict[str, Column], shards: int | None = Non
             next_id += 2
             splits.append((node, left, right))
             half = node.shards // 2
-            for id_, first, k in ((left, node.first, half), (right, node.first + half, node.shards - half)):
-                children.append(_Node(id_, first, k, 0))
+            children += [(left, node.first, half), (right, node.first + half, node.shards - half)]
         rows = stored(_assign(rows, splits), "tree")
-        weight = {r.node: r.w for r in rows.groupBy("node").agg(F.sum("size").alias("w")).collect()}  # a row for each node
+        found = rows.where(F.col("node") >= children[0][0]).groupBy("node").agg(F.sum("size").alias("w"), *_ends(keys))
+        by = {r.node: r.asDict() for r in found.collect()}  # a row for each node
         open_ = []
-        for c in children:
-            c.total = weight.get(c.id, 0)
-            if c.shards == 1 or not c.total:
-                done[c.id] = c.first
+        for id_, first, k in children:
+            if k == 1 or id_ not in by:
+                done[id_] = first
             else:
-                open_.append(c)
+                open_.append(_node(id_, first, k, by[id_], names, whole))
     leaves = F.broadcast(spark.createDataFrame(sorted(done.items()), "node int, shard int"))  # a row for each shard
     placed = rows.join(leaves, "node").select("doc_id", "size", "text_crc32", "row", "shard")
     return number_slots(placed, n)
 
 
-def _choose(rows: DataFrame, nodes: list[_Node], names: list[str], whole: dict[str, int]) -> None:
-    """Sets each node's keys: the widest dimension, then checksum and row."""
-    ids = [x.id for x in nodes]
-    keys = [*names, "text_crc32", "row"]
-    found = rows.where(F.col("node").isin(ids)).groupBy("node").agg(*(f(c).alias(f"{p}_{c}") for c in keys for p, f in (("lo", F.min), ("hi", F.max))))
-    by = {r.node: r for r in found.collect()}  # a row for each node
-    for x in nodes:
-        r = by[x.id]
-        widest = max(names, key=lambda c: (r[f"hi_{c}"] - r[f"lo_{c}"]) / whole[c])
-        x.keys = [widest, "text_crc32", "row"]
-        x.low, x.high = r[f"lo_{widest}"], r[f"hi_{widest}"] + 1
+def _ends(keys: list[str]) -> list[Column]:
+    return [f(c).alias(f"{p}_{c}") for c in keys for p, f in (("lo", F.min), ("hi", F.max))]
 
 
+def _node(id_: int, first: int, shards: int, stats: dict, names: list[str], whole: dict[str, int]) -> _Node:
+    """An open node that is searched by its widest dimension, then by checksum and row."""
+    widest = max(names, key=lambda c: (stats[f"hi_{c}"] - stats[f"lo_{c}"]) / whole[c])
+    return _Node(id_, first, shards, stats["w"], keys=[widest, "text_crc32", "row"], low=stats[f"lo_{widest}"], high=stats[f"hi_{widest}"] + 1)
 
 
 def _search(rows: DataFrame, nodes: list[_Node], slack: float) -> None:

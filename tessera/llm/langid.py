@@ -11,7 +11,8 @@ The model reads texts only. A prediction uses the whole text. Since the layer is
 and layer are multiplied out once, and a prediction sums rows of that product.
 
 Defined cases: a text that is null or has no letter is `und`, scored 0 and rejected; ties go to the
-language first in order of name; with no labelled row at all every text is `und`; repeated rows get
+language first in order of name; of more than MOST_LANGUAGES labels the rarer aren't learned; a very long
+text is predicted from all of it; with no labelled row at all every text is `und`; repeated rows get
 equal predictions; an empty table gives no row; other columns stay.
 """
 
@@ -30,7 +31,9 @@ from pyspark.sql.window import Window
 from tessera.llm._linear import char_grams, fit_temperature, softmax
 from tessera.llm._util import bounded_batches, with_text
 
-PER_LANGUAGE = 1000  # labelled rows of each language that training looks at, at most
+PER_LANGUAGE = 1024  # labelled rows of each language that training looks at, at most
+MOST_LANGUAGES = 200  # languages that are learned, those with most labelled rows
+_SALTS = 16  # parts that each language is drawn in
 ROW_BYTES = 20_000  # a longer training row is seen through as many bytes, taken evenly from all of it
 _SLICE = 1000  # rows a task hands on at once
 REJECTED_SHARE = 0.0005  # of rightly labelled rows held back
@@ -70,10 +73,12 @@ def subwords(text: str) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, allowed: Column) -> DataFrame:
-    """(text, lang): up to PER_LANGUAGE rows of each language, drawn by a hash of the doc_id."""
+    """(text, lang, h): up to PER_LANGUAGE rows of each of the MOST_LANGUAGES languages with most rows, drawn by a hash of the doc_id."""
     rows = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= PER_LANGUAGE)
+    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES).select("lang")
+    salted = rows.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(_SALTS)).alias("_salt")).join(F.broadcast(common), "lang")
+    w = Window.partitionBy("lang", "_salt").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = salted.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= PER_LANGUAGE // _SALTS)
     ids = ids.select("doc_id").distinct()  # at most PER_LANGUAGE rows a language
     every = F.greatest(F.lit(1), F.ceil(F.length("text") / ROW_BYTES)).cast("int")
     part = F.transform(F.sequence(F.lit(0), every - 1), lambda i: F.substring("text", i * F.floor(F.length("text") / every).cast("int") + 1, F.lit(ROW_BYTES) / every))
