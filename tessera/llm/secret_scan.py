@@ -108,7 +108,8 @@ def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     grams = sorted({g for r in rules for s in trigram_query(r.pattern) for a in s for g in a})
     low = docs.select("doc_id", F.lower(F.col("text").cast("string")).alias("low"))  # named, so that it is made once and not for each trigram
     found = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)))
-    return low.select("doc_id", found.alias("found")).select(F.explode("found").alias("trigram"), "doc_id")
+    # outer, since a plain explode would have the array made once more for a filter on its size
+    return low.select("doc_id", found.alias("found")).select(F.explode_outer("found").alias("trigram"), "doc_id").where("trigram is not null")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
