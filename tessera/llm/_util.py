@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from tessera.shared import new_path, shared_dir, stored  # noqa: F401
 
-BATCH_ROWS = 2000
-_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+_ROWS_CONF, _BYTES_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the row's place in its partition in the low 33 bits
 
 
@@ -28,12 +28,15 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of BATCH_ROWS rows at most from now on in this session; a lower setting stays.
+    """Arrow batches of BATCH_ROWS rows and BATCH_BYTES bytes at most from now on in this session; lower settings stay.
 
     A batch is held by the JVM and by the worker at once, with texts of any length.
     """
-    if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
-        spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+    if not 0 < int(spark.conf.get(_ROWS_CONF)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS_CONF, BATCH_ROWS)
+    held = spark.conf.get(_BYTES_CONF).strip().lower()
+    if not (held.rstrip("b").isdigit() and 0 < int(held.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(_BYTES_CONF, f"{BATCH_BYTES}b")
 
 
 def with_text(docs: DataFrame, names: list[str]) -> tuple[DataFrame, int]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm._util import stored
 
 BROADCAST_ROWS = 1_000_000  # least parents are broadcast up to here (16 bytes each), else shuffled
-SMALL = 1 << 20  # edges that one task finishes: 16 MB
+SMALL = 1 << 19  # edges that one task finishes: 8 MB
 _HELD = 1 << 20  # edges a task holds before it shrinks them to a forest
 
 

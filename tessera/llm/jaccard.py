@@ -289,17 +289,22 @@ def candidate_groups(segments: DataFrame) -> DataFrame:
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbours of one key, shrunk to stars; rows come sorted by key."""
-        held = (np.empty(0, np.int64), np.empty(0, np.int64))
-        keys, nodes = held
+        keys = nodes = np.empty(0, np.int64)
+        held, n, shrunk = [(keys, nodes)], 0, 0
         for batch in batches:
             keys = np.concatenate([keys[-1:], batch.column(0).to_numpy()])
             nodes = np.concatenate([nodes[-1:], batch.column(1).to_numpy()])
             same = keys[1:] == keys[:-1]
-            held = stars(*(np.concatenate(x) for x in zip(held, (nodes[1:][same], nodes[:-1][same]), strict=True)))
-            if len(held[0]) > _HELD:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names=["a", "b"])
-                held = (held[0][:0], held[1][:0])
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names=["a", "b"])
+            held.append((nodes[1:][same], nodes[:-1][same]))
+            n += len(held[-1][0])
+            if n > max(1 << 16, 2 * shrunk):
+                held = [stars(*map(np.concatenate, zip(*held, strict=True)))]
+                n = shrunk = len(held[0][0])
+                if shrunk > _HELD:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), names=["a", "b"])
+                    held, n, shrunk = [(keys[:0], nodes[:0])], 0, 0
+        found = stars(*map(np.concatenate, zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, found)), names=["a", "b"])
 
     edges = kept.repartition(partitions(segments.sparkSession), "key").sortWithinPartitions("key").mapInArrow(joined, "a long, b long")
     return components(edges).select(F.col("node").alias("short"), "root")
