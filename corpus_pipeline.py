@@ -3,7 +3,14 @@
 Language ID drops documents without a recognisable language; the n-gram Jaccard join (five words, 80 %)
 keeps one document of each group; substring dedup takes out windows of 35 words that repeat; the secret
 scan masks secrets; packing returns the pieces of what is left. All but the last return the columns of
-`documents`, with n_chars following the text.
+`documents`, with n_chars following the text; other columns are dropped, whatever their names.
+
+Defined cases, stage by stage. Null texts and texts without a letter have no language and go in the
+first stage. A null or repeated doc_id names no row: every row is judged by its text, and of a group of
+near copies the row that is least by doc_id (null last), then by text and the other columns stays, so that
+of equal rows one does. Very long texts pass every stage whole. A text that loses all its words to substring
+dedup stays as an empty one. Masking changes only the stretches found. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
