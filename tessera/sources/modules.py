@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -63,3 +66,27 @@ def variable_events(modules: DataFrame) -> DataFrame:
     )
     out = rows.select("scope", "line", F.posexplode(events).alias("k", "e"))
     return out.select("scope", F.col("e.name").alias("name"), (F.col("line") * 10_000 + F.col("k")).cast("long").alias("pos"), F.col("e.action").alias("action"), F.lit(None).cast("string").alias("type"))
+
+
+def looks_like_module(text: Column) -> Column:
+    """Whether a text has a routine at all."""
+    return F.contains(text, F.lit("Процедура")) | F.contains(text, F.lit("Функция"))
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text, encoding) of report files: UTF-16 if they say so, else UTF-8 if they are, else Windows-1251."""
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                if raw.startswith(b"\xff\xfe"):
+                    rows.append((name, raw[2:].decode("utf-16-le", "replace"), "UTF-16LE"))
+                    continue
+                try:
+                    rows.append((name, raw.decode("utf-8-sig"), "UTF-8"))
+                except UnicodeDecodeError:
+                    rows.append((name, raw.decode("cp1251", "replace"), "CP1251"))
+            yield pd.DataFrame(rows, columns=["path", "text", "encoding"])
+
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(decode, "path string, text string, encoding string")

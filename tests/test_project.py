@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import names
-from tessera.operators import call_check, doc_index, incremental, index, project, results, rules, verify
-from tessera.sources import config_xml, docs, kinds, modules
+from tessera.operators import call_check, doc_index, incremental, index, project, results, rules, verify, words
+from tessera.sources import config_xml, docs, entities, kinds, modules
 
 OBJECT = """<M xmlns="http://x" xmlns:v8="http://v8"><{tag}><Properties><Name>{name}</Name><Synonym><v8:item><v8:content>Syn {name}</v8:content></v8:item></Synonym>{more}</Properties>
 <ChildObjects><TabularSection><Properties><Name>Rows</Name><Synonym><v8:item><v8:content>Строки</v8:content></v8:item></Synonym></Properties></TabularSection></ChildObjects></{tag}></M>"""
@@ -182,3 +182,24 @@ def test_names_and_reports(spark):
     assert tuple(t) == ("Число", "Unknown", "Булево", "Число")
     r = spark.createDataFrame([("error", "f"), ("hint", "g")], "level string, file_path string")
     assert [x.value for x in results.summary_lines(r).collect()] == ["Issues: 2", "Files: 2", "error: 1", "warning: 0", "info: 0", "hint: 1"]
+
+
+def test_words_in_context(spark):
+    lines = [("  Если А", "Если"), ("Б = Новый Массив", "Массив"), ("Перем Х Как Число", "Число"), ("А = Если", "Если"), ("нет", "Если")]
+    df = spark.createDataFrame(lines, "line string, word string").withColumn("context", words.context(F.col("line"), F.col("word")))
+    assert [r.context for r in df.collect()] == ["StatementStart", "AfterNew", "TypeDeclaration", "Expression", "Unknown"]
+    e = spark.createDataFrame([("Число (Number)", "Primitive", False), ("Массив (Array)", "Array", False), ("Сообщить", "System", True)], "display_name string, entity_kind string, is_global_function boolean")
+    v = words.union(words.vocabulary_of(e), spark.createDataFrame([("Если", "strict"), ("Если", "strict")], "word string, role string"))
+    assert {(r.word, r.role) for r in v.collect()} == {("Число", "type"), ("Number", "type"), ("Массив", "object"), ("Array", "object"), ("Сообщить", "function"), ("Если", "strict")}
+    got = {(r.word, r.context): (r.is_reserved, r.can_be_variable) for r in words.classified(df, v).collect()}
+    assert got["Если", "StatementStart"] == (True, False) and got["Массив", "AfterNew"] == (True, False) and got["Число", "TypeDeclaration"] == (True, True) and got["Если", "Expression"] == (True, False)
+
+
+def test_reports_and_json_records(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    for name, raw in (("a", "\ufeffТекст".encode("utf-16-le")), ("b", "Текст".encode()), ("c", "Текст".encode("cp1251"))):
+        (tmp_path / "r" / f"{name}.txt").write_bytes(raw)
+    assert {(r.text, r.encoding) for r in modules.read_reports(spark, f"{tmp_path}/r").collect()} == {("Текст", "UTF-16LE"), ("Текст", "UTF-8"), ("Текст", "CP1251")}
+    rows = spark.createDataFrame([("1", '{"name":"M","is_function":true}')], "id string, json string")
+    assert entities.methods_of_json(rows).first().method.is_function and entities.properties_of_json(rows).first().property.type_name == "Unknown"
+    assert spark.range(1).select(modules.looks_like_module(F.lit("Процедура А()")).alias("m")).first().m
