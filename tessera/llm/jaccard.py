@@ -350,18 +350,19 @@ def links_of(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None
 
 
 def candidate_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """wanted (doc_id, name, ...) with `data`, the set of the document, made again from the text."""
+    """wanted (doc_id, text_key, name, ...) with `data`, the set of the document, made again from its text."""
     few = wanted.count() <= BROADCAST_ROWS
-    others = [c for c in wanted.columns if c not in ("doc_id", "name")]
-    wanted = wanted.withColumnRenamed("doc_id", "_id")
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id"))).select("name", *others, "text")
+    others = [c for c in wanted.columns if c not in ("doc_id", "text_key", "name")]
+    wanted = wanted.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key("text") == F.col("_key"))  # ids may repeat or be null
+    texts = docs.join(F.broadcast(wanted) if few else wanted, same).select("name", *others, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in _parts(batch):
                 kept, data = [], []
                 for i, (name, s) in enumerate(zip(part.column(0).to_pylist(), shingle_sets(texts, width), strict=True)):
-                    if len(s) and digest(s) == name:  # another row may have the same doc_id
+                    if len(s) and digest(s) == name:
                         kept.append(i)
                         data.append(s.tobytes())
                 cols = [part.column(c).take(pa.array(kept, pa.int64())) for c in range(1, len(others) + 1)]
@@ -437,14 +438,14 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     per_doc = stored(set_digests(docs, width).withColumn("row", F.monotonically_increasing_id()), "digests")
-    nodes = per_doc.where("n > 0").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("short").alias("short"))
+    nodes = per_doc.where("n > 0").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("short").alias("short"), F.min_by(F.struct("doc_id", "text_key"), "row").alias("first"))
     nodes = stored(nodes, "nodes")
     total, largest = nodes.agg(F.sum("n"), F.max("n")).first()
     segments = shared_segments(docs, width, percent, n_keys=(total or 0) * 6 * (100 - percent) // (100 + percent))
     groups_ = stored(candidate_groups(stored(segments, "segments")), "groups")
     band = Bands(percent).column(F.col("n"), largest or 0)
     weight = F.greatest(F.lit(1.0), F.col("n") / _HEAVY)
-    members = stored(groups_.join(nodes, "short").select("root", "node", "name", "doc_id", band.alias("band"), weight.alias("weight")), "members")
+    members = stored(groups_.join(nodes, "short").select("root", "node", "name", "first.doc_id", "first.text_key", band.alias("band"), weight.alias("weight")), "members")
     totals = members.groupBy("root").agg(F.sum("weight").alias("total"))
     members = stored(members.join(totals, "root"), "members")
     links = _small(docs, members.where(F.col("total") <= BLOCK), width, percent)
@@ -456,13 +457,13 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
 
 def _small(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links of the groups that are one tile each."""
-    tiles = members.select("doc_id", "name", F.col("root").alias("tile"), F.lit(None).cast("int").alias("side"), "node", F.col("node").alias("label"))
+    tiles = members.select("doc_id", "text_key", "name", F.col("root").alias("tile"), F.lit(None).cast("int").alias("side"), "node", F.col("node").alias("label"))
     return stored(tile_links(candidate_sets(docs, tiles, width), percent), "links")
 
 
 def _large(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(a, b): links that join all that can be joined in groups of more than one tile."""
-    sets = stored(candidate_sets(docs, members.select("doc_id", "name", "node", "root", "band", "weight"), width), "sets")
+    sets = stored(candidate_sets(docs, members.select("doc_id", "text_key", "name", "node", "root", "band", "weight"), width), "sets")
     data = sets.select("node", "data")
     now = sets.select("node", "root", "band", "weight", F.col("node").alias("label"))
     links, round_, n_heads = None, 0, None
@@ -479,6 +480,8 @@ def _large(docs: DataFrame, members: DataFrame, width: int, percent: int) -> Dat
         joined = components(links).withColumnRenamed("root", "joined")
         now = stored(now.join(joined, "node", "left").withColumn("label", F.coalesce("joined", "node")).drop("joined"), "labels")
         round_, n_heads = round_ + 1, left
+    if links is None:
+        return docs.sparkSession.createDataFrame([], "a long, b long")
     if not left:
         return links
     return links.union(stored(tile_links(_visits(now).join(data, "node"), percent), "links"))
