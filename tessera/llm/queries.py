@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard, kd_shard, langid, packing, pieces, quality, secret_scan, store, substring, topk
+from tessera.llm import conversations, jaccard, kd_shard, langid, packing, pieces, quality, secret_scan, store, substring, topk
 from tessera.llm._util import new_path
 
 
@@ -83,6 +83,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with faults put in by a hash of conv_id and turn; nulls count as one space, but in the order of turns."""
+    text, role = (F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("text", "role"))
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    hit = F.pmod(F.crc32(key), F.lit(20))
+    text = F.when(hit == 1, "").when(hit == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(hit == 4, "user").otherwise(role)
+    times = F.when(hit == 0, 0).when(hit == 3, 2).otherwise(1)
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    got = conversations.report(conversations.repair(damaged(rows))).withColumnRenamed("conv_id", "_conv")
+    ids = rows.select("conv_id").distinct()
+    longs = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    joined = ids.join(got, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    return joined.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def _secret_sql() -> str:
     """Matches by regexp_extract_all; places from the lengths of what lies before each."""
     one = """SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(ms) + 1)) AS i, ms, gs, vs FROM (
@@ -110,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 _TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -137,9 +158,58 @@ r AS (SELECT *, max(twice::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETW
 k AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM r GROUP BY doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id"""
 
+
+def _crc_sql(key: str) -> str:
+    """Unsigned crc32 of an expression's UTF-8 bytes, with the table that `t` holds."""
+    hexed = f"hex(encode({key}))"
+    data = f"list_transform(range(1, length({hexed}), 2), lambda p: (16 * (instr('0123456789ABCDEF', substr({hexed}, p, 1)) - 1) + instr('0123456789ABCDEF', substr({hexed}, p + 1, 1)) - 1)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_CRC_TABLE = """tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+  lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row, each state's best list as its cost of nine digits and its edits, coded so that they sort as their initials."""
+
+    def more(s: str, cost: str, code: str) -> str:
+        return f"lpad((substr({s}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({s}, 10) || '{code}'"
+
+    never, pen = "'999999000'", "(CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END)"
+    kept = lambda i, *froms: f"CASE WHEN stays AND init = '{i}' THEN least({', '.join(more(s, pen, '4') for s in froms)}) ELSE {never} END" if len(froms) > 1 else f"CASE WHEN stays AND init = '{i}' THEN {more(froms[0], pen, '4')} ELSE {never} END"
+    to = lambda code, *froms: " , ".join(f"CASE WHEN stays THEN {more(s, '1 + ' + pen, code)} ELSE {never} END" for s in froms)
+    return f"""WITH RECURSIVE {_CRC_TABLE},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS h FROM conversations, tab),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS init FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
+  init || lead(init) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM o),
+e AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays FROM f),
+s AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM e GROUP BY conv_id),
+r AS (SELECT conv_id, 0::BIGINT AS i, '000000000' AS n0, {never} AS s0, {more("'000000000'", '5', '2')} AS u0, {more("'000000000'", '10', '23')} AS a0 FROM s
+  UNION ALL SELECT conv_id, i, n2, s2, least(u2, {more('a2', '5', '2')}), least(a2, {more('u2', '5', '3')}) FROM (
+    SELECT conv_id, i, n1 AS n2, s1 AS s2, least(u1, {more('n1', '5', '2')}, {more('s1', '5', '2')}, {more('a1', '5', '2')}) AS u2, least(a1, {more('u1', '5', '3')}) AS a2 FROM (
+      SELECT r.conv_id, e.i, {more('n0', '2', '1')} AS n1, least({more('s0', '2', '1')}, {kept('s', 'n0')}) AS s1,
+        least({more('u0', '2', '1')}, {kept('u', 'n0', 's0', 'a0')}, {to('5', 'n0', 's0', 'a0')}) AS u1, least({more('a0', '2', '1')}, {kept('a', 'u0')}, {to('6', 'u0')}) AS a1
+      FROM r JOIN e ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND e.i = r.i + 1))),
+z AS (SELECT r.conv_id, least(n0, a0) AS best FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.n),
+c AS (SELECT conv_id, unnest(string_split(substr(best, 10), '')) AS code, unnest(range(length(best) - 9)) AS pos FROM z),
+q AS (SELECT *, sum(CASE WHEN code IN ('2', '3') THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY pos) AS i FROM c),
+p AS (SELECT q.conv_id, string_agg(CASE code WHEN '2' THEN 'user:' WHEN '3' THEN 'assistant:' WHEN '5' THEN 'user:' || text WHEN '6' THEN 'assistant:' || text ELSE role || ':' || text END, chr(10) ORDER BY pos) FILTER (code <> '1') AS lines
+  FROM q LEFT JOIN e ON q.conv_id IS NOT DISTINCT FROM e.conv_id AND q.i = e.i GROUP BY q.conv_id)
+SELECT a.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(substr(best, 1, 9)::BIGINT, 0) AS cost, coalesce(translate(substr(best, 10), '123456', 'DIIKRR'), '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN p ON a.conv_id IS NOT DISTINCT FROM p.conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_pivot_top_k": _TOP_K_SQL,
     "op7_secret_scan": _secret_sql(),
     "op9_jaccard_join": _JACCARD_SQL,
     "op10_substring_dedup": _SUBSTRING_SQL,
+    "op11_conversation_repair": _repair_sql(),
 }
