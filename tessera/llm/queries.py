@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import conversations, jaccard, kd_shard, langid, packing, pieces, quality, secret_scan, store, substring, topk
+from tessera.llm import conversations, gam, jaccard, kd_shard, langid, packing, pieces, quality, secret_scan, spelling, store, substring, topk
 from tessera.llm._util import new_path
 
 
@@ -103,6 +103,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", *longs, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = gam.train(docs, _table(spark, sf_dir, "labels"), allowed=langid.fold() != 2)
+    held_out = F.coalesce(langid.fold() == 2, F.lit(False))
+    return gam.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 def _secret_sql() -> str:
     """Matches by regexp_extract_all; places from the lengths of what lies before each."""
     one = """SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(ms) + 1)) AS i, ms, gs, vs FROM (
@@ -131,6 +142,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 _TOP_K_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
@@ -206,10 +219,27 @@ SELECT a.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN s ON a.conv_id IS NOT DISTINCT FROM s.conv_id LEFT JOIN z ON a.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN p ON a.conv_id IS NOT DISTINCT FROM p.conv_id"""
 
 
+_SPELLING_SQL = f"""WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS k FROM r WHERE length(run) >= 5 GROUP BY id, run),
+h AS (SELECT run, k, {_crc_sql("(id || ':' || run)")} AS h FROM g, tab),
+d AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM d WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3),
+v AS (SELECT word, n, pos, left(word, pos) || substr(word, pos + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS pos FROM w)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.pos = b.pos AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+c AS (SELECT word, count(*) AS n_near FROM p GROUP BY word),
+b AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM p),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+  FROM w LEFT JOIN c ON w.word = c.word LEFT JOIN b ON w.word = b.word AND place = 1),
+t AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT t.word, f.word, f.form FROM t JOIN f ON t.next = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN t ON f.word = t.word AND t.next IS NULL"""
+
 ORACLE_SQL: dict[str, str] = {
     "op6_pivot_top_k": _TOP_K_SQL,
     "op7_secret_scan": _secret_sql(),
     "op9_jaccard_join": _JACCARD_SQL,
     "op10_substring_dedup": _SUBSTRING_SQL,
     "op11_conversation_repair": _repair_sql(),
+    "op12_spelling_variants": _SPELLING_SQL,
 }
