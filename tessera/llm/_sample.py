@@ -18,9 +18,10 @@ def sample_texts(rows: DataFrame, kind: str, per_kind: int) -> DataFrame:
     broadcast, has per_kind rows a kind at most; the caller bounds the kinds or lowers per_kind with their number.
     """
     rows = rows.where(F.col("text").isNotNull() & F.col(kind).isNotNull()).select(kind, "text", F.xxhash64("text").alias("h"))
-    slim = rows.select(kind, "h").distinct().withColumn("_salt", F.pmod(F.col("h"), F.lit(_SALTS)))
-    rank = F.row_number().over(Window.partitionBy(kind, "_salt").orderBy("h"))
-    drawn = slim.withColumn("_rank", rank).where(F.col("_rank") <= max(1, per_kind // _SALTS)).select(kind, "h")
+    drawn = rows.select(kind, "h").distinct().withColumn("_salt", F.pmod(F.col("h"), F.lit(_SALTS)))
+    for keys in ((kind, "_salt"), (kind,)):  # the parts of a large kind first, then what is left of all of them
+        drawn = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).where(F.col("_rank") <= per_kind)
+    drawn = drawn.select(kind, "h")
     return rows.join(F.broadcast(drawn), [kind, "h"]).groupBy(kind, "h").agg(F.first("text").alias("text"))
 
 

@@ -2,13 +2,14 @@
 
 The model's features are the words, the pairs of neighbouring words (a pair of equal words is one
 feature, whatever the word) and the 1- to 3-grams of characters, hashed into tables; a text is the mean of
-each family. It is trained by stochastic gradient descent in numpy on a bounded sample of the rows that
-`labels` covers. On rows held back, a logistic curve turns scores into probabilities. Texts are scored
+each family. It is trained by stochastic gradient descent in numpy on a bounded sample of the texts that
+`labels` covers, PER_CLASS different ones of each class; each is read whole, and its features are counted where
+it is, so that the driver gets counts of at most 2**WORD_BITS + 2**CHAR_BITS features a row. On rows held back, a logistic curve turns scores into probabilities. Texts are scored
 in Arrow batches, whole, and kept at or over a fixed probability unless a base rule fails them.
 
 Defined cases: null and empty texts have no words and fail the base rule; with labels of one class only,
-or none, the model keeps every text; labels of unknown documents are ignored and repeated ones count
-each; repeated rows get equal results; an empty table gives no row; other columns stay.
+or none, the model keeps every text; labels of null ids or unknown documents are ignored, repeated ones
+and equal texts of a class count once, those of one id that disagree each; repeated rows get equal results; an empty table gives no row; other columns stay.
 """
 
 from __future__ import annotations
@@ -20,15 +21,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm._linear import char_grams, fit_platt, hashed
+from tessera.llm._sample import labelled_texts
 from tessera.llm._util import bounded_batches, with_text
 from tessera.llm._words import Words, groups, mix64, runs
 
-PER_CLASS = 3008  # labelled rows of each class that training looks at, at most
-_SALTS = 64  # parts that each class is drawn in
-ROW_BYTES = 20_000  # a longer training row is seen through as many characters, taken evenly from all of it
+PER_CLASS = 3008  # labelled texts of each class that training looks at, at most
 KEEP_FROM = 0.3  # probability of good quality from which a text is kept
 LEAST_WORDS = 50
 MOST_REPEATED = 50  # of 100 words
@@ -88,29 +87,33 @@ def measures(text: str, raw: bytes, windows: np.ndarray, n_words: int) -> tuple[
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, text, quality): up to PER_CLASS labelled rows of each class, drawn by a hash of the doc_id."""
-    salted = labels.where("quality in (0, 1)").select("doc_id", "quality", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).alias("_salt"))
-    w = Window.partitionBy("quality", "_salt").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = salted.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= PER_CLASS // _SALTS)
-    rows = docs.where("text is not null").select("doc_id", F.col("text").cast("string")).join(F.broadcast(picked.select("doc_id", "quality")), "doc_id")
-    every = F.greatest(F.lit(1), F.ceil(F.length("text") / ROW_BYTES)).cast("int")
-    part = F.transform(F.sequence(F.lit(0), every - 1), lambda i: F.substring("text", i * F.floor(F.length("text") / every).cast("int") + 1, F.lit(ROW_BYTES) / every))
-    return rows.select(F.xxhash64("doc_id").alias("h"), F.array_join(part, " ").alias("text"), "quality")
+    """(h, quality, words, word_shares, grams, gram_shares) of the sampled texts: features as bytes of unsigned 16-bit and 32-bit float numbers."""
+    sample = labelled_texts(docs, labels, "quality", PER_CLASS)
+    bounded_batches(docs.sparkSession)
+    kinds = ("words", "word_shares", "grams", "gram_shares")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: dict[str, list[bytes]] = {k: [] for k in kinds}
+            for text in batch.column(2).to_pylist():
+                for k, at in enumerate(features(Words([text.encode()]).hash, text)):
+                    found, n = np.unique(at, return_counts=True)
+                    cols[kinds[2 * k]].append(found.astype(np.uint16).tobytes())
+                    cols[kinds[2 * k + 1]].append((n / max(1, n.sum())).astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, pa.binary()) for c in cols.values())], names=["h", "quality", *kinds])
+
+    return sample.select("h", F.col("quality").cast("int"), "text").mapInArrow(run, "h long, quality int, " + ", ".join(f"{k} binary" for k in kinds))
 
 
 def train(docs: DataFrame, labels: DataFrame, epochs: int = 15, rate: float = 20.0, seed: int = 11) -> QualityModel:
-    """Fits a model. What the driver holds is bounded by two classes of PER_CLASS rows of ROW_BYTES."""
+    """Fits a model. What the driver holds is bounded by two classes of PER_CLASS rows of counts."""
     model = QualityModel(np.zeros(1 << WORD_BITS), np.zeros(1 << CHAR_BITS))
-    rows = sorted((r.h, r.quality, r.text) for r in training_rows(docs, labels).collect())
+    rows = sorted(tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in training_rows(docs, labels).collect())
     y = np.asarray([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
         model.shift = 40.0
         return model
-    found = []
-    for _, _, text in rows:
-        raw = text.encode()
-        word_at, gram_at = features(Words([raw]).hash, text)
-        found.append([(at.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)) for at, n in (np.unique(word_at, return_counts=True), np.unique(gram_at, return_counts=True))])
+    found = [[(np.frombuffer(r[k], np.uint16), np.frombuffer(r[k + 1], np.float32)) for k in (2, 4)] for r in rows]
     held = np.asarray([(r[0] >> 7) % 4 == 0 for r in rows])
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(rows), bool)
