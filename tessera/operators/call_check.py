@@ -12,46 +12,138 @@ from pyspark.sql.window import Window
 
 from tessera.functions.names import value_type
 from tessera.operators.index import lookup
+from tessera.operators.reach import ReachIndex, reachable
 from tessera.operators.verify import alike
+from tessera.shared import stored
 from tessera.sources.kinds import manager_type
 
 DEFAULT_CONTEXT = "Server"
+_SMALL = 100_000  # rows up to which a counted table is broadcast
 
 
-def assigned_types(assignments: DataFrame, names: DataFrame, members: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(scope, name, pos, type): the type of each assigned variable. assignments: (scope, name, pos, value).
+_WORD = "[\\w\\u0400-\\u04FF]+"
 
-    A value is a literal, `New T(...)`, another variable of the scope assigned before, a name of the index,
-    `name.member` of a manager, or `name.member(...)`, which has the type that the member returns. Names that
-    wait for others are tried again until a round types none more. names: what operators.index.name_index gives.
-    """
+
+def _nodes(assignments: DataFrame, names: DataFrame) -> DataFrame:
+    """Assignments that may have a type, each once: id, scope, name, pos, `base` (type of a literal or constructor), `head` (what the value starts from), member, is_call, of_index (id of the head in the index)."""
     v = F.trim("value")
     part = lambda p, i: F.nullif(F.regexp_extract(v, p, i), F.lit(""))
-    word = "[\\w\\u0400-\\u04FF]+"
-    rows = assignments.select("scope", "name", "pos", value_type(v).alias("literal"), part(f"^(?:Новый|New)\\s+({word})", 1).alias("made"), part(f"^({word})$", 1).alias("alone"), part(f"^({word})\\.({word})(\\(|$)", 1).alias("object"), part(f"^({word})\\.({word})(\\(|$)", 2).alias("member"), F.regexp_like(v, F.lit(f"^{word}\\.{word}\\(")).alias("is_call"))
-    heads = rows.select(F.coalesce("alone", "object").alias("name")).where("name is not null").distinct()
-    known = lookup(heads, names).where("id is not null").select(F.col("name").alias("head"), F.col("id").alias("of_index"))
-    rows = rows.withColumn("head", F.coalesce("alone", "object")).join(known, "head", "left")
-    done, n = rows.select("scope", "name", "pos", F.coalesce("literal", "made").alias("type")).where("type is not null"), -1
-    returns = members.select(F.col("type").alias("of_type"), "member", F.col("returns").alias("result"))
-    while rounds is None or rounds > 0:
-        count = done.count()
-        if count == n:
-            return done
-        n, rounds = count, None if rounds is None else rounds - 1
-        earlier = done.select("scope", F.col("name").alias("head"), F.col("pos").alias("at"), F.col("type").alias("held"))
-        near = rows.select("scope", "head", "pos").distinct().join(earlier, ["scope", "head"]).where("at < pos").groupBy("scope", "head", "pos").agg(F.max_by("held", "at").alias("held"))
-        got = rows.join(near, ["scope", "head", "pos"], "left").withColumn("of_type", F.coalesce("held", "of_index")).join(returns, ["of_type", "member"], "left")
-        kind = F.coalesce("literal", "made", F.when(F.col("alone").isNotNull(), F.col("of_type")), F.when(F.col("is_call"), F.col("result")), manager_type(F.coalesce("held", "of_index", "object"), F.col("member")), F.col("result"))
-        done = got.select("scope", "name", "pos", kind.alias("type")).where("type is not null").distinct()
-    return done
-
-
-def typed_calls(calls: DataFrame, types: DataFrame) -> DataFrame:
-    """calls (scope, pos, object, ...) with `type`: that of the last assignment of the object before the call in its scope."""
-    t = types.select("scope", F.col("name").alias("object"), F.col("pos").alias("at"), "type")
-    last = calls.select("call_id", "scope", "object", "pos").join(t, ["scope", "object"]).where("at < pos").groupBy("call_id").agg(F.max_by("type", "at").alias("type"))
-    return calls.join(last, "call_id", "left")
+    dotted = f"^({_WORD})\\.({_WORD})(\\(|$)"
+    once = assignments.groupBy("scope", "name", "pos").agg(F.max("value").alias("value"))
+    base = F.coalesce(value_type(v), part(f"^(?:Новый|New)\\s+({_WORD})", 1))
+    rows = once.select(F.md5(F.to_json(F.struct("scope", "name", "pos"))).alias("id"), "scope", "name", "pos", base.alias("base"), part(f"^({_WORD})$", 1).alias("alone"), part(dotted, 1).alias("object"), part(dotted, 2).alias("member"), F.regexp_like(v, F.lit(f"^{_WORD}\\.{_WORD}\\(")).alias("is_call"))
+    rows = rows.withColumn("head", F.when(F.col("base").isNull(), F.coalesce("alone", "object"))).where("base is not null or head is not null").drop("alone", "object")
+    known = lookup(rows.select(F.col("head").alias("name")).where("name is not null").distinct(), names).where("id is not null")
+    return rows.join(known.select(F.col("name").alias("head"), F.col("id").alias("of_index")), "head", "left")
+
+
+def _defined(nodes: DataFrame) -> DataFrame:
+    """nodes with `def`, the last write of the head before them in their scope, and `sole`, whether that write had none before it.
+
+    Writes and uses of a name lie in one window; nothing pairs a use with all earlier writes.
+    """
+    upto = Window.partitionBy("scope", "key").orderBy("pos", "writes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.lag("id").over(Window.partitionBy("scope", "name").orderBy("pos")).isNull()
+    writes = nodes.withColumn("first", first).select("scope", F.col("name").alias("key"), "pos", F.lit(1).alias("writes"), F.struct("id", "first").alias("w"), F.lit(None).cast("string").alias("use"))
+    uses = nodes.where("head is not null").select("scope", F.col("head").alias("key"), "pos", F.lit(0).alias("writes"), F.lit(None).cast("struct<id:string,first:boolean>").alias("w"), F.col("id").alias("use"))
+    seen = writes.unionByName(uses).withColumn("w", F.last("w", ignorenulls=True).over(upto)).where("use is not null")
+    return nodes.join(seen.select(F.col("use").alias("id"), F.col("w.id").alias("def"), F.col("w.first").alias("sole")), "id", "left")
+
+
+def _anchored(copies: DataFrame) -> DataFrame:
+    """(id, anchor, falls): where a chain of copies (id, to, falls) ends, by pointer jumping; `falls` if every link of it does."""
+    got = stored(copies.withColumn("moved", F.lit(True)), "anchors")
+    while not got.where("moved").isEmpty():
+        ahead = got.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("falls").alias("_falls"))
+        joined = got.join(ahead, "to", "left")
+        got = stored(joined.select("id", F.coalesce("_to", "to").alias("to"), (F.col("falls") & F.coalesce("_falls", F.lit(True))).alias("falls"), F.col("_to").isNotNull().alias("moved")), "anchors")
+    return got.select("id", F.col("to").alias("anchor"), "falls")
+
+
+def assigned_types(assignments: DataFrame, names: DataFrame, members: DataFrame) -> DataFrame:
+    """(scope, name, pos, type): the type of each assigned variable. assignments: (scope, name, pos, value).
+
+    A value is a literal, `New T(...)`, a name, `name.member` or `name.member(...)`, which has the type that the
+    member returns. A name is the variable of the scope as it was last assigned before with a known type, else
+    that of the index (names: what operators.index.name_index gives); an assignment of unknown type changes
+    nothing. Repeated rows count once, of two values at one place the greater counts.
+
+    Each use is tied to the write before it. Chains of copies are cut short by pointer jumping; members are looked
+    up in rounds, each of which takes what the last one typed. Writes that turn out to have no type are taken away
+    and their uses tied anew, until none is left. Every round is stored.
+    """
+    live = stored(_nodes(assignments, names), "nodes")
+    result = members.groupBy(F.col("type").alias("of_type"), "member").agg(F.max("returns").alias("result"))
+    while True:
+        rows = stored(_defined(live), "defined")
+        alone = F.col("member").isNull() & F.col("head").isNotNull()
+        copies = rows.where(alone & F.col("def").isNotNull())
+        # if what is copied has no type, the copy has none either: there is no earlier write and no such name in the index
+        anchors = _anchored(copies.select("id", F.col("def").alias("to"), (F.col("sole") & F.col("of_index").isNull()).alias("falls")))
+        ends = F.broadcast if anchors.count() <= _SMALL else (lambda x: x)
+
+        def of_members(asked: DataFrame) -> DataFrame:
+            """(id, type) of member rows whose head has the type of_type; null if there is none."""
+            got = asked.join(result, ["of_type", "member"], "left")
+            kind = F.coalesce(F.when(F.col("is_call"), F.col("result")), manager_type(F.col("of_type"), F.col("member")), F.col("result"))
+            return got.select("id", kind.alias("type"))
+
+        free = rows.where(F.col("def").isNull())
+        direct = of_members(free.where("member is not null").withColumn("of_type", F.coalesce("of_index", "head")))
+        fresh = stored(rows.where("base is not null").select("id", F.col("base").alias("type")).unionByName(free.where(alone).select("id", F.col("of_index").alias("type"))).unionByName(direct), "types")
+        waiting = rows.where("member is not null and def is not null").join(ends(anchors.select(F.col("id").alias("def"), "anchor")), "def", "left")
+        waiting = stored(waiting.select("id", "member", "is_call", F.coalesce("anchor", "def").alias("target")), "waiting")
+        parts = [fresh]
+        while not fresh.where("type is not null").isEmpty():
+            asked = waiting.join(fresh.where("type is not null").select(F.col("id").alias("target"), F.col("type").alias("of_type")), "target")
+            fresh = stored(of_members(asked), "types")
+            parts.append(fresh)
+        known = parts[0]
+        for p in parts[1:]:
+            known = known.unionByName(p)
+        lost = known.where("type is null").select("id")
+        lost = stored(lost.unionByName(anchors.where("falls").join(lost.withColumnRenamed("id", "anchor"), "anchor", "left_semi").select("id")), "lost")
+        if lost.isEmpty():
+            known = stored(known, "known")
+            copied = anchors.join(known.withColumnRenamed("id", "anchor"), "anchor").select("id", "type")
+            return rows.join(known.unionByName(copied), "id").select("scope", "name", "pos", "type")
+        live = stored(live.join(lost, "id", "left_anti"), "nodes")
+
+
+def typed_calls(calls: DataFrame, types: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """calls (call_id, scope, pos, object, ...) with `type`: that of the last typed assignment of the object before the call in its scope, else, if names are given, the object's id in the index."""
+    upto = Window.partitionBy("scope", "object").orderBy("pos", "writes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names_ = [c for c in calls.columns if c != "type"]
+    rows = calls.select(F.struct(*names_).alias("call"), "scope", "object", F.col("pos").cast("long").alias("pos"), F.lit(0).alias("writes"), F.lit(None).cast("string").alias("type"))
+    writes = types.select(F.lit(None).cast(rows.schema["call"].dataType).alias("call"), "scope", F.col("name").alias("object"), F.col("pos").cast("long").alias("pos"), F.lit(1).alias("writes"), "type")
+    got = rows.unionByName(writes).withColumn("type", F.last("type", ignorenulls=True).over(upto)).where("call is not null").select("call.*", "type")
+    if names is None:
+        return got
+    known = lookup(got.select(F.col("object").alias("name")).where("name is not null").distinct(), names).where("id is not null")
+    return got.join(known.select(F.col("name").alias("object"), F.col("id").alias("_of_index")), "object", "left").withColumn("type", F.coalesce("type", "_of_index")).select(*names_, "type")
+
+
+def unknown_functions(calls: DataFrame, routines: DataFrame, functions: DataFrame) -> DataFrame:
+    """(path, pos, member): calls of functions that neither the language (`functions`: word) nor their module (`routines`: path, name) has, whatever the case."""
+    free = calls.where("kind = 'function'").withColumn("_name", F.lower("member"))
+    there = free.join(functions.select(F.lower("word").alias("_name")).distinct(), "_name", "left_anti")
+    own = routines.select(F.col("path").alias("_path"), F.lower("name").alias("_own")).distinct()
+    return there.join(own, F.col("path").eqNullSafe(F.col("_path")) & (F.col("_name") == F.col("_own")), "left_anti").select("path", "pos", "member")
+
+
+def method_problems(calls: DataFrame, members: DataFrame) -> DataFrame:
+    """(call_id, type, member, problem): calls (call_id, type, member, n_args) of typed objects against members (type, member, parameters), a name that ends in `.member` counting as the member.
+
+    problem is unknown_type, unknown_method, wrong_count (not as many arguments as the method of just that name has parameters) or null.
+    """
+    short = F.substring_index("member", ".", -1)
+    there = members.select("type", F.lit(True).alias("_type")).distinct()
+    exact = members.groupBy("type", "member").agg(F.max("parameters").alias("_parameters"))
+    ends = members.select("type", short.alias("member"), F.lit(True).alias("_ends")).distinct()
+    got = calls.where("type is not null").join(there, "type", "left").join(exact, ["type", "member"], "left").join(ends, ["type", "member"], "left")
+    count = F.col("_parameters").isNotNull() & (F.col("_parameters") != F.col("n_args"))
+    problem = F.when(F.col("_type").isNull(), "unknown_type").when(F.col("_parameters").isNull() & F.col("_ends").isNull(), "unknown_method").when(count, "wrong_count")
+    return got.select("call_id", "type", "member", problem.alias("problem"))
 
 
 def check(calls: DataFrame, types: DataFrame, members: DataFrame, context: Column | None = None) -> DataFrame:
@@ -98,10 +190,10 @@ def summary(own: DataFrame, effective: DataFrame) -> DataFrame:
     return got.withColumn("inherited_methods", F.col("total_methods") - F.col("own_methods"))
 
 
-def compatibility(pairs: DataFrame, parents: DataFrame, implements: DataFrame, reach: DataFrame) -> DataFrame:
-    """pairs (from_id, to_id) with `compatible` and `reason`. parents and implements: (id, name) as declared; reach: operators.closure.closure."""
+def compatibility(pairs: DataFrame, parents: DataFrame, implements: DataFrame, index: ReachIndex) -> DataFrame:
+    """pairs (from_id, to_id) with `compatible` and `reason`. parents and implements: (id, name) as declared; index: operators.reach.build."""
     marks = [df.select(F.col("id").alias("from_id"), F.col("name").alias("to_id"), F.lit(True).alias(c)).distinct() for df, c in ((parents, "_up"), (implements, "_does"))]
-    far = reach.select(F.col("descendant").alias("from_id"), F.col("ancestor").alias("to_id"), F.lit(True).alias("_far")).distinct()
+    far = reachable(pairs.where("from_id != to_id"), index).withColumn("_far", F.lit(True))
     got = pairs
     for df in (*marks, far):
         got = got.join(df, ["from_id", "to_id"], "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.reach import ReachIndex, reachable
 from tessera.shared import reached
 
 
@@ -24,11 +25,12 @@ def closure(edges: DataFrame) -> DataFrame:
     return reached(first, lambda level: level.join(steps, F.col("ancestor") == F.col("mid")).select("descendant", F.col("next").alias("ancestor")), 1)
 
 
-def assignable(pairs: DataFrame, reach: DataFrame) -> DataFrame:
-    """pairs (from_id, to_id) with `reason`: exact, inheritance (direct), compatible (through others) or null."""
-    near = reach.select(F.col("descendant").alias("from_id"), F.col("ancestor").alias("to_id"), "depth")
-    joined = pairs.join(near, ["from_id", "to_id"], "left")
-    reason = F.when(F.col("from_id") == F.col("to_id"), "exact").when(F.col("depth") == 1, "inheritance").when(F.col("depth") > 1, "compatible")
+def assignable(pairs: DataFrame, edges: DataFrame, index: ReachIndex) -> DataFrame:
+    """pairs (from_id, to_id) with `reason`: exact, inheritance (direct), compatible (through others) or null. edges: (child, parent); index: reach.build of them."""
+    direct = edges.select(F.col("child").alias("from_id"), F.col("parent").alias("to_id"), F.lit(True).alias("_direct")).distinct()
+    far = reachable(pairs.where("from_id != to_id"), index).withColumn("_far", F.lit(True))
+    joined = pairs.join(direct, ["from_id", "to_id"], "left").join(far, ["from_id", "to_id"], "left")
+    reason = F.when(F.col("from_id") == F.col("to_id"), "exact").when(F.col("_direct"), "inheritance").when(F.col("_far"), "compatible")
     return joined.select("from_id", "to_id", reason.alias("reason"))
 
 

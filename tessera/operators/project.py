@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.closure import closure
+from tessera.operators.cycles import on_cycles
 
 
 def export_map(exports: DataFrame) -> DataFrame:
@@ -36,11 +36,9 @@ def problems(modules: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def circles(imports: DataFrame) -> DataFrame:
-    """(problem, module, other): modules that lie on a cycle of imports, with the least module of their cycle."""
-    reach = closure(imports.select(F.col("module").alias("child"), F.col("imported").alias("parent")))
-    back = reach.select(F.col("descendant").alias("ancestor"), F.col("ancestor").alias("descendant"))
-    both = reach.select("descendant", "ancestor").join(back, ["descendant", "ancestor"])
-    return both.groupBy("descendant").agg(F.min("ancestor").alias("other")).select(F.lit("circular").alias("problem"), F.col("descendant").alias("module"), "other")
+    """(problem, module, other): modules that lie on a cycle of imports, with the least module of those they are in cycles with."""
+    found = on_cycles(imports.select(F.col("module").alias("src"), F.col("imported").alias("dst")))
+    return found.select(F.lit("circular").alias("problem"), F.col("node").alias("module"), F.col("component").alias("other"))
 
 
 def statistics(modules: DataFrame, exports: DataFrame, imports: DataFrame) -> DataFrame:

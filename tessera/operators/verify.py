@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.reach import ReachIndex, reachable
+
 NEAR = 3
 FIRST = 3
 SHOWN = 10
@@ -56,9 +58,8 @@ def arity(calls: DataFrame, signatures: DataFrame) -> DataFrame:
     return joined.select("call_id", "name", "n_args", problem.alias("problem"))
 
 
-def first_mismatch(arguments: DataFrame, parameters: DataFrame, reach: DataFrame) -> DataFrame:
-    """(call_id, pos): the first argument (call_id, name, pos, type) that can't be assigned to the parameter (name, pos, type)."""
+def first_mismatch(arguments: DataFrame, parameters: DataFrame, index: ReachIndex) -> DataFrame:
+    """(call_id, pos): the first argument (call_id, name, pos, type) that can't be assigned to the parameter (name, pos, type). index: operators.reach.build of the inheritance edges."""
     p = parameters.select("name", "pos", F.col("type").alias("to_id"))
-    a = arguments.withColumnRenamed("type", "from_id").join(p, ["name", "pos"])
-    ok = reach.select(F.col("descendant").alias("from_id"), F.col("ancestor").alias("to_id"))
-    return a.where("from_id != to_id").join(ok, ["from_id", "to_id"], "left_anti").groupBy("call_id").agg(F.min("pos").alias("pos"))
+    a = arguments.withColumnRenamed("type", "from_id").join(p, ["name", "pos"]).where("from_id != to_id")
+    return a.join(reachable(a, index), ["from_id", "to_id"], "left_anti").groupBy("call_id").agg(F.min("pos").alias("pos"))

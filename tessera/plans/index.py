@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import closure as c
 from tessera.operators import index as ix
+from tessera.operators import reach
 from tessera.operators import verify as v
 from tessera.plans._tables import CLOSURE_SQL, EDGES_SQL, ENTITIES_SQL, NAMES_SQL, edges, entities, read
 
@@ -83,9 +84,8 @@ def closure_ancestors(spark, sf):
 
 
 def assignable_pairs(spark, sf):
-    reach = c.closure(edges(spark, sf))
     pairs = edges(spark, sf).select(F.col("child").alias("from_id")).distinct().join(F.broadcast(read(spark, sf, "region").select(F.concat(F.lit("region."), F.col("r_regionkey").cast("string")).alias("to_id"))))
-    return c.assignable(pairs, reach)
+    return c.assignable(pairs, edges(spark, sf), reach.build(edges(spark, sf)))
 
 
 def _own(spark, sf):
@@ -153,7 +153,7 @@ def verify_first_mismatch(spark, sf):
     pos = F.col("l_linenumber").cast("long").alias("pos")
     args = li.select(F.col("l_orderkey").alias("call_id"), F.col("l_returnflag").alias("name"), pos, F.concat(F.lit("supplier."), F.col("l_suppkey").cast("string")).alias("type"))
     params = li.select(F.col("l_returnflag").alias("name"), pos).distinct().withColumn("type", F.concat(F.lit("region."), F.pmod(F.col("pos"), F.lit(5)).cast("string")))
-    return v.first_mismatch(args, params, c.closure(edges(spark, sf)))
+    return v.first_mismatch(args, params, reach.build(edges(spark, sf)))
 
 
 _CATEGORIES = """SELECT entity_kind AS category, count(*) AS n, sum(len(string_split(display_name, ' ')))::BIGINT AS methods, sum(length(display_name))::BIGINT AS properties,

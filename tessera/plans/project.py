@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import call_check as cc
-from tessera.operators import closure as c
 from tessera.operators import doc_index as di
 from tessera.operators import incremental as inc
 from tessera.operators import index as ix
 from tessera.operators import project as pr
+from tessera.operators import reach
 from tessera.plans._tables import CLOSURE_SQL, DIAGNOSTICS_SQL, EDGES_SQL, diagnostics, edges, read
 from tessera.sources import kinds
 
@@ -47,6 +47,25 @@ def module_problems(spark, sf):
     return pr.problems(_modules(spark, sf), _imports(spark, sf))
 
 
+def _customer_imports(spark, sf):
+    """Customers in runs of 50, each importing the next, and across the runs what orders that are pending say."""
+    next_ = read(spark, sf, "customer").where("c_custkey % 50 != 0").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") + 1).alias("b"))
+    across = read(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") * 7 % 997 + 1).alias("b"))
+    return next_.union(across).select(_name(F.col("a"), "c").alias("module"), _name(F.col("b"), "c").alias("imported"))
+
+
+def import_cycles(spark, sf):
+    return pr.circles(_customer_imports(spark, sf)).select("module", "other")
+
+
+def reach_pairs(spark, sf):
+    """Of customers and those that their number leads to, who imports whom, however far."""
+    e = _customer_imports(spark, sf).select(F.col("module").alias("child"), F.col("imported").alias("parent"))
+    c = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    pairs = c.select(_name(F.col("k"), "c").alias("from_id"), F.explode(F.array(*(_name(x, "c") for x in (F.col("k"), F.col("k") + 3, F.col("k") * 13 % 997 + 1, F.col("k") * 31 % 997 + 1)))).alias("to_id")).distinct()
+    return reach.reachable(pairs, reach.build(e))
+
+
 def module_statistics(spark, sf):
     return pr.statistics(_modules(spark, sf), _exports(spark, sf), _imports(spark, sf))
 
@@ -87,7 +106,7 @@ def type_compatibility(spark, sf):
     does = read(spark, sf, "supplier").select(_name(F.col("s_suppkey"), "supplier.").alias("id"), _name(F.col("s_suppkey") % 25, "nation.").alias("name"))
     s = read(spark, sf, "supplier").select(_name(F.col("s_suppkey"), "supplier.").alias("from_id"), F.col("s_suppkey").alias("k"))
     pairs = s.select("from_id", F.explode(F.array("from_id", _name(F.col("k") % 25, "nation."), _name((F.col("k") + 3) % 25, "nation."), _name(F.col("k") % 6, "region."))).alias("to_id")).distinct()
-    got = cc.compatibility(pairs, parents, does, c.closure(e))
+    got = cc.compatibility(pairs, parents, does, reach.build(e))
     known = e.select(F.col("child").alias("id")).union(e.select("parent"))
     return cc.compatibility_report(got, known, parents)
 
@@ -154,13 +173,15 @@ def kind_tree(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (module_exports, module_dependents, module_problems, module_statistics, file_metrics, calls_checked, type_compatibility)
+    for f in (module_exports, module_dependents, module_problems, import_cycles, reach_pairs, module_statistics, file_metrics, calls_checked, type_compatibility)
     + (chunk_bounds, doc_categories, doc_totals, doc_top_objects, doc_search, line_look_ahead, edges_relinked, edges_imported, kind_tree)
 }
 
 _MODULES = "modules AS (SELECT 'm' || n_nationkey AS name, 't' || n_regionkey AS module_type FROM nation UNION ALL SELECT 'm3', 't' || n_regionkey FROM nation WHERE n_nationkey = 3)"
 _IMPORTS = "imports AS (SELECT 'm' || n_nationkey AS module, 'm' || ((n_nationkey * 3 + 1) % 25) AS imported FROM nation UNION ALL SELECT 'm' || n_nationkey, 'm' || (n_nationkey + 7) FROM nation)"
 _EXPORTS = "exports AS (SELECT 'm' || s_nationkey AS module, 's' || (s_suppkey % 7) AS name FROM supplier)"
+_CUSTOMER_IMPORTS = """e AS (SELECT 'c' || c_custkey AS a, 'c' || (c_custkey + 1) AS b FROM customer WHERE c_custkey % 50 <> 0
+  UNION SELECT 'c' || o_custkey, 'c' || (o_orderkey * 7 % 997 + 1) FROM orders WHERE o_orderstatus = 'P')"""
 _OVER = "r.k >= 50 OR r.held + d.b > 51200"
 _CHUNKS = f"""d AS (SELECT source, doc_id, coalesce(octet_length(encode(text)), 0) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
   r AS (SELECT source, n, doc_id, b, 1::BIGINT AS chunk, 1 AS k, b AS held FROM d WHERE n = 1
@@ -173,6 +194,11 @@ ORACLE_SQL = {
       SELECT DISTINCT 'missing' AS problem, module, imported AS other FROM imports WHERE imported NOT IN (SELECT name FROM modules)
       UNION ALL SELECT 'duplicate', name, NULL FROM modules GROUP BY name HAVING count(*) > 1
       UNION ALL SELECT 'circular', a.module, min(a.imported) FROM r a JOIN r b ON a.module = b.imported AND a.imported = b.module GROUP BY a.module""",
+    "import_cycles": f"""WITH RECURSIVE {_CUSTOMER_IMPORTS}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+      SELECT x.a AS module, min(x.b) AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
+    "reach_pairs": f"""WITH RECURSIVE {_CUSTOMER_IMPORTS}, r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+      p AS (SELECT DISTINCT 'c' || c_custkey AS a, 'c' || unnest([c_custkey, c_custkey + 3, c_custkey * 13 % 997 + 1, c_custkey * 31 % 997 + 1]) AS b FROM customer)
+      SELECT p.a AS from_id, p.b AS to_id FROM p JOIN r ON p.a = r.a AND p.b = r.b""",
     "module_statistics": f"""WITH {_MODULES}, {_IMPORTS}, {_EXPORTS} SELECT module_type, count(*) AS modules, coalesce(sum(e), 0)::BIGINT AS exports, coalesce(sum(i), 0)::BIGINT AS imports FROM modules
       LEFT JOIN (SELECT module, count(*) AS e FROM exports GROUP BY module) x ON x.module = name LEFT JOIN (SELECT module, count(*) AS i FROM imports GROUP BY module) y ON y.module = name GROUP BY module_type""",
     "file_metrics": f"""WITH {DIAGNOSTICS_SQL} SELECT file_path AS path, max(line) AS lines, count(*) FILTER (code = 'click') AS routines, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warning') AS warnings,

@@ -9,15 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources import tokens
+
 
 def strip_bom(text: Column) -> Column:
     return F.regexp_replace(text, "^\\x{FEFF}+", "")
 
 
 def read_modules(spark: SparkSession, path: str, glob: str = "*.bsl") -> DataFrame:
-    """Every module under a folder, whole, without byte-order mark, in order of path."""
+    """Every module under a folder, whole, without byte-order mark."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    return rows.select(F.col("_metadata.file_path").alias("path"), strip_bom(F.col("value")).alias("text")).orderBy("path")
+    return rows.select(F.col("_metadata.file_path").alias("path"), strip_bom(F.col("value")).alias("text"))
 
 
 def module_type(path: Column) -> Column:
@@ -38,12 +40,8 @@ def routines(modules: DataFrame) -> DataFrame:
 
 
 def calls(modules: DataFrame) -> DataFrame:
-    """(path, pos, object, member, n_args): calls `object.member(...)` and `member(...)` of each module, flat argument lists only."""
-    c = F.lit("(?:([\\w\\u0400-\\u04FF]+)\\.)?([\\w\\u0400-\\u04FF]+)\\(([^()]*)\\)")
-    parts = F.arrays_zip(*(F.regexp_extract_all("text", c, F.lit(i)).alias(n) for i, n in ((1, "object"), (2, "member"), (3, "args"))))
-    rows = modules.select("path", F.posexplode(parts).alias("pos", "c"))
-    n = F.when(F.trim("c.args") == "", 0).otherwise(F.size(F.split("c.args", ",")))
-    return rows.select("path", "pos", F.nullif("c.object", F.lit("")).alias("object"), F.col("c.member").alias("member"), n.alias("n_args"))
+    """Calls of each module with their own arguments: see `sources.tokens.calls`."""
+    return tokens.calls(modules)
 
 
 def variable_events(modules: DataFrame) -> DataFrame:

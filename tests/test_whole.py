@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tessera.operators import closure, incremental, verify
+from tessera.operators.reach import build
 from tessera.plans import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -11,17 +12,17 @@ SF = "/root/testdata/sf0.001"
 def test_closure_of_a_long_chain(spark):
     n = 12
     e = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(n)] + [("t0", "t5"), ("t12", "t10"), (None, "t9")], "child string, parent string")
-    reach = closure.closure(e)
+    reach, index = closure.closure(e), build(e)
     got = {(r.descendant, r.ancestor): r.depth for r in reach.collect()}
     assert got["t0", "t12"] == 8 and got["t1", "t12"] == 11 and got["t12", "t12"] == 3 and got[None, "t12"] == 4
     assert len(got) == reach.count() and {a for d, a in got if d == "t0"} == {f"t{i}" for i in range(1, n + 1)}
     own = spark.createDataFrame([("t12", "m")], "id string, member string")
     assert [(r.owner, r.depth) for r in closure.effective_members(own, reach).where("id = 't1'").collect()] == [("t12", 11)]
     pair = spark.createDataFrame([("t1", "t12"), ("t12", "t1")], "from_id string, to_id string")
-    assert {r.from_id: r.reason for r in closure.assignable(pair, reach).collect()} == {"t1": "compatible", "t12": None}
+    assert {r.from_id: r.reason for r in closure.assignable(pair, e, index).collect()} == {"t1": "compatible", "t12": None}
     args = spark.createDataFrame([(1, "f", 0, "t1"), (2, "f", 0, "t12")], "call_id int, name string, pos int, type string")
     params = spark.createDataFrame([("f", 0, "t11")], "name string, pos int, type string")
-    assert verify.first_mismatch(args, params, reach).collect() == []
+    assert verify.first_mismatch(args, params, index).collect() == []
     assert closure.closure(e.limit(0)).collect() == []
 
 
