@@ -120,8 +120,13 @@ def chunk_bounds(spark, sf):
     return di.chunks(_items(spark, sf))
 
 
+def chunk_bounds_whole(spark, sf):
+    """All documents as one category, two of each id."""
+    return di.chunks(_items(spark, sf).select(F.lit("all").alias("category"), F.floor(F.col("item_id") / 2).alias("item_id"), "bytes"))
+
+
 def doc_categories(spark, sf):
-    return di.category_index(di.chunks(_items(spark, sf)).join(_items(spark, sf), ["category", "item_id"]))
+    return di.category_index(di.chunked(_items(spark, sf)))
 
 
 def doc_totals(spark, sf):
@@ -174,7 +179,7 @@ def kind_tree(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (module_exports, module_dependents, module_problems, import_cycles, reach_pairs, module_statistics, file_metrics, calls_checked, type_compatibility)
-    + (chunk_bounds, doc_categories, doc_totals, doc_top_objects, doc_search, line_look_ahead, edges_relinked, edges_imported, kind_tree)
+    + (chunk_bounds, chunk_bounds_whole, doc_categories, doc_totals, doc_top_objects, doc_search, line_look_ahead, edges_relinked, edges_imported, kind_tree)
 }
 
 _MODULES = "modules AS (SELECT 'm' || n_nationkey AS name, 't' || n_regionkey AS module_type FROM nation UNION ALL SELECT 'm3', 't' || n_regionkey FROM nation WHERE n_nationkey = 3)"
@@ -186,6 +191,7 @@ _OVER = "r.k >= 50 OR r.held + d.b > 51200"
 _CHUNKS = f"""d AS (SELECT source, doc_id, coalesce(octet_length(encode(text)), 0) AS b, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
   r AS (SELECT source, n, doc_id, b, 1::BIGINT AS chunk, 1 AS k, b AS held FROM d WHERE n = 1
     UNION ALL SELECT d.source, d.n, d.doc_id, d.b, CASE WHEN {_OVER} THEN chunk + 1 ELSE chunk END, CASE WHEN {_OVER} THEN 1 ELSE k + 1 END, CASE WHEN {_OVER} THEN d.b ELSE held + d.b END FROM r JOIN d ON d.source = r.source AND d.n = r.n + 1)"""
+_CHUNKS_WHOLE = _CHUNKS.replace("SELECT source, doc_id, coalesce", "SELECT 'all' AS source, doc_id // 2 AS doc_id, coalesce").replace("PARTITION BY source ORDER BY doc_id", "ORDER BY doc_id // 2, coalesce(octet_length(encode(text)), 0)")
 _CATEGORIES = "SELECT source AS category, count(*) AS items, max(chunk) AS files, sum(b)::BIGINT AS bytes, count(*) / max(chunk) AS items_per_file FROM r GROUP BY source"
 ORACLE_SQL = {
     "module_exports": f"WITH {_EXPORTS}, x AS (SELECT DISTINCT name, module FROM exports) SELECT name, count(*) AS n, string_agg(module, ',' ORDER BY module) AS modules FROM x GROUP BY name",
@@ -217,6 +223,7 @@ ORACLE_SQL = {
         WHEN EXISTS (SELECT 1 FROM reach WHERE descendant = f AND ancestor = t) THEN 'compatible' ELSE 'incompatible_types' END AS reason FROM p)
       SELECT f AS from_id, t AS to_id, f IN (SELECT id FROM ids) AS from_found, t IN (SELECT id FROM ids) AS to_found, reason <> 'incompatible_types' AS compatible, reason, (SELECT string_agg(parent, ', ' ORDER BY parent) FROM edges WHERE child = f) AS parents FROM q""",
     "chunk_bounds": f"WITH RECURSIVE {_CHUNKS} SELECT source AS category, doc_id AS item_id, chunk FROM r",
+    "chunk_bounds_whole": f"WITH RECURSIVE {_CHUNKS_WHOLE} SELECT source AS category, doc_id AS item_id, chunk FROM r",
     "doc_categories": f"WITH RECURSIVE {_CHUNKS} {_CATEGORIES}",
     "doc_totals": f"WITH RECURSIVE {_CHUNKS}, c AS ({_CATEGORIES}) SELECT sum(items)::BIGINT AS items, sum(files)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, sum(items) / sum(files) AS items_per_file FROM c",
     "doc_top_objects": """SELECT 'o' || user_id AS object, count(*) FILTER (event_type = 'click') AS methods, count(*) FILTER (event_type = 'view') AS properties, count(*) FILTER (event_type = 'purchase') AS functions,

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import project
+from tessera.operators import cycles, project
 from tessera.operators.cycles import on_cycles
 from tessera.operators.reach import build, reachable
 
@@ -47,8 +47,10 @@ SHAPES = {
 }
 
 
-def test_cycles_of_shapes_and_random_graphs(spark):
-    """All at once, as parts of one graph."""
+@pytest.mark.parametrize("few", [0, cycles.FEW_EDGES])
+def test_cycles_of_shapes_and_random_graphs(spark, monkeypatch, few):
+    """All at once, as parts of one graph; by rounds alone and with one task for what is left."""
+    monkeypatch.setattr(cycles, "FEW_EDGES", few)
     edges = [tuple(x if x is None else x + 100_000 * k for x in e) for k, part in enumerate(SHAPES.values()) for e in part]
     rng = random.Random(1)
     for part in range(60):
@@ -58,7 +60,8 @@ def test_cycles_of_shapes_and_random_graphs(spark):
     assert _got(spark, []) == {} and _got(spark, [(1, 1), (1, 2)]) == {1: 1}
 
 
-def test_a_chain_of_ten_thousand(spark):
+def test_a_chain_of_ten_thousand(spark, monkeypatch):
+    monkeypatch.setattr(cycles, "FEW_EDGES", 0)
     n = 10_000
     chain = spark.range(n).selectExpr("concat('m', lpad(id, 6, '0')) module", "concat('m', lpad(id + 1, 6, '0')) imported")
     assert project.circles(chain).collect() == []

@@ -151,9 +151,9 @@ def test_documentation_index(spark, tmp_path):
     cats = spark.read.json(f"{path}/categories")
     assert {r.category: (r["items"], r.files) for r in cats.collect()} == {"a": (60, 3), "b": (1, 1)}
     assert doc_index.main_index(cats).first().files == 4 and doc_index.main_index(cats.limit(0)).first().items_per_file == 0
-    doc_index.append_batch(items, f"{path}/stream", 0)
-    doc_index.append_batch(items, f"{path}/stream", 0)
-    assert spark.read.json(f"{path}/stream").count() == 61
+    main = spark.read.json(f"{path}/main_index").first()
+    assert (main["items"], main.files, main.objects) == (61, 4, 2)
+    assert {r.object for r in spark.read.json(f"{path}/top_objects").collect()} == {"o", "p"} and spark.read.json(f"{path}/item_index").count() == 61
     assert {r.group: r.objects for r in doc_index.grouped_objects(spark.createDataFrame([("Запрос",), ("Массив",), ("Дата",), ("Q",)], "object string")).collect()}["other"] == ["Q"]
     assert doc_index.by_object(items, "o").count() == 31
 
