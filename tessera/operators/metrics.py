@@ -1,14 +1,13 @@
 """Quality metrics of modules: size, complexity, maintainability, duplication, debt, score and advice.
 
-Everything is column expressions, save two measures that need the lines as rows (repeated blocks and
-long routines); those shuffle line numbers and hashes, never the text.
+Everything is column expressions over one row. Repeated blocks and long routines are folds over the lines
+of a text, so nothing is shuffled, however many lines one text has.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.lexicon import Lexicon
 
@@ -85,30 +84,37 @@ def with_maintainability(counts: DataFrame) -> DataFrame:
     return counts.withColumn("volume", volume).withColumn("maintainability", clamped)
 
 
-def line_rows(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """(doc_id, n_lines, pos, block, block2, starts, ends): a row for each line, a block being the line and the two after it."""
-    rows = docs.select("doc_id", lines(F.col("text")).alias("ls")).withColumn("n_lines", F.size("ls"))
-    block = F.transform(
-        "ls",
-        lambda x, i: F.struct(
-            i.alias("pos"),
-            F.when(i + BLOCK_LINES <= F.size("ls"), F.xxhash64(F.concat_ws("\n", F.slice("ls", i + 1, BLOCK_LINES)))).alias("block"),
-            F.when(i + BLOCK_LINES <= F.size("ls"), F.crc32(F.concat_ws("\n", F.slice("ls", i + 1, BLOCK_LINES)))).alias("block2"),
-            has_any(x, lex.routine).alias("starts"),
-            has_any(x, lex.routine_end).alias("ends"),
-        ),
-    )
-    return rows.select("doc_id", "n_lines", F.inline(block))
+def repeated_lines(ls: Column) -> Column:
+    """BLOCK_LINES for each block of as many lines that stands again later without overlap.
+
+    Blocks are sorted by two hashes, those of one text from the last to the first, so that a fold sees for each where it last stands.
+    """
+    texts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ls) - BLOCK_LINES + 1, F.lit(1))), lambda i: F.concat_ws("\n", F.slice(ls, i, BLOCK_LINES)))
+    blocks = F.sort_array(F.transform(texts, lambda x, i: F.struct(F.xxhash64(x).alias("a"), F.crc32(x).alias("b"), (-i).alias("back"))))
+    start = F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0).alias("last"), F.lit(0).cast("long").alias("n"))
+
+    def step(seen: Column, x: Column) -> Column:
+        last = F.when((seen["a"] == x["a"]) & (seen["b"] == x["b"]), seen["last"]).otherwise(-x["back"])
+        return F.struct(x["a"].alias("a"), x["b"].alias("b"), last.alias("last"), (seen["n"] + (last + x["back"] >= BLOCK_LINES).cast("long")).alias("n"))
+
+    return F.when(F.size(ls) >= BLOCK_LINES, F.aggregate(blocks, start, step, lambda seen: seen["n"]) * BLOCK_LINES).otherwise(F.lit(0).cast("long"))
+
+
+def long_heads(ls: Column, lex: Lexicon) -> Column:
+    """Routine heads with over LONG_ROUTINE_LINES lines up to the next end token or the end of the text: a fold from the last line to the first."""
+    marks = F.reverse(F.transform(ls, lambda x, i: F.struct(i.alias("pos"), has_any(x, lex.routine).alias("starts"), has_any(x, lex.routine_end).alias("ends"))))
+
+    def step(seen: Column, x: Column) -> Column:
+        stop = F.when(x["ends"], x["pos"]).otherwise(seen["stop"])
+        long = x["starts"] & (stop - x["pos"] > LONG_ROUTINE_LINES)
+        return F.struct(stop.alias("stop"), (seen["n"] + long.cast("long")).alias("n"))
+
+    return F.coalesce(F.aggregate(marks, F.struct(F.size(ls).alias("stop"), F.lit(0).cast("long").alias("n")), step, lambda seen: seen["n"]), F.lit(0).cast("long"))
 
 
-def line_measures(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """(doc_id, dup_lines, long_routine): repeated blocks and long routines from one pass over the lines, which are shuffled once, by document."""
-    ahead = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    same = Window.partitionBy("doc_id", "block", "block2")
-    rows = line_rows(docs, lex).withColumn("stop", F.min(F.when(F.col("ends"), F.col("pos"))).over(ahead)).withColumn("last", F.max("pos").over(same))
-    again = F.col("block").isNotNull() & (F.col("last") >= F.col("pos") + BLOCK_LINES)
-    long = F.col("starts") & (F.coalesce("stop", "n_lines") - F.col("pos") > LONG_ROUTINE_LINES)
-    return rows.groupBy("doc_id").agg((F.count_if(again) * BLOCK_LINES).alias("dup_lines"), F.count_if(long).alias("long_routine"))
+def with_lines(docs: DataFrame) -> DataFrame:
+    """docs with `_lines`, made once."""
+    return docs.withColumn("_lines", lines(F.col("text")))
 
 
 def dup_pct(n_lines: Column, dup_lines: Column) -> Column:
@@ -117,22 +123,13 @@ def dup_pct(n_lines: Column, dup_lines: Column) -> Column:
 
 def duplication(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """(doc_id, dup_pct): three lines for each block of three that stands again later without overlap, of 100 lines."""
-    same = Window.partitionBy("doc_id", "block", "block2")
-    rows = line_rows(docs, lex).select("doc_id", "pos", "block", "block2").where("block is not null")
-    repeated = rows.withColumn("last", F.max("pos").over(same)).where(F.col("last") >= F.col("pos") + BLOCK_LINES)
-    hits = repeated.groupBy("doc_id").agg((F.count(F.lit(1)) * BLOCK_LINES).alias("dup_lines"))
-    sizes = docs.select("doc_id", F.size(lines(F.col("text"))).cast("long").alias("n_lines"))
-    return sizes.join(hits, "doc_id", "left").select("doc_id", dup_pct(F.col("n_lines"), F.col("dup_lines")).alias("dup_pct"))
+    ls = F.col("_lines")
+    return with_lines(docs).select("doc_id", dup_pct(F.size(ls).cast("long"), repeated_lines(ls)).alias("dup_pct"))
 
 
 def long_routines(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """(doc_id, long_routines): routine heads with over LONG_ROUTINE_LINES lines up to the next end token or the end of the text."""
-    rows = line_rows(docs, lex).select("doc_id", "pos", "starts", "ends").where("starts or ends")
-    ahead = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    sizes = docs.select("doc_id", F.size(lines(F.col("text"))).alias("n_lines"))
-    stop = F.min(F.when(F.col("ends"), F.col("pos"))).over(ahead)
-    heads = rows.withColumn("stop", stop).where("starts").join(sizes, "doc_id")
-    return heads.where(F.coalesce("stop", "n_lines") - F.col("pos") > LONG_ROUTINE_LINES).groupBy("doc_id").agg(F.count(F.lit(1)).alias("long_routines"))
+    """(doc_id, long_routines) of texts that have any."""
+    return with_lines(docs).select("doc_id", long_heads(F.col("_lines"), lex).alias("long_routines")).where("long_routines > 0")
 
 
 DEBT = (
@@ -158,7 +155,8 @@ def debt_flags(t: Column, lex: Lexicon) -> dict[str, Column]:
 
 def debt_items(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """(doc_id, item, type, severity, minutes, n): what of each kind of debt a text holds."""
-    counts = docs.select("doc_id", *(c.alias(n) for n, c in debt_flags(F.col("text"), lex).items())).join(long_routines(docs, lex).withColumnRenamed("long_routines", "long_routine"), "doc_id", "left")
+    flags = debt_flags(F.col("text"), lex) | {"long_routine": long_heads(F.col("_lines"), lex)}
+    counts = with_lines(docs).select("doc_id", *(c.alias(n) for n, c in flags.items()))
     items = [F.struct(F.lit(n).alias("item"), F.lit(k).alias("type"), F.lit(s).alias("severity"), F.lit(m).cast("long").alias("minutes"), F.coalesce(F.col(n), F.lit(0)).cast("long").alias("n")) for n, k, s, m in DEBT]
     return counts.select("doc_id", F.inline(F.array(*items))).where("n > 0")
 
@@ -173,8 +171,9 @@ def debt_totals(items: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """All metrics of a text, its score of 0..100 and the advice drawn from them."""
     flags = {f"_{n}": c for n, c in debt_flags(F.col("text"), lex).items()}
-    base = with_maintainability(with_complexity(token_counts(docs, lex, flags)))
-    out = base.join(line_measures(docs, lex), "doc_id", "left").withColumn("dup_pct", dup_pct(F.col("n_lines"), F.col("dup_lines")))
+    ls = F.col("_lines")
+    base = with_maintainability(with_complexity(token_counts(with_lines(docs), lex, flags | {"dup_lines": repeated_lines(ls), "long_routine": long_heads(ls, lex)})))
+    out = base.withColumn("dup_pct", dup_pct(F.col("n_lines"), F.col("dup_lines")))
     zero = F.lit(0).cast("long")
     n = {name: F.coalesce(F.col(f"_{name}" if f"_{name}" in flags else name).cast("long"), zero) for name, *_ in DEBT}
     cost = lambda keep: sum((n[name] * minutes for name, _, severity, minutes in DEBT if keep(severity)), zero)

@@ -119,25 +119,29 @@ def advice(diagnostics: DataFrame) -> DataFrame:
     return diagnostics.withColumn("advice", F.coalesce(table[F.col("code")], F.array(*map(F.lit, OTHER_ADVICE))))
 
 
+BAD_PATTERN = "the pattern is no regular expression"
+
+
 def custom_problems(rule: dict) -> list[str]:
     """What is wrong with a custom rule."""
-    out, id_, pattern = [], rule.get("id", ""), rule.get("pattern", "")
-    if not id_:
-        out.append("Rule ID cannot be empty")
-    if not id_.startswith(CUSTOM_PREFIXES):
-        out.append("Custom rule ID should start with 'CUSTOM' or 'USER'")
-    if not pattern:
-        out.append("Rule pattern cannot be empty")
-    if rule.get("pattern_type") == "regex":
-        try:
-            re.compile(pattern)
-        except re.error as e:
-            out.append(f"Invalid regex pattern: {e}")
-    if not 0 <= rule.get("confidence", 1.0) <= 1:
-        out.append(f"Confidence must be between 0.0 and 1.0, got {rule['confidence']}")
-    if not rule.get("message_template"):
-        out.append("Message template cannot be empty")
-    return out
+    id_, pattern, least = rule.get("id", ""), rule.get("pattern", ""), rule.get("confidence", 1.0)
+    found = {
+        "the id is missing": not id_,
+        f"the id begins with none of {', '.join(CUSTOM_PREFIXES)}": not id_.startswith(CUSTOM_PREFIXES),
+        "there is no pattern to look for": not pattern,
+        f"{BAD_PATTERN}: {_compile_error(pattern)}": rule.get("pattern_type") == "regex" and bool(_compile_error(pattern)),
+        f"a confidence of {least} is not within 0 and 1": not 0 <= least <= 1,
+        "there is no message": not rule.get("message_template"),
+    }
+    return [problem for problem, holds in found.items() if holds]
+
+
+def _compile_error(pattern: str) -> str:
+    try:
+        re.compile(pattern)
+    except re.error as e:
+        return str(e)
+    return ""
 
 
 def custom_rules(spark: SparkSession, text: str) -> DataFrame:
@@ -145,7 +149,7 @@ def custom_rules(spark: SparkSession, text: str) -> DataFrame:
     rows = []
     for id_, r in sorted(tomllib.loads(text).items()):
         r = r | {"id": id_, "pattern_type": str(r.get("pattern_type", "contains")).lower()}
-        wrong = [p for p in custom_problems(r) if p.startswith("Invalid regex")]
+        wrong = [p for p in custom_problems(r) if p.startswith(BAD_PATTERN)]
         if wrong:
             raise ValueError(f"rule {id_}: {wrong[0]}")
         rows.append((id_, r.get("name", id_), r["pattern_type"], r.get("pattern", ""), str(r.get("severity", "warning")).lower(), r.get("message_template", ""), str(r.get("applies_to", "all")).lower(), bool(r.get("enabled", True)), float(r.get("confidence", 1.0))))

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import html
-import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from io import BytesIO
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.names import object_of_title
+from tessera.sources import archives
 
 PAGE_SCHEMA = "title string, headings array<string>, sections array<struct<heading:string,text:string>>, links array<struct<text:string,href:string>>"
 
@@ -121,19 +120,7 @@ def sections(pages: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, html): pages of ZIP archives; a member is UTF-8, else Windows-1251. One archive is one task's work."""
-
-    def unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for archive, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(BytesIO(content)) as z:
-                    for m in z.namelist():
-                        if m.endswith((".html", ".htm")):
-                            raw = z.read(m)
-                            try:
-                                text = raw.decode()
-                            except UnicodeDecodeError:
-                                text = raw.decode("cp1251", "replace")
-                            yield pd.DataFrame([(archive, m, text)], columns=["archive", "member", "html"])
-
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(unzip, "archive string, member string, html string")
+    """(archive, member, html): pages of ZIP archives; a member is UTF-8, else Windows-1251. Archives are read by ranges of members: see `sources.archives`."""
+    pages = archives.read_members(spark, path)
+    found = pages.where(F.regexp_like(F.lower("member"), F.lit("[.]html?$")))
+    return found.select("archive", "member", archives.text_of_bytes(F.col("content")).alias("html"))
