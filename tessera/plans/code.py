@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import call_check as cc
+from tessera.operators import trees
 from tessera.plans._tables import read
 from tessera.sources import tokens
 
@@ -58,7 +59,24 @@ def variable_types(spark, sf):
     return cc.assigned_types(_assignments(spark, sf), names, members)
 
 
-QUERIES = {f.__name__: f for f in (module_calls, page_calls, call_shapes, variable_types)}
+def _text_tree(docs: DataFrame) -> DataFrame:
+    """(doc_id, lines: structs of i and line) as trees of lines and their sentences."""
+    line = docs.select("doc_id", F.inline("lines")).withColumn("up", (F.col("i") + 1) * 100_000)
+    root = docs.select("doc_id", F.lit(0).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).cast("long").alias("ordinal"), F.lit("doc").alias("kind"), F.lit(None).cast("string").alias("payload"))
+    rows = line.select("doc_id", "up", F.lit(0).cast("long"), "i", F.lit("line"), F.lit(None).cast("string"))
+    leaves = line.select("doc_id", "up", F.posexplode(F.split("line", "[.]")).alias("j", "s")).select("doc_id", F.col("up") + F.col("j") + 1, "up", F.col("j").cast("long"), F.lit("sentence"), "s")
+    return root.union(rows).union(leaves).withColumns({"start": F.lit(0), "len": F.lit(0)})
+
+
+def tree_diff(spark, sf):
+    """Documents as trees before and after an edit of words, which also takes lines out."""
+    docs = read(spark, sf, "documents").where("text is not null").select("doc_id", F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.cast("long").alias("i"), x.alias("line"))).alias("lines"))
+    edited = F.transform(F.filter("lines", lambda x: F.length(x["line"]) % 5 != 0), lambda x: F.struct(x["i"].alias("i"), F.replace(x["line"], F.lit("that"), F.lit("this")).alias("line")))
+    old, new = (trees.digests(_text_tree(d), spans=False) for d in (docs, docs.withColumn("lines", edited)))
+    return trees.diff(old, new)
+
+
+QUERIES = {f.__name__: f for f in (module_calls, page_calls, call_shapes, variable_types, tree_diff)}
 
 _NAME = "[\\w\\x{0400}-\\x{04FF}]+"
 _PATH = f"\\.?{_NAME}(?:[ \\t]*\\.[ \\t]*{_NAME})*"
@@ -89,6 +107,17 @@ def _calls_sql(modules: str) -> str:
 
 _MODULES = """SELECT doc_id AS path, regexp_replace(regexp_replace(text, '(^| )the ([a-z]+)', '\\1the(\\2)', 'g'), '([A-Z][a-z]+) ([^.]*)\\.', '\\1(\\2);', 'g') AS code FROM documents"""
 ORACLE_SQL = {
+    "tree_diff": """WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM a),
+      k AS (SELECT doc_id, i, replace(line, 'that', 'this') AS line FROM l WHERE length(line) % 5 <> 0), o AS (SELECT doc_id, list(line ORDER BY i) AS was FROM l GROUP BY doc_id), n AS (SELECT doc_id, list(line ORDER BY i) AS now FROM k GROUP BY doc_id),
+      d AS (SELECT a.doc_id, coalesce(was = now, false) AS whole FROM a JOIN o ON a.doc_id = o.doc_id LEFT JOIN n ON a.doc_id = n.doc_id),
+      x AS (SELECT l.*, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM l), y AS (SELECT k.*, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM k),
+      h AS (SELECT y.doc_id, y.i AS i, x.i AS was, len(string_split(y.line, '.')) AS inner_n FROM y JOIN x ON x.doc_id = y.doc_id AND x.line = y.line AND x.nth = y.nth JOIN d ON d.doc_id = y.doc_id AND NOT whole),
+      u AS (SELECT doc_id, i, unnest(string_split(line, '.')) AS s, unnest(range(len(string_split(line, '.')))) AS j FROM l WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = l.doc_id AND h.was = l.i)),
+      v AS (SELECT doc_id, i, unnest(string_split(line, '.')) AS s, unnest(range(len(string_split(line, '.')))) AS j FROM k WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = k.doc_id AND h.i = k.i)),
+      c AS (SELECT doc_id, s, count(*) AS n FROM u GROUP BY ALL), e AS (SELECT doc_id, s, count(*) AS n FROM v GROUP BY ALL), f AS (SELECT c.doc_id, sum(least(c.n, e.n))::BIGINT AS n FROM c JOIN e ON c.doc_id = e.doc_id AND c.s = e.s GROUP BY c.doc_id),
+      g AS (SELECT doc_id, count(*) AS n, sum(1 + inner_n)::BIGINT AS w FROM h GROUP BY doc_id), t AS (SELECT doc_id, sum(1 + len(string_split(line, '.')))::BIGINT AS n FROM k GROUP BY doc_id)
+      SELECT d.doc_id, 1 + coalesce(t.n, 0) AS nodes, CASE WHEN whole THEN 0 ELSE 1 + coalesce(t.n, 0) - coalesce(g.w, 0) - coalesce(f.n, 0) END AS changed, CASE WHEN whole THEN 1 + coalesce(t.n, 0) ELSE coalesce(g.w, 0) + coalesce(f.n, 0) END AS reused,
+        CASE WHEN whole THEN 1 ELSE coalesce(g.n, 0) + coalesce(f.n, 0) END AS reused_subtrees FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN f ON d.doc_id = f.doc_id""",
     "module_calls": _calls_sql(_MODULES),
     "page_calls": _calls_sql("SELECT page_id AS path, html AS code FROM pages"),
     "call_shapes": f"SELECT kind, n_args, count(*) AS calls FROM ({_calls_sql(_MODULES)}) GROUP BY kind, n_args",
