@@ -117,3 +117,30 @@ def assignments(modules: DataFrame, found: DataFrame | None = None) -> DataFrame
     groups = rows.groupBy(*_ROW, "statement", "_name").agg(F.max("scope").alias("scope"), F.array_sort(F.collect_list(F.struct("k", "token"))).alias("parts"))
     tight = F.array_join(F.transform(F.slice("parts", 2, F.size("parts")), lambda x: F.when(_is(x["token"], NEW), F.concat(x["token"], F.lit(" "))).otherwise(x["token"])), "")
     return groups.select(*_ROW, "scope", F.col("_name.name").alias("name"), F.col("_name.pos").alias("pos"), tight.alias("value"))
+
+
+def bodies(modules: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Routines with their bodies: path, module, pos (offset of the name), kind, name, is_export, is_closed and body, the text between the header and the word that ends it.
+
+    A header is matched with the first ending word before the next header; without one the body goes on to that header or the end of the text.
+    """
+    rows = statements(modules) if found is None else found
+    upto = Window.partitionBy(*_ROW).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    t = F.col("token")
+    begins = _is(t, HEADERS)
+    kind = F.when(F.lower("before").isin("функция", "function"), "function").otherwise("procedure")
+    head = F.when(_is(F.col("before"), HEADERS), F.struct(F.col("at").alias("pos"), t.alias("name"), kind.alias("kind")))
+    # the word of the next header belongs to it, not to the routine before
+    rows = rows.withColumn("head", F.last(F.when(begins, F.struct(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"))).otherwise(head), ignorenulls=True).over(upto))
+    rows = rows.withColumn("next", F.when(begins, F.col("at")))
+    after = Window.partitionBy(*_ROW).orderBy("k").rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("next", F.first("next", ignorenulls=True).over(after)).where("head.pos is not null")
+    exported = F.when(_is(t, EXPORT) & (F.col("before") == ")"), F.col("at") + F.length(t))
+    spans = rows.groupBy(*_ROW, "head").agg(F.min(F.when(t == ")", F.struct("at", "after"))).alias("close"), F.min(F.when(_is(t, ENDS), F.col("at"))).alias("stop"), F.min(exported).alias("exported"), F.max("next").alias("next"))
+    export = _is(F.col("close.after"), EXPORT)
+    start = F.when(export, F.col("exported")).otherwise(F.coalesce(F.col("close.at") + 1, F.col("head.pos") + F.length("head.name")))
+    spans = spans.select(*_ROW, "head.*", export.alias("is_export"), F.col("stop").isNotNull().alias("is_closed"), start.alias("start"), F.coalesce("stop", "next").alias("stop"))
+    own = modules.select(F.col("path").alias("_path"), F.xxhash64("text").alias("_module"), "text").dropDuplicates(["_path", "_module"])
+    got = spans.join(own, F.col("_path").eqNullSafe(F.col("path")) & (F.col("_module") == F.col("module")))
+    body = F.substring("text", (F.col("start") + 1).cast("int"), (F.coalesce("stop", F.length("text").cast("long")) - F.col("start")).cast("int"))
+    return got.select(*_ROW, "pos", "kind", "name", "is_export", "is_closed", F.trim(body, F.lit(" \t\r\n")).alias("body"))
