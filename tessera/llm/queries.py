@@ -114,19 +114,31 @@ def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gam.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
 
 
+#: Kind, expression, group that has a least length, and that length: written out, so that a wrong rule of the operator shows.
+_SECRETS = (
+    ("assign", "((?i:password|passwd|secret|token|api_?key))[\"\']?\\x20*[:=]\\x20*[\"\']?([A-Za-z0-9+/_.=-]+)", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("slack", "xox[abprs]-[0-9A-Za-z-]{10,}", 0, 1),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+)
+_BASE_KINDS = 3
+
+
 def _secret_sql() -> str:
     """Matches by regexp_extract_all; places from the lengths of what lies before each."""
     one = """SELECT doc_id, '{kind}' AS kind, {rank} AS rank, unnest(range(1, len(ms) + 1)) AS i, ms, gs, vs FROM (
       SELECT doc_id, regexp_extract_all(t, '{re}') AS ms, string_split_regex(t, '{re}') AS gs, regexp_extract_all(t, '{re}', {group}) AS vs FROM d)"""
-    parts = " UNION ALL ".join(one.format(kind=r.kind, rank=k, re=r.pattern.replace("'", "''"), group=r.group) for k, r in enumerate(secret_scan.RULES))
-    least = " ".join(f"WHEN {k} THEN {r.least}" for k, r in enumerate(secret_scan.RULES))
-    base = len(secret_scan.BASE_RULES)
-    counts = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)
-    zeros = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE_RULES)
+    parts = " UNION ALL ".join(one.format(kind=kind, rank=k, re=re.replace("'", "''"), group=group) for k, (kind, re, group, _) in enumerate(_SECRETS))
+    least = " ".join(f"WHEN {k} THEN {n}" for k, (*_, n) in enumerate(_SECRETS))
+    base = [kind for kind, *_ in _SECRETS[:_BASE_KINDS]]
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in base)
+    zeros = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in base)
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({parts}), s AS (
       SELECT doc_id, kind, rank, coalesce(list_sum(list_transform(gs[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS b, length(ms[i]) AS n
       FROM m WHERE length(vs[i]) >= CASE rank {least} END), t AS (SELECT doc_id, kind, rank, b::BIGINT AS b, kind || ':' || b::BIGINT || ':' || (b + n)::BIGINT AS span FROM s),
-    g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY b, rank) FILTER (rank < {base}) AS base, string_agg(span, ',' ORDER BY b, rank) AS spans FROM t GROUP BY doc_id)
+    g AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY b, rank) FILTER (rank < {_BASE_KINDS}) AS base, string_agg(span, ',' ORDER BY b, rank) AS spans FROM t GROUP BY doc_id)
     SELECT d.doc_id, {zeros}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
 
