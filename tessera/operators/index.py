@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.names import first_name, is_cyrillic, second_name
+from tessera.shared import stored
 
 ALIAS, QUALIFIED, DISPLAY, FIRST_LANGUAGE, SECOND_LANGUAGE = range(5)
-MOST_TERMS = 10_000
+GRAM = 3  # characters of the longest stretches that names are posted under
+_PARTS = 32
 
 
 def name_index(entities: DataFrame, aliases: DataFrame | None = None, prefer_cyrillic: bool = True) -> DataFrame:
@@ -43,13 +45,33 @@ def last_of_name(entities: DataFrame) -> DataFrame:
     return entities.groupBy("display_name").agg(F.max_by("id", F.struct("load_ord", "id")).alias("id"), F.count(F.lit(1)).alias("n"))
 
 
+def _grams(text: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct stretches of these sizes of a text."""
+    of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(n) for n in sizes)))
+
+
 def suggest(terms: DataFrame, names: DataFrame, limit: int = 10) -> DataFrame:
-    """(term, rank, name): the first names in order that contain the term, whatever the case. terms are requests, MOST_TERMS at once at most: each is tried on every name."""
-    if terms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
-        raise ValueError(f"over {MOST_TERMS} terms")
-    hit = names.select("name").distinct().join(F.broadcast(terms), F.contains(F.lower("name"), F.lower("term")))
-    w = Window.partitionBy("term").orderBy("name")
-    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+    """(term, rank, name): the first names in order that contain the term, whatever the case. Any number of terms; an empty one is in every name.
+
+    Names are posted under their stretches of one to three characters, as far as some term asks for them. A term's
+    candidates are the names under the rarest of its stretches; they are then tried. No term meets every name.
+    """
+    asked = terms.select("term").where("term is not null").distinct()
+    low = F.lower("term")
+    parts = [F.when(F.length(low) == n, F.array(low)) for n in range(1, GRAM)]
+    wanted = stored(asked.where("term != ''").select("term", F.explode(F.coalesce(*parts, _grams(low, (GRAM,)))).alias("gram")), "wanted")
+    known = names.select("name").where("name is not null").distinct()
+    posted = known.select("name", F.explode(_grams(F.lower("name"), tuple(range(1, GRAM + 1)))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    posted = stored(posted, "postings")
+    counts = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = wanted.join(counts, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    hits = rarest.join(posted, "gram").where(F.contains(F.lower("name"), low)).select("term", "name")
+    first = known.orderBy("name").limit(limit)
+    hits = hits.unionByName(asked.where("term = ''").crossJoin(F.broadcast(first)))  # one term, `limit` names
+    for keys in (("term", F.pmod(F.xxhash64("name"), F.lit(_PARTS))), ("term",)):  # the parts of a common term first
+        hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("name"))).where(F.col("rank") <= limit)
+    return hits.select("term", "rank", "name")
 
 
 def members(entities: DataFrame, names: Column) -> DataFrame:
