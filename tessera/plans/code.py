@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import call_check as cc
 from tessera.operators import trees
 from tessera.plans._tables import read
-from tessera.sources import tokens
+from tessera.sources import reports, tokens
 
 
 def _modules(spark, sf) -> DataFrame:
@@ -76,7 +76,43 @@ def tree_diff(spark, sf):
     return trees.diff(old, new)
 
 
-QUERIES = {f.__name__: f for f in (module_calls, page_calls, call_shapes, variable_types, tree_diff)}
+def _part(x, n):
+    return F.split_part(x, F.lit(" "), F.lit(n))
+
+
+def _report_text(x, i):
+    """A line of a document as a line of a report, by its place."""
+    folder = F.concat(F.lit("- Справочники."), _part(x, 1))
+    return (
+        F.when(i % 6 == 0, folder)
+        .when(i % 6 == 1, F.concat(folder, F.lit(".Реквизиты."), _part(x, 2)))
+        .when(i % 6 == 2, F.concat(_part(x, 1), F.lit(': "'), _part(x, 2), F.lit('"')))
+        .when(i % 6 == 3, F.concat(F.lit("Тип: "), _part(x, 3)))
+        .when(i % 6 == 4, F.concat(F.lit("- "), _part(x, 1), F.lit("."), _part(x, 2)))
+        .otherwise(x)
+    )
+
+
+def report_objects(spark, sf):
+    """Documents as configuration reports: their objects with attributes and properties."""
+    text = F.array_join(F.transform(F.split("text", "\n"), _report_text), "\n")
+    got = reports.objects(read(spark, sf, "documents").select(F.col("doc_id").alias("path"), text.alias("text")))
+    attributes = F.array_join(F.transform("attributes", lambda a: F.concat_ws("/", a["line"].cast("string"), a["name"], a["type"])), "|")
+    keys = F.array_sort(F.map_keys("properties"))
+    properties = F.array_join(F.transform(keys, lambda k: F.concat(k, F.lit("="), F.try_element_at("properties", k))), "|")
+    return got.select("path", F.col("line").cast("long").alias("line"), "name", "type", attributes.alias("attributes"), properties.alias("properties"))
+
+
+def routine_bodies(spark, sf):
+    """Lines of documents as headers, bodies and ends of routines."""
+    plain = F.translate("text", "\"'", "  ")
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("Процедура p"), F.regexp_extract(x, "[A-Za-z]+", 0), F.lit("(a)"), F.when(F.length(x) % 2 == 0, " Экспорт").otherwise(""))).when(i % 3 == 1, x).otherwise(F.lit("КонецПроцедуры"))
+    text = F.array_join(F.transform(F.split(plain, "\n"), line), "\n")
+    got = tokens.bodies(read(spark, sf, "documents").select(F.col("doc_id").alias("path"), text.alias("text")))
+    return got.select("path", "pos", "kind", "name", "is_export", "is_closed", F.sha2("body", 256).alias("body_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (module_calls, page_calls, call_shapes, variable_types, tree_diff, report_objects, routine_bodies)}
 
 _NAME = "[\\w\\x{0400}-\\x{04FF}]+"
 _PATH = f"\\.?{_NAME}(?:[ \\t]*\\.[ \\t]*{_NAME})*"
@@ -107,6 +143,23 @@ def _calls_sql(modules: str) -> str:
 
 _MODULES = """SELECT doc_id AS path, regexp_replace(regexp_replace(text, '(^| )the ([a-z]+)', '\\1the(\\2)', 'g'), '([A-Z][a-z]+) ([^.]*)\\.', '\\1(\\2);', 'g') AS code FROM documents"""
 ORACLE_SQL = {
+    "report_objects": """WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), a AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM s),
+      b AS (SELECT doc_id, i, trim(CASE i % 6 WHEN 0 THEN '- Справочники.' || split_part(x, ' ', 1) WHEN 1 THEN '- Справочники.' || split_part(x, ' ', 1) || '.Реквизиты.' || split_part(x, ' ', 2)
+        WHEN 2 THEN split_part(x, ' ', 1) || ': "' || split_part(x, ' ', 2) || '"' WHEN 3 THEN 'Тип: ' || split_part(x, ' ', 3) WHEN 4 THEN '- ' || split_part(x, ' ', 1) || '.' || split_part(x, ' ', 2) ELSE x END, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS body FROM a),
+      c AS (SELECT *, CASE WHEN starts_with(body, '-') AND contains(body, '.') THEN trim(ltrim(body, '-'), ' ') END AS name FROM b),
+      d AS (SELECT *, name IS NOT NULL AND NOT contains(name, '.Реквизиты.') AND NOT contains(name, '.ТабличныеЧасти.') AND contains(name, 'Справочники.') AS opens, contains(name, '.Реквизиты.') AND len(string_split(name, '.')) >= 4 AS attribute FROM c),
+      e AS (SELECT *, max(CASE WHEN opens THEN i END) OVER (PARTITION BY doc_id ORDER BY i) AS own, min(CASE WHEN starts_with(body, 'Тип:') THEN i END) OVER n AS tip, min(CASE WHEN starts_with(body, '-') THEN i END) OVER n AS dash
+        FROM d WINDOW n AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 9 FOLLOWING)),
+      t AS (SELECT e.doc_id, own, e.i, split_part(e.name, '.', 4) AS name, CASE WHEN tip IS NOT NULL AND (dash IS NULL OR tip < dash) THEN trim(substr(k.body, 5), ' ') ELSE 'Неизвестный' END AS type FROM e LEFT JOIN b k ON k.doc_id = e.doc_id AND k.i = tip WHERE attribute AND own IS NOT NULL),
+      g AS (SELECT doc_id, own, string_agg((i + 1) || '/' || name || '/' || type, '|' ORDER BY i) AS attributes FROM t GROUP BY ALL),
+      p AS (SELECT doc_id, own, i, trim(split_part(body, ':', 1), ' ') AS k, trim(trim(substr(body, instr(body, ':') + 1), ' '), '"') AS v FROM e WHERE own IS NOT NULL AND NOT starts_with(body, '-') AND contains(body, ':')),
+      q AS (SELECT doc_id, own, k, arg_max(v, i) AS v FROM p WHERE v <> '' AND k <> 'Тип' GROUP BY ALL), r AS (SELECT doc_id, own, string_agg(k || '=' || v, '|' ORDER BY k) AS properties FROM q GROUP BY ALL)
+      SELECT e.doc_id AS path, e.i + 1 AS line, name, 'Справочник' AS type, coalesce(attributes, '') AS attributes, coalesce(properties, '') AS properties FROM e LEFT JOIN g ON g.doc_id = e.doc_id AND g.own = e.i LEFT JOIN r ON r.doc_id = e.doc_id AND r.own = e.i WHERE opens""",
+    "routine_bodies": """WITH s AS (SELECT doc_id, string_split(translate(text, chr(34) || chr(39), '  '), chr(10)) AS ls FROM documents), a AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM s),
+      h AS (SELECT *, 'p' || regexp_extract(x, '[A-Za-z]+') AS name, length(x) % 2 = 0 AS is_export FROM a),
+      l AS (SELECT *, CASE i % 3 WHEN 0 THEN length('Процедура ' || name || '(a)') + CASE WHEN is_export THEN 8 ELSE 0 END WHEN 1 THEN length(x) ELSE length('КонецПроцедуры') END AS n FROM h),
+      o AS (SELECT *, coalesce(sum(n + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at, lead(x) OVER (PARTITION BY doc_id ORDER BY i) AS body, max(i) OVER (PARTITION BY doc_id) AS last FROM l)
+      SELECT doc_id AS path, o.at + 10 AS pos, 'procedure' AS kind, name, is_export, last >= i + 2 AS is_closed, sha256(trim(coalesce(body, ''), ' ' || chr(9) || chr(10) || chr(13))) AS body_sha256 FROM o WHERE i % 3 = 0""",
     "tree_diff": """WITH a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM a),
       k AS (SELECT doc_id, i, replace(line, 'that', 'this') AS line FROM l WHERE length(line) % 5 <> 0), o AS (SELECT doc_id, list(line ORDER BY i) AS was FROM l GROUP BY doc_id), n AS (SELECT doc_id, list(line ORDER BY i) AS now FROM k GROUP BY doc_id),
       d AS (SELECT a.doc_id, coalesce(was = now, false) AS whole FROM a JOIN o ON a.doc_id = o.doc_id LEFT JOIN n ON a.doc_id = n.doc_id),

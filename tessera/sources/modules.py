@@ -29,14 +29,15 @@ def module_type(path: Column) -> Column:
 
 
 def routines(modules: DataFrame) -> DataFrame:
-    """(path, pos, kind, name, parameters, is_export): routine headers of each module, a row each."""
+    """(path, pos, kind, name, parameters, by_value, is_export): routine headers of each module, a row each; by_value tells of each parameter whether it is one."""
     header = "(?m)^[\\x20\\t]*(Процедура|Функция|Procedure|Function)\\s+([\\w\\u0400-\\u04FF]+)\\s*\\(([^)]*)\\)[\\x20\\t]*(Экспорт|Export)?"
     h = F.lit(header)
     parts = F.arrays_zip(*(F.regexp_extract_all("text", h, F.lit(i)).alias(n) for i, n in ((1, "kind"), (2, "name"), (3, "args"), (4, "export"))))
     rows = modules.select("path", F.posexplode(parts).alias("pos", "r"))
-    names = F.filter(F.transform(F.split("r.args", ","), lambda a: F.regexp_extract(a, "(?:Знач\\s+|Val\\s+)?([\\w\\u0400-\\u04FF]+)", 1)), lambda a: a != "")
+    taken = F.transform(F.split("r.args", ","), lambda a: F.struct(F.regexp_extract(a, "(?:Знач\\s+|Val\\s+)?([\\w\\u0400-\\u04FF]+)", 1).alias("name"), F.regexp_like(a, F.lit("^\\s*(?:Знач|Val)\\s")).alias("by_value")))
+    taken = F.filter(taken, lambda a: a["name"] != "")
     kind = F.when(F.col("r.kind").isin("Функция", "Function"), "function").otherwise("procedure")
-    return rows.select("path", "pos", kind.alias("kind"), F.col("r.name").alias("name"), names.alias("parameters"), (F.col("r.export") != "").alias("is_export"))
+    return rows.select("path", "pos", kind.alias("kind"), F.col("r.name").alias("name"), taken["name"].alias("parameters"), taken["by_value"].alias("by_value"), (F.col("r.export") != "").alias("is_export"))
 
 
 def calls(modules: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ def bodies(modules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     t = F.col("token")
     begins = _is(t, HEADERS)
     kind = F.when(F.lower("before").isin("функция", "function"), "function").otherwise("procedure")
-    head = F.when(_is(F.col("before"), HEADERS), F.struct(F.col("at").alias("pos"), t.alias("name"), kind.alias("kind")))
+    head = F.when(_is(F.col("before"), HEADERS) & F.regexp_like(t, F.lit(f"^{NAME}$")), F.struct(F.col("at").alias("pos"), t.alias("name"), kind.alias("kind")))
     # the word of the next header belongs to it, not to the routine before
     rows = rows.withColumn("head", F.last(F.when(begins, F.struct(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"))).otherwise(head), ignorenulls=True).over(upto))
     rows = rows.withColumn("next", F.when(begins, F.col("at")))

@@ -53,7 +53,7 @@ def test_cycles_of_shapes_and_random_graphs(spark, monkeypatch, few):
     monkeypatch.setattr(cycles, "FEW_EDGES", few)
     edges = [tuple(x if x is None else x + 100_000 * k for x in e) for k, part in enumerate(SHAPES.values()) for e in part]
     rng = random.Random(1)
-    for part in range(60):
+    for part in range(20):
         n = rng.randrange(3, 25)
         edges += [(100 * part + rng.randrange(n), 100 * part + rng.randrange(n)) for _ in range(int(n * rng.uniform(0.5, 2)))]
     assert _got(spark, edges) == _cycles([e for e in edges if None not in e])

@@ -160,6 +160,7 @@ def test_modules(spark, tmp_path):
     assert m.first().text.startswith("Перем") and m.count() == 1
     r = modules.routines(m).first()
     assert (r.kind, r.name, r.parameters, r.is_export) == ("function", "Имя", ["А", "Б"], True)
+    assert r.by_value == [True, False]
     c = {(x.object, x.member): x.n_args for x in modules.calls(m).collect()}
     assert c[None, "Сообщить"] == 2
     ev = modules.variable_events(m)

@@ -61,7 +61,7 @@ def _matched(old, new, spans):
 
 def test_digests_and_diffs(spark):
     rng = random.Random(3)
-    docs = 12
+    docs = 6
     old = [r for doc in range(docs) for r in _tree(rng, doc, rng.randrange(1, 30))]
     new = [r for doc in range(docs) for r in _edited(rng, [x for x in old if x[0] == doc])]
     for spans in (True, False):
