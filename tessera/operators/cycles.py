@@ -1,6 +1,6 @@
 """Strongly connected components of large graphs: which nodes lie on cycles, and on which.
 
-Nodes that can't lie on a cycle are trimmed, and paths through nodes with one edge in and one out are cut
+Nodes that can't lie on a cycle are trimmed, chains of them at once, and paths through nodes with one edge in and one out are cut
 short to one edge by pointer jumping, so that chains and trees of any depth go in a few rounds. What is left is
 coloured: each node takes the least node that reaches it; nodes of a colour that reach the node it is named for
 are one component. Found components leave the graph, and the rest begins anew. No pair of nodes is made that
@@ -83,6 +83,20 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.join(into, "src", "left_semi").join(out, "dst", "left_semi")
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges without those from a node that no cycle leads to, and those to a node that leads to none, as far as sole edges tell.
+
+    A node with one edge in lies on a cycle only if the node before it does. So a whole chain of such nodes goes
+    at once if it begins where no edge comes in, whatever else its nodes point at; the same from the other end.
+    """
+    for a, b in (("src", "dst"), ("dst", "src")):
+        into = stored(edges.groupBy(F.col(b).alias("node")).agg(F.min(a).alias("to"), F.count(F.lit(1)).alias("n")), "into")
+        dead = chain_ends(into.where("n = 1").select("node", "to")).where("ends").join(into.select(F.col("node").alias("to")), "to", "left_anti")
+        edges = edges.join(into.select(F.col("node").alias(a)), a, "left_semi").join(dead.select(F.col("node").alias(a)), a, "left_anti")
+        edges = stored(edges, "edges")
+    return edges
+
+
 def chain_ends(links: DataFrame) -> DataFrame:
     """(node, to, least, ends): where chains of links (node, to) end; rows that go round have `ends` false and in `least` the least node of their round."""
     got = stored(links.select("node", "to", F.least("node", "to").alias("least"), F.lit(False).alias("ends"), F.lit(True).alias("moved")), "jumps")
@@ -152,6 +166,10 @@ def on_cycles(edges: DataFrame) -> DataFrame:
             found.append(_finished(edges))
             break
         edges = stored(_both_ways(edges), "edges")
+        if edges.count() > FEW_EDGES:
+            edges = _trimmed(edges)
+        if edges.count() <= FEW_EDGES:
+            continue
         whole, taken, rounds = _shortened(edges)
         found.append(rounds)
         levels.append((taken, stored(whole.where("src = dst").select(F.col("src").alias("node")), "loops")))

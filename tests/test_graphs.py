@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tessera.operators import cycles, project
+from tessera.operators import cycles, project, reach
 from tessera.operators.cycles import on_cycles
 from tessera.operators.reach import build, reachable
 
@@ -93,3 +93,27 @@ def test_reachable_far_and_wide(spark):
     assert _reach(spark, deep + wide, pairs) == {(0, 2000), (500, 1999), (10_007, 2000)}
     empty = build(spark.createDataFrame([], "child long, parent long"))
     assert reachable(spark.createDataFrame(pairs, "from_id long, to_id long"), empty).collect() == []
+
+
+def _counting(monkeypatch, module):
+    """How many tables a module stores from now on, as a list that grows."""
+    calls, put = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: calls.append(name) or put(df, name))
+    return calls
+
+
+def test_a_comb_is_trimmed_at_once(spark, monkeypatch):
+    """Each node of a long chain points at a round too, so no path is short and only one node in turn has no edge in."""
+    monkeypatch.setattr(cycles, "FEW_EDGES", 8)
+    stored = _counting(monkeypatch, cycles)
+    edges = [(i, i + 1) for i in range(10, 70)] + [(i, 1) for i in range(10, 71)] + [(1, 2), (2, 1)]
+    assert _got(spark, edges) == {1: 1, 2: 1}
+    assert len(stored) < 40
+
+
+def test_a_comb_is_asked_in_few_rounds(spark, monkeypatch):
+    stored = _counting(monkeypatch, reach)
+    edges = [(i, i + 1) for i in range(10, 50)] + [(i, 1) for i in range(10, 51)]
+    pairs = [(10, 50), (10, 1), (50, 10), (30, 29), (30, 31), (1, 50), (12, 999)]
+    assert _reach(spark, edges, pairs) == {(10, 50), (10, 1), (30, 31)}
+    assert stored.count("tried") <= 4
