@@ -6,8 +6,13 @@ returns, availability, is_deprecated, deprecation) of each type, those inherited
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tessera.functions.names import value_type
@@ -15,7 +20,7 @@ from tessera.operators.index import lookup
 from tessera.operators.reach import ReachIndex, reachable
 from tessera.operators.verify import alike
 from tessera.shared import stored
-from tessera.sources.kinds import manager_type
+from tessera.sources.kinds import MANAGERS
 
 DEFAULT_CONTEXT = "Server"
 _SMALL = 100_000  # rows up to which a counted table is broadcast
@@ -25,39 +30,26 @@ _WORD = "[\\w\\u0400-\\u04FF]+"
 
 
 def _nodes(assignments: DataFrame, names: DataFrame) -> DataFrame:
-    """Assignments that may have a type, each once: id, scope, name, pos, `base` (type of a literal or constructor), `head` (what the value starts from), member, is_call, of_index (id of the head in the index)."""
+    """Assignments that may have a type, each once: scope, name, pos, `base` (type of a literal or constructor), `head` (what the value starts from), member, is_call, of_index (id of the head in the index)."""
     v = F.trim("value")
     part = lambda p, i: F.nullif(F.regexp_extract(v, p, i), F.lit(""))
     dotted = f"^({_WORD})\\.({_WORD})(\\(|$)"
     once = assignments.groupBy("scope", "name", "pos").agg(F.max("value").alias("value"))
     base = F.coalesce(value_type(v), part(f"^(?:Новый|New)\\s+({_WORD})", 1))
-    rows = once.select(F.md5(F.to_json(F.struct("scope", "name", "pos"))).alias("id"), "scope", "name", "pos", base.alias("base"), part(f"^({_WORD})$", 1).alias("alone"), part(dotted, 1).alias("object"), part(dotted, 2).alias("member"), F.regexp_like(v, F.lit(f"^{_WORD}\\.{_WORD}\\(")).alias("is_call"))
+    rows = once.select("scope", "name", "pos", base.alias("base"), part(f"^({_WORD})$", 1).alias("alone"), part(dotted, 1).alias("object"), part(dotted, 2).alias("member"), F.regexp_like(v, F.lit(f"^{_WORD}\\.{_WORD}\\(")).alias("is_call"))
     rows = rows.withColumn("head", F.when(F.col("base").isNull(), F.coalesce("alone", "object"))).where("base is not null or head is not null").drop("alone", "object")
     known = lookup(rows.select(F.col("head").alias("name")).where("name is not null").distinct(), names).where("id is not null")
-    return rows.join(known.select(F.col("name").alias("head"), F.col("id").alias("of_index")), "head", "left")
-
-
-def _defined(nodes: DataFrame) -> DataFrame:
-    """nodes with `def`, the last write of the head before them in their scope, and `sole`, whether that write had none before it.
-
-    Writes and uses of a name lie in one window; nothing pairs a use with all earlier writes.
-    """
-    upto = Window.partitionBy("scope", "key").orderBy("pos", "writes").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.lag("id").over(Window.partitionBy("scope", "name").orderBy("pos")).isNull()
-    writes = nodes.withColumn("first", first).select("scope", F.col("name").alias("key"), "pos", F.lit(1).alias("writes"), F.struct("id", "first").alias("w"), F.lit(None).cast("string").alias("use"))
-    uses = nodes.where("head is not null").select("scope", F.col("head").alias("key"), "pos", F.lit(0).alias("writes"), F.lit(None).cast("struct<id:string,first:boolean>").alias("w"), F.col("id").alias("use"))
-    seen = writes.unionByName(uses).withColumn("w", F.last("w", ignorenulls=True).over(upto)).where("use is not null")
-    return nodes.join(seen.select(F.col("use").alias("id"), F.col("w.id").alias("def"), F.col("w.first").alias("sole")), "id", "left")
+    known = stored(known.select(F.col("name").alias("head"), F.col("id").alias("of_index")), "heads")
+    return rows.join(F.broadcast(known) if known.count() <= _SMALL else known, "head", "left")
 
 
-def _anchored(copies: DataFrame) -> DataFrame:
-    """(id, anchor, falls): where a chain of copies (id, to, falls) ends, by pointer jumping; `falls` if every link of it does."""
-    got = stored(copies.withColumn("moved", F.lit(True)), "anchors")
-    while not got.where("moved").isEmpty():
-        ahead = got.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("falls").alias("_falls"))
-        joined = got.join(ahead, "to", "left")
-        got = stored(joined.select("id", F.coalesce("_to", "to").alias("to"), (F.col("falls") & F.coalesce("_falls", F.lit(True))).alias("falls"), F.col("_to").isNotNull().alias("moved")), "anchors")
-    return got.select("id", F.col("to").alias("anchor"), "falls")
+def _member_type(kind: str, member: str, is_call: bool, results: dict[str, str]) -> str | None:
+    """What a member of a type is: a call what it returns, else the manager of the member if the type has managers, else what it returns."""
+    got = results.get(kind)
+    if is_call and got is not None:
+        return got
+    manager = next((b for p, b, _ in MANAGERS if p in kind), None)
+    return f"{manager}.{member}" if manager is not None else got
 
 
 def assigned_types(assignments: DataFrame, names: DataFrame, members: DataFrame) -> DataFrame:
@@ -68,46 +60,44 @@ def assigned_types(assignments: DataFrame, names: DataFrame, members: DataFrame)
     that of the index (names: what operators.index.name_index gives); an assignment of unknown type changes
     nothing. Repeated rows count once, of two values at one place the greater counts.
 
-    Each use is tied to the write before it. Chains of copies are cut short by pointer jumping; members are looked
-    up in rounds, each of which takes what the last one typed. Writes that turn out to have no type are taken away
-    and their uses tied anew, until none is left. Every round is stored.
+    Scopes are dealt over partitions and sorted by place; a scope streams through one task, which holds the last
+    type of each of its names. What members return is a map of types, of each member, that goes to all tasks if
+    it was counted and is small, else with the rows that ask for it.
     """
-    live = stored(_nodes(assignments, names), "nodes")
-    result = members.groupBy(F.col("type").alias("of_type"), "member").agg(F.max("returns").alias("result"))
-    while True:
-        rows = stored(_defined(live), "defined")
-        alone = F.col("member").isNull() & F.col("head").isNotNull()
-        copies = rows.where(alone & F.col("def").isNotNull())
-        # if what is copied has no type, the copy has none either: there is no earlier write and no such name in the index
-        anchors = _anchored(copies.select("id", F.col("def").alias("to"), (F.col("sole") & F.col("of_index").isNull()).alias("falls")))
-        ends = F.broadcast if anchors.count() <= _SMALL else (lambda x: x)
-
-        def of_members(asked: DataFrame) -> DataFrame:
-            """(id, type) of member rows whose head has the type of_type; null if there is none."""
-            got = asked.join(result, ["of_type", "member"], "left")
-            kind = F.coalesce(F.when(F.col("is_call"), F.col("result")), manager_type(F.col("of_type"), F.col("member")), F.col("result"))
-            return got.select("id", kind.alias("type"))
-
-        free = rows.where(F.col("def").isNull())
-        direct = of_members(free.where("member is not null").withColumn("of_type", F.coalesce("of_index", "head")))
-        fresh = stored(rows.where("base is not null").select("id", F.col("base").alias("type")).unionByName(free.where(alone).select("id", F.col("of_index").alias("type"))).unionByName(direct), "types")
-        waiting = rows.where("member is not null and def is not null").join(ends(anchors.select(F.col("id").alias("def"), "anchor")), "def", "left")
-        waiting = stored(waiting.select("id", "member", "is_call", F.coalesce("anchor", "def").alias("target")), "waiting")
-        parts = [fresh]
-        while not fresh.where("type is not null").isEmpty():
-            asked = waiting.join(fresh.where("type is not null").select(F.col("id").alias("target"), F.col("type").alias("of_type")), "target")
-            fresh = stored(of_members(asked), "types")
-            parts.append(fresh)
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-        lost = known.where("type is null").select("id")
-        lost = stored(lost.unionByName(anchors.where("falls").join(lost.withColumnRenamed("id", "anchor"), "anchor", "left_semi").select("id")), "lost")
-        if lost.isEmpty():
-            known = stored(known, "known")
-            copied = anchors.join(known.withColumnRenamed("id", "anchor"), "anchor").select("id", "type")
-            return rows.join(known.unionByName(copied), "id").select("scope", "name", "pos", "type")
-        live = stored(live.join(lost, "id", "left_anti"), "nodes")
+    rows = _nodes(assignments, names)
+    result = stored(members.where("returns is not null").groupBy(F.col("type").alias("of_type"), "member").agg(F.max("returns").alias("result")).where("of_type is not null and member is not null"), "results")
+    maps = result.groupBy("member").agg(F.map_from_entries(F.collect_list(F.struct("of_type", "result"))).alias("results"))
+    small = {r.member: r.results for r in maps.collect()} if result.count() <= _SMALL else None
+    rows = rows.withColumn("results", F.lit(None).cast("map<string,string>")) if small is not None else rows.join(maps, "member", "left")
+    wanted = rows.select("scope", "name", "pos", "base", "head", "member", "is_call", "of_index", "results").repartition("scope").sortWithinPartitions("scope", "pos")
+    schema = StructType([*(StructField(c, rows.schema[c].dataType) for c in ("scope", "name", "pos")), StructField("type", StringType())])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: tuple | None = None
+        held: dict = {}
+        fresh: dict = {}
+        for batch in batches:
+            out = []
+            for scope, name, pos, base, head, member, is_call, of_index, results in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != (scope, pos):
+                    # what is written at one place shows from the next on
+                    if place is None or place[0] != scope:
+                        held = {}
+                    else:
+                        held.update(fresh)
+                    place, fresh = (scope, pos), {}
+                kind = base
+                if kind is None:
+                    kind = held.get(head, of_index)
+                    if member is not None:
+                        kind = _member_type(head if kind is None else kind, member, is_call, dict(results or ()) if small is None else small.get(member, {}))
+                if kind is not None:
+                    fresh[name] = kind
+                    out.append({"scope": scope, "name": name, "pos": pos, "type": kind})
+            yield pa.RecordBatch.from_pylist(out, kinds)
+
+    return wanted.mapInArrow(run, schema)
 
 
 def typed_calls(calls: DataFrame, types: DataFrame, names: DataFrame | None = None) -> DataFrame:

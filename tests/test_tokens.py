@@ -195,3 +195,12 @@ def test_calls_of_modules_to_problems(spark):
     functions = spark.createDataFrame([("сообщить",)], "word string")
     lost = call_check.unknown_functions(calls, modules.routines(m), functions)
     assert {r.member for r in lost.collect()} == {"f", "Найти"}
+
+
+def test_types_store_nothing_of_the_assignments(spark, monkeypatch):
+    """Writes that turn out to have no type, one behind the other, cost no round: only the heads and what members return are stored."""
+    names, put = [], call_check.stored
+    monkeypatch.setattr(call_check, "stored", lambda df, name: names.append(name) or put(df, name))
+    rows = [("s", "a", 0, "New T")] + [("s", "a", i, f"{'a' if i % 2 else 'b'}.z()") for i in range(1, 9)] + [("s", "c", 9, "a"), ("s", "d", 10, "c.m()"), ("s", "e", 10, "d")]
+    assert _inferred(spark, rows) == {("s", "a", 0): "T", ("s", "c", 9): "T", ("s", "d", 10): "U"}
+    assert sorted(names) == ["heads", "results"]
