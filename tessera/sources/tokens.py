@@ -31,6 +31,9 @@ NOT_CALLED = (
     "if", "elsif", "while", "for", "each", "in", "to", "return", "and", "or", "not", "then", "do", "var",
 )
 _ROW = ("path", "module")
+_ANY = f'"[^"]*+(?:""[^"]*+)*+"?|//[^\\n]*+|\'[^\'\\n]*+\'?|{_PATH}|\\s++'
+#: A text up to its next bracket, comma or semicolon outside strings and comments, that sign included; the last has none.
+PIECE = f"(?:{_ANY}|[^\\s();,])*+[();,]?"
 
 
 def _is(word: Column, words: tuple[str, ...]) -> Column:
@@ -59,6 +62,35 @@ def statements(modules: DataFrame) -> DataFrame:
     return rows.withColumn("depth", depth).drop("_head")
 
 
+def _signs(modules: DataFrame) -> DataFrame:
+    """Brackets, commas and semicolons alone, with what `calls` asks of the tokens about them: a row for each instead of for each token.
+
+    path, module, k, at, token, statement, depth, scope, before and _before_head (the two tokens before an opening bracket, as far as they are
+    after the sign before), and after (for a bracket that is closed at once).
+    """
+    rows = modules.select("path", F.xxhash64("text").alias("module"), "text").dropDuplicates(["path", "module"])
+    cut = rows.select(*_ROW, F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("k", "piece"))
+    own = F.filter(F.regexp_extract_all("piece", F.lit(TOKEN), F.lit(0)), lambda t: ~(F.trim(t, F.lit(" \t\r\n\x0b\x0c")) == "") & ~F.startswith(t, F.lit("//")))
+    cut = cut.select(*_ROW, "k", F.length("piece").alias("length"), own.alias("own"))
+    at = lambda i: F.try_element_at("own", F.lit(i))
+    # a word before the last tells that the last names a routine, or that none is open any more
+    heads = F.filter(F.transform("own", lambda t, i: F.when(_is(F.get("own", i - 1), HEADERS), t).when(_is(F.get("own", i - 1), ENDS), "")), lambda t: t.isNotNull())
+    opens = at(-1) == "("
+    cut = cut.select(
+        *_ROW, "k", "length", at(-1).alias("token"), F.when(opens, at(-2)).alias("before"), F.when(opens, at(-3)).alias("_before_head"),
+        F.when(F.size("own") == 1, at(1)).alias("_alone"), F.try_element_at(heads, F.lit(-1)).alias("_head"),
+    )
+    order = Window.partitionBy(*_ROW).orderBy("k")
+    upto, past = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    t = F.col("token")
+    # the piece after a sign that has but a sign of its own begins with it
+    placed = cut.withColumns({"at": F.sum("length").over(upto) - 1, "after": F.lead("_alone").over(order), "statement": F.coalesce(F.count_if(t == ";").over(past), F.lit(0)), "scope": F.nullif(F.last("_head", ignorenulls=True).over(upto), F.lit(""))})
+    placed = placed.where(t.isin("(", ")", ",", ";"))
+    inside = Window.partitionBy(*_ROW, "statement").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    depth = F.count_if(t == "(").over(inside) - F.count_if(t == ")").over(inside) + (t == ")").cast("int")
+    return placed.withColumn("depth", depth).select(*_ROW, "k", "at", "token", "statement", "depth", "scope", "before", "_before_head", "after")
+
+
 def calls(modules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Calls with brackets: path, module, scope, pos (offset of its bracket), close (that of the other), object, member, kind, n_args and cuts (offsets between which arguments lie).
 
@@ -66,13 +98,12 @@ def calls(modules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     and over several lines count; routine headers, brackets of expressions and keywords don't, nor brackets that aren't closed.
     found: what `statements` gives for the modules, if it is there already.
     """
-    rows = statements(modules) if found is None else found
+    rows = _signs(modules) if found is None else found.withColumn("_before_head", F.lag("before").over(Window.partitionBy(*_ROW).orderBy("k")))
+    rows = rows.where(F.col("token").isin("(", ",", ")"))
     order = Window.partitionBy(*_ROW, "statement", "depth").orderBy("k")
     t = F.col("token")
     rows = rows.withColumn("pair", F.count_if(t == "(").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    back = Window.partitionBy(*_ROW).orderBy("k")
-    rows = rows.withColumn("_before_head", F.lag("before").over(back))
-    rows = rows.where(t.isin("(", ",", ")") & (F.col("pair") > 0))
+    rows = rows.where(F.col("pair") > 0)
     opened = lambda c: F.max(F.when(t == "(", F.col(c)))  # noqa: E731  one row of a pair opens it
     at = F.array_sort(F.collect_list(F.when((t != ")"), F.col("at"))))
     got = rows.groupBy(*_ROW, "statement", "depth", "pair").agg(
@@ -93,16 +124,21 @@ def calls(modules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     return got.where(keep).select(*_ROW, "scope", "pos", "close", F.when(kind == "method", F.nullif(owner, F.lit(""))).alias("object"), F.when(kind == "new", name).otherwise(last).alias("member"), kind.alias("kind"), n.alias("n_args"), cuts.alias("cuts"))
 
 
-def arguments(modules: DataFrame, found: DataFrame) -> DataFrame:
-    """(path, module, pos, place, argument): texts of the arguments of calls (`found`, of the same modules); an argument left out is empty."""
+def with_arguments(modules: DataFrame, found: DataFrame) -> DataFrame:
+    """Calls (`found`, of the same modules) with `arguments`, the texts of their arguments in order; one left out is empty."""
     rows = modules.select("path", F.xxhash64("text").alias("module"), "text").dropDuplicates(["path", "module"])
     same = F.col("_path").eqNullSafe(F.col("path")) & (F.col("_module") == F.col("module"))
     own = rows.select(F.col("path").alias("_path"), F.col("module").alias("_module"), "text")
     # the calls of a module come together as numbers before they meet its text
-    lists = found.where("n_args > 0").groupBy(*_ROW).agg(F.collect_list(F.struct("pos", "cuts")).alias("calls"))
+    lists = found.groupBy(*_ROW).agg(F.collect_list(F.struct(*(c for c in found.columns if c not in _ROW))).alias("calls"))
     each = lists.join(own, same).select(*_ROW, "text", F.explode("calls").alias("c"))
-    cut = F.transform(F.slice("c.cuts", 1, F.size("c.cuts") - 1), lambda x, i: F.trim(F.substring("text", (x + 2).cast("int"), (F.get("c.cuts", i + 1) - x - 1).cast("int")), F.lit(" \t\r\n")))
-    return each.select(*_ROW, F.col("c.pos").alias("pos"), F.posexplode(cut).alias("place", "argument"))
+    cut = F.transform(F.slice("c.cuts", 1, F.greatest(F.size("c.cuts") - 1, F.lit(0))), lambda x, i: F.trim(F.substring("text", (x + 2).cast("int"), (F.get("c.cuts", i + 1) - x - 1).cast("int")), F.lit(" \t\r\n")))
+    return each.select(*_ROW, "c.*", cut.alias("arguments"))
+
+
+def arguments(modules: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, module, pos, place, argument): texts of the arguments of calls (`found`, of the same modules); an argument left out is empty."""
+    return with_arguments(modules, found.where("n_args > 0")).select(*_ROW, "pos", F.posexplode("arguments").alias("place", "argument"))
 
 
 def assignments(modules: DataFrame, found: DataFrame | None = None) -> DataFrame:

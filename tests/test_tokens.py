@@ -204,3 +204,12 @@ def test_types_store_nothing_of_the_assignments(spark, monkeypatch):
     rows = [("s", "a", 0, "New T")] + [("s", "a", i, f"{'a' if i % 2 else 'b'}.z()") for i in range(1, 9)] + [("s", "c", 9, "a"), ("s", "d", 10, "c.m()"), ("s", "e", 10, "d")]
     assert _inferred(spark, rows) == {("s", "a", 0): "T", ("s", "c", 9): "T", ("s", "d", 10): "U"}
     assert sorted(names) == ["heads", "results"]
+
+
+def test_calls_sort_signs_alone(spark):
+    """A row for each bracket, comma and semicolon, none for each word; modules are cut once for calls and arguments."""
+    text = "word " * 500 + "f(a, 'x(', g());" + " // h(1)\n" + "word " * 500
+    df = spark.createDataFrame([("m", text)], MODULE)
+    assert [r.token for r in tokens._signs(df).orderBy("k").collect()] == ["(", ",", ",", "(", ")", ")", ";"]
+    rows = tokens.with_arguments(df, tokens.calls(df)).collect()
+    assert {(r.member, r.pos, tuple(r.arguments)) for r in rows} == {("f", 2501, ("a", "'x('", "g()")), ("g", 2512, ())}
