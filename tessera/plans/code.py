@@ -18,10 +18,8 @@ def _modules(spark, sf) -> DataFrame:
 
 
 def _calls(modules: DataFrame) -> DataFrame:
-    found = tokens.calls(modules)
-    args = tokens.arguments(modules, found).groupBy("path", "module", "pos").agg(F.array_sort(F.collect_list(F.struct("place", "argument"))).alias("a"))
-    args = args.select("path", "module", "pos", F.array_join("a.argument", "|").alias("arguments"))
-    return found.join(args, ["path", "module", "pos"], "left").select("path", "pos", "object", "member", "kind", F.col("n_args").cast("long").alias("n_args"), F.coalesce("arguments", F.lit("")).alias("arguments"))
+    got = tokens.with_arguments(modules, tokens.calls(modules))
+    return got.select("path", "pos", "object", "member", "kind", F.col("n_args").cast("long").alias("n_args"), F.array_join("arguments", "|").alias("arguments"))
 
 
 def module_calls(spark, sf):
