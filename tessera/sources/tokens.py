@@ -166,13 +166,12 @@ def bodies(modules: DataFrame, found: DataFrame | None = None) -> DataFrame:
     begins = _is(t, HEADERS)
     kind = F.when(F.lower("before").isin("функция", "function"), "function").otherwise("procedure")
     head = F.when(_is(F.col("before"), HEADERS) & F.regexp_like(t, F.lit(f"^{NAME}$")), F.struct(F.col("at").alias("pos"), t.alias("name"), kind.alias("kind")))
-    # the word of the next header belongs to it, not to the routine before
-    rows = rows.withColumn("head", F.last(F.when(begins, F.struct(F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("kind"))).otherwise(head), ignorenulls=True).over(upto))
-    rows = rows.withColumn("next", F.when(begins, F.col("at")))
-    after = Window.partitionBy(*_ROW).orderBy("k").rowsBetween(1, Window.unboundedFollowing)
-    rows = rows.withColumn("next", F.first("next", ignorenulls=True).over(after)).where("head.pos is not null")
     exported = F.when(_is(t, EXPORT) & (F.col("before") == ")"), F.col("at") + F.length(t))
-    spans = rows.groupBy(*_ROW, "head").agg(F.min(F.when(t == ")", F.struct("at", "after"))).alias("close"), F.min(F.when(_is(t, ENDS), F.col("at"))).alias("stop"), F.min(exported).alias("exported"), F.max("next").alias("next"))
+    # the word of the next header belongs to it, not to the routine before; most tokens tell nothing of routines
+    rows = rows.select(*_ROW, "at", "token", "after", F.when(~begins, head).alias("head"), begins.alias("begins"), exported.alias("exported"), F.count_if(begins).over(upto).alias("nth"))
+    rows = rows.where((F.col("nth") > 0) & (F.col("begins") | F.col("head").isNotNull() | (t == ")") | _is(t, ENDS) | F.col("exported").isNotNull()))
+    groups = rows.groupBy(*_ROW, "nth").agg(F.max("head").alias("head"), F.min(F.when(F.col("begins"), F.col("at"))).alias("begun"), F.min(F.when(t == ")", F.struct("at", "after"))).alias("close"), F.min(F.when(_is(t, ENDS), F.col("at"))).alias("stop"), F.min("exported").alias("exported"))
+    spans = groups.withColumn("next", F.lead("begun").over(Window.partitionBy(*_ROW).orderBy("nth"))).where("head is not null")
     export = _is(F.col("close.after"), EXPORT)
     start = F.when(export, F.col("exported")).otherwise(F.coalesce(F.col("close.at") + 1, F.col("head.pos") + F.length("head.name")))
     spans = spans.select(*_ROW, "head.*", export.alias("is_export"), F.col("stop").isNotNull().alias("is_closed"), start.alias("start"), F.coalesce("stop", "next").alias("stop"))

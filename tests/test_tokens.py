@@ -213,3 +213,12 @@ def test_calls_sort_signs_alone(spark):
     assert [r.token for r in tokens._signs(df).orderBy("k").collect()] == ["(", ",", ",", "(", ")", ")", ";"]
     rows = tokens.with_arguments(df, tokens.calls(df)).collect()
     assert {(r.member, r.pos, tuple(r.arguments)) for r in rows} == {("f", 2501, ("a", "'x('", "g()")), ("g", 2512, ())}
+
+
+def test_bodies_look_at_no_rest_of_a_text(spark, capsys):
+    """No window looks at all that follows, which takes the square of a text's tokens."""
+    df = spark.createDataFrame([("m", "Процедура А() x; КонецПроцедуры Функция Процедура Б() Экспорт y; Процедура В")], MODULE)
+    got = tokens.bodies(df)
+    assert {(r.name, r.body, r.is_export, r.is_closed) for r in got.collect()} == {("А", "x;", False, True), ("Б", "y;", True, False), ("В", "", False, False)}
+    got.explain()
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()
