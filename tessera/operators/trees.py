@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,10 +28,16 @@ def leveled(nodes: DataFrame) -> tuple[DataFrame, int]:
     return reduce(DataFrame.unionByName, parts) if parts else last, len(parts)
 
 
+def _short(*parts: str) -> Column:
+    """A digest of columns: 128 bits of SHA-256 in 24 characters."""
+    return F.base64(F.unhex(F.left(F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256), F.lit(32))))
+
+
 def digests(nodes: DataFrame, spans: bool = True) -> DataFrame:
     """(doc_id, node_id, parent_id, ordinal, digest, height, size) of each node; without spans, a tree that only moved keeps its digests."""
-    placed, levels = leveled(nodes)
-    shown = ["kind", *(("start", "len") if spans else ()), "payload"]
+    # payloads are neither stored nor sent: what a node shows of itself comes first as a digest
+    own = _short("kind", *(("start", "len") if spans else ()), "payload")
+    placed, levels = leveled(nodes.select("doc_id", "node_id", "parent_id", "ordinal", own.alias("own")))
     below = None
     parts = []
     for depth in range(levels - 1, -1, -1):
@@ -41,8 +47,7 @@ def digests(nodes: DataFrame, spans: bool = True) -> DataFrame:
         else:
             kids = below.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "digest"))).alias("kids"), (F.max("height") + 1).alias("height"), (F.sum("size") + 1).alias("size"))
             rows = rows.join(kids, ["doc_id", "node_id"], "left").withColumns({"inner": F.coalesce("kids.digest", F.array().cast("array<string>")), "height": F.coalesce("height", F.lit(0)), "size": F.coalesce("size", F.lit(1).cast("long"))})
-        digest = F.sha2(F.to_json(F.struct(*shown, "inner"), {"ignoreNullFields": "false"}), 256)
-        below = stored(rows.select("doc_id", "node_id", "parent_id", "ordinal", digest.alias("digest"), "height", "size"), "digests")
+        below = stored(rows.select("doc_id", "node_id", "parent_id", "ordinal", _short("own", "inner").alias("digest"), "height", "size"), "digests")
         parts.append(below)
     if not parts:
         return placed.select("doc_id", "node_id", "parent_id", "ordinal", F.lit("").alias("digest"), F.lit(0).alias("height"), F.lit(0).cast("long").alias("size"))
@@ -69,8 +74,7 @@ def matched(old: DataFrame, new: DataFrame) -> DataFrame:
     subtree, old or new, isn't matched again, so each is used once. Trees need not be of one size.
     """
     top = max([r.h for r in (d.agg(F.max("height").alias("h")).first() for d in (old, new)) if r.h is not None], default=-1)
-    olds = stored(old.select("doc_id", "node_id", "parent_id", "digest", "height"), "old")
-    news = stored(new.select("doc_id", "node_id", "parent_id", "digest", "height"), "new")
+    olds, news = (d.select("doc_id", "node_id", "parent_id", "digest", "height") for d in (old, new))
     nth = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("node_id"))
     # a node is settled once its parent, which is higher, is: taken says that it lies in a matched subtree
     done: dict[str, list[DataFrame]] = {"old": [], "new": []}

@@ -88,3 +88,12 @@ def test_positional(spark):
     assert trees.positional_diff(a, short).collect() == []
     none = trees.digests(spark.createDataFrame([], SCHEMA))
     assert none.collect() == [] and trees.matched(none, none).collect() == [] and trees.matched(none, a).where("reused").collect() == []
+
+
+def test_payloads_are_not_stored(spark, monkeypatch):
+    seen, put = [], trees.stored
+    monkeypatch.setattr(trees, "stored", lambda df, name: seen.append((name, df.columns)) or put(df, name))
+    a = trees.digests(spark.createDataFrame([(1, 0, None, 0, "m", 0, 5, None), (1, 1, 0, 0, "p", 0, 5, "x" * 1000)], SCHEMA))
+    assert all(len(r.digest) <= 24 for r in a.collect())
+    assert not any("payload" in columns for _, columns in seen)
+    assert [r.reused for r in trees.matched(a, a).collect()] == [True, True] and not {"old", "new"} & {n for n, _ in seen}
